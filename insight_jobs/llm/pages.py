@@ -26,6 +26,7 @@ from .crf import Chain
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template title textarea svg math iframe object canvas head".split())
+BOXES = frozenset("article aside body div footer form header main nav section".split())
 ENDS_BEFORE = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 NAMES = re.compile(r"[A-Za-z]+")
 
@@ -113,6 +114,8 @@ def block_features(blocks: list[Block]) -> list[tuple[str, ...]]:
     out = []
     for b in blocks:
         names = {f"tag:{b.path[-1][0]}" if b.path else "tag:", *(f"in:{t}" for t, _ in b.path), *(f"name:{n}" for _, ns in b.path for n in ns)}
+        box = next(((t, ns) for t, ns in reversed(b.path) if t in BOXES), ("", ()))
+        names |= {f"box:{box[0]}", *(f"box:{n}" for n in box[1])}
         share = b.linked / max(1, len(b.text))
         words = b.text.count(" ") + 1
         names |= {f"words:{min(7, words.bit_length())}", f"links:{0 if share == 0 else 1 if share < 0.5 else 2}", f"end:{b.text[-1] if b.text[-1] in '.!?:…' else ''}", f"sign:{int('©' in b.text)}", f"commas:{min(3, b.text.count(','))}"}
@@ -188,7 +191,7 @@ def fit() -> Extractor:
             sequences.append(np.array([items.setdefault(names, len(items)) for names in block_features(blocks)]))
             states.append(np.array(labels, np.float64))
     features = [(0, *(number.setdefault(n, len(number)) for n in names)) for names in items]
-    chain = Chain(len(number)).fit(features, sequences, states, rounds=120)
+    chain = Chain(len(number)).fit(features, sequences, states, rounds=400, decay=1e-6)
     return Extractor({n: float(chain.w[k]) for n, k in number.items()}, chain)
 
 
