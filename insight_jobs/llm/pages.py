@@ -126,7 +126,7 @@ def block_features(blocks: list[Block]) -> list[tuple[str, ...]]:
 #: Containers of labelled layouts, (tag, attribute).
 MAIN = (("article", ""), ("main", ""), ("div", 'class="content"'), ("div", 'id="post-body"'), ("div", 'class="entry-content"'), ("section", 'class="article-body"'), ("div", 'class="story-text"'), ("article", 'class="post"'), ("div", 'role="main"'))
 LINKS = (("nav", ""), ("ul", 'class="menu"'), ("div", 'class="breadcrumb"'), ("div", 'class="share"'), ("div", 'class="related"'), ("aside", 'class="sidebar"'), ("div", 'id="sidebar"'), ("div", 'class="tags"'))
-PROSE = (("header", ""), ("footer", ""), ("div", 'class="ad"'), ("div", 'class="advert banner"'), ("div", 'class="cookie-notice"'), ("div", 'class="notice"'), ("aside", ""), ("div", 'class="newsletter"'), ("div", 'class="promo"'), ("div", 'class="footer"'), ("div", 'class="header"'), ("div", 'role="banner"'), ("div", 'class="sponsored"'), ("div", 'class="popup"'))
+PROSE = (("aside", ""), ("aside", 'class="note"'), ("aside", ""), ("header", ""), ("footer", ""), ("div", 'class="ad"'), ("div", 'class="advert banner"'), ("div", 'class="cookie-notice"'), ("div", 'class="notice"'), ("aside", ""), ("div", 'class="newsletter"'), ("div", 'class="promo"'), ("div", 'class="footer"'), ("div", 'class="header"'), ("div", 'role="banner"'), ("div", 'class="sponsored"'), ("div", 'class="popup"'))
 REMARKS = (("section", 'class="comments"'), ("div", 'id="comments"'), ("div", 'class="comment-list"'), ("ul", 'class="comments"'))
 SYLLABLES = "an be co da en fi go ha in ja ke lo mi no or pe qu ra st tu un ve wi".split()
 
