@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-AREA = 2_000_000
+AREA = 400_000
 
 
 def blocks(lengths: np.ndarray):

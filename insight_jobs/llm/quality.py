@@ -12,7 +12,6 @@ zero vectors. Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import labelled_sample
 
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~"
-PIECE = 50_000
+PIECE = 20_000
 
 
 def parts_of(word: str) -> tuple[str, str]:
@@ -54,27 +53,31 @@ class Vectors:
         k = self.vocabulary.get(token)
         return k if k is not None else len(self.vocabulary) + zlib.crc32(token.encode("utf-8", "surrogatepass")) % self.spare
 
-    def learn(self, streams: list[list[list[str]]], most: int, least: int, reach: int = 2, seed: int = 7) -> None:
-        """streams: kinds of token (words, shapes) of each document, kinds being of one length in a document."""
-        df = Counter(t for doc in streams for kind in doc for t in set(kind))
-        kept = sorted((t for t, n in df.items() if n >= least), key=lambda t: (-df[t], t))[:most]
-        self.vocabulary = {t: k for k, t in enumerate(kept)}
+    def learn(self, names: list[str], docs: list[np.ndarray], most: int, least: int, reach: int = 2, seed: int = 7) -> None:
+        """docs: numbers of tokens in `names`, a row for each kind of token (words, shapes) and a column for each place."""
+        df = np.zeros(len(names), np.int64)
+        for doc in docs:
+            df[np.unique(doc)] += 1
+        kept = sorted(np.flatnonzero(df >= least).tolist(), key=lambda k: (-df[k], names[k]))[:most]
+        self.vocabulary = {names[k]: i for i, k in enumerate(kept)}
+        row = np.array([self.number(t) for t in names], np.int64)
         index = np.vstack([self.sparse(np.random.default_rng(seed), len(kept)), self.rows])
-        total = np.zeros((len(index), self.dim), np.float64)
-        for doc in streams:
-            ids = [np.array([self.number(t) for t in kind], np.int64) for kind in doc]
-            n = len(ids[0])
-            if n < 2:
-                continue
-            here = sum(index[k] for k in ids)
-            around = np.zeros((n, self.dim), np.float32)
-            for d in range(1, min(reach, n - 1) + 1):
-                around[d:] += here[:-d]
-                around[:-d] += here[d:]
-            for k in ids:
-                order = np.argsort(k, kind="stable")
-                distinct, first = np.unique(k[order], return_index=True)
-                total[distinct] += np.add.reduceat(around[order], first)
+        total = np.zeros((len(index), self.dim), np.float32)
+        for doc in docs:
+            ids = row[doc]
+            n = ids.shape[1]
+            for start in range(0, n if n > 1 else 0, PIECE):
+                low, high = max(0, start - reach), min(n, start + PIECE + reach)
+                here = index[ids[:, low:high]].sum(0)
+                around = np.zeros_like(here)
+                for d in range(1, min(reach, len(here) - 1) + 1):
+                    around[d:] += here[:-d]
+                    around[:-d] += here[d:]
+                inner = slice(start - low, start - low + min(PIECE, n - start))
+                for k in ids[:, low:high]:
+                    order = np.argsort(k[inner], kind="stable")
+                    distinct, first = np.unique(k[inner][order], return_index=True)
+                    total[distinct] += np.add.reduceat(around[inner][order], first)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         self.rows = (index + total / np.maximum(norm, 1e-9)).astype(np.float32)
 
@@ -160,8 +163,18 @@ def pooled(text: str, tokens: Tokens) -> np.ndarray:
 
 def fit(rows: list[tuple[str, int]], dim: int = 96, most: int = 20_000, least: int = 3, spare: int = 2048) -> Model:
     vectors = Vectors(dim, spare)
-    split = [[parts_of(w) for w in t.split()] for t, _ in rows]
-    vectors.learn([[[core for core, _ in ws], ["shape:" + shape for _, shape in ws]] for ws in split], most, least)
+    number: dict[str, int] = {}
+    pairs: dict[str, tuple[int, int]] = {}
+    docs = []
+    for text, _ in rows:
+        words = text.split()
+        for w in words:
+            if w not in pairs:
+                core, shape = parts_of(w)
+                pairs[w] = number.setdefault(core, len(number)), number.setdefault("shape:" + shape, len(number))
+        docs.append(np.array([pairs[w] for w in words], np.int32).reshape(-1, 2).T)
+    vectors.learn(list(number), docs, most, least)
+    del docs, pairs, number
     tokens = Tokens(vectors)
     if not rows:
         return Model(vectors, None)
@@ -185,7 +198,7 @@ def score_documents(docs: DataFrame, model: Model, batch: int = 2000) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double")
 
 
-def quality(docs: DataFrame, labels: DataFrame, bound: int = 4000, cut: float = 0.3) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, bound: int = 3000, cut: float = 0.3) -> DataFrame:
     """Fit on at most `bound` labelled rows outside the held-out fold, then score every document."""
     model = fit(labelled_sample(docs, labels, "quality", 5, 0, bound))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0

@@ -180,7 +180,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5, batch
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, bound: int = 4000, cut: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, bound: int = 3000, cut: float = 0.3) -> DataFrame:
     """Fit on at most `bound` labelled rows outside the held-out fold, then score every document."""
     model = fit(labelled_sample(docs, labels, "toxic", 4, 2, bound))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
