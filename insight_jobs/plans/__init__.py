@@ -1 +1,16 @@
+"""Registered queries over the driver's tables, by area."""
 
+from __future__ import annotations
+
+from . import tables
+from .registry import ORACLES, QUERIES
+
+AREAS = (tables,)
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
