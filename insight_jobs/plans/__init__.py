@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import tables
+from . import tables, texts
 from .registry import ORACLES, QUERIES
 
-AREAS = (tables,)
+AREAS = (tables, texts)
 
 
 def queries() -> dict:
