@@ -132,7 +132,7 @@ def search_block(coder: Coder, ids: np.ndarray, x: np.ndarray, query_ids: np.nda
     return pd.DataFrame({name: np.concatenate([o[c] for o in out]) if out else [] for c, name in enumerate(("query_id", "vec_id", "score"))})
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, share: float = 0.1, block_rows: int = 30_000, group_rows: int = 3_000, sample_rows: int = 20_000) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, share: float = 0.2, block_rows: int = 30_000, group_rows: int = 3_000, sample_rows: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found among all other rows.
 
     share: of a block's codes at least so many must lie in the radius that a query ends at.
@@ -148,15 +148,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, share: float = 0.
         blocks, groups = -(-facts["n"] // block_rows), -(-rows.where(is_query).count() // group_rows)
         block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
         group = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, groups)))
-        base = rows.withColumn("block", block).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(max(1, groups) - 1)))).withColumn("grp", F.col("grp").cast("long"))
-        asked = rows.where(is_query).withColumn("grp", group.cast("long")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, n) - 1).cast("long")))
+        base = rows.select("vec_id", "v", F.lit(False).alias("asks"), block.cast("long").alias("block"), every(groups).alias("grp"))
+        asked = rows.where(is_query).select("vec_id", "v", F.lit(True).alias("asks"), every(blocks).alias("block"), group.cast("long").alias("grp"))
 
-        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        def run(dealt: pd.DataFrame) -> pd.DataFrame:
+            left, right = dealt[~dealt["asks"]], dealt[dealt["asks"]]
             if not len(left) or not len(right):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
             x, q = np.array(left["v"].tolist(), np.float64), np.array(right["v"].tolist(), np.float64)
             return search_block(coder.value, left["vec_id"].to_numpy(), x, right["vec_id"].to_numpy(), q, k, share)
 
-        found = base.withColumn("block", F.col("block").cast("long")).groupBy("block", "grp").cogroup(asked.groupBy("block", "grp")).applyInPandas(run, schema)
+        found = base.union(asked).groupBy("block", "grp").applyInPandas(lambda dealt: run(dealt), schema)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
