@@ -18,6 +18,16 @@ ENOUGH = 0.50
 # End of the fixed values.
 
 
+def lane_rows(hits: DataFrame, lane: int) -> DataFrame:
+    """A lane's rows for a union of lanes.
+
+    The key goes through an expression, so that the union doesn't promise its inputs' partitioning: Spark 4.1 zips such
+    inputs by partition, and that fails once adaptive execution has coalesced one of them.
+    """
+    key = F.when(F.col("rank") > 0, F.col("question_id"))
+    return hits.select(key.alias("question_id"), "chunk_id", "rank", F.lit(lane).alias("lane"))
+
+
 def top(df: DataFrame, k: int, order: list, by: list[str] = ("question_id",)) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
@@ -65,19 +75,19 @@ def dense_topk(questions: DataFrame, vectors: DataFrame, k: int, block_rows: int
     blocks, groups = (max(1, -(-df.count() // most)) for df, most in ((vectors, block_rows), (questions, group_rows)))
     dealt = lambda df, key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select("chunk_id", "embedding", dealt(vectors, "chunk_id", blocks).alias("b"), every(groups).alias("g"))
-    right = questions.select("question_id", "embedding", every(blocks).alias("b"), dealt(questions, "question_id", groups).alias("g"))
+    kinds = dict(questions.dtypes)["question_id"], dict(vectors.dtypes)["chunk_id"]
+    left = vectors.select(F.lit(None).cast(kinds[0]).alias("question_id"), "chunk_id", "embedding", dealt(vectors, "chunk_id", blocks).alias("b"), every(groups).alias("g"))
+    right = questions.select("question_id", F.lit(None).cast(kinds[1]).alias("chunk_id"), "embedding", every(blocks).alias("b"), dealt(questions, "question_id", groups).alias("g"))
 
-    def run(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        block, asked = rows[rows["question_id"].isna()].sort_values("chunk_id"), rows[rows["chunk_id"].isna()]
         if not len(block) or not len(asked):
             return pd.DataFrame({"question_id": [], "chunk_id": [], "score": []})
-        block = block.sort_values("chunk_id")
         s = unit(np.array(asked["embedding"].tolist(), np.float64)) @ unit(np.array(block["embedding"].tolist(), np.float64)).T
         best = np.argsort(-s, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"question_id": np.repeat(asked["question_id"].to_numpy(), best.shape[1]), "chunk_id": block["chunk_id"].to_numpy()[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
 
-    kinds = dict(questions.dtypes)["question_id"], dict(vectors.dtypes)["chunk_id"]
-    found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInPandas(run, f"question_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+    found = left.unionByName(right).groupBy("b", "g").applyInPandas(lambda rows: run(rows), f"question_id {kinds[0]}, chunk_id {kinds[1]}, score double")
     return top(found, k, [F.desc("score"), "chunk_id"])
 
 
@@ -100,7 +110,7 @@ def dense_topk_lsh(questions: DataFrame, vectors: DataFrame, k: int, bucket: flo
 
 def rrf_merge(lanes: list[DataFrame], top_n: int, k: int = RRF) -> DataFrame:
     """question_id, chunk_id, score, rank by the sum of 1 / (k + rank); an earlier lane wins ties."""
-    rows = reduce(DataFrame.unionByName, [lane.select("question_id", "chunk_id", "rank", F.lit(i).alias("lane")) for i, lane in enumerate(lanes)])
+    rows = reduce(DataFrame.unionByName, [lane_rows(hits, i) for i, hits in enumerate(lanes)])
     merged = rows.groupBy("question_id", "chunk_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min(F.struct("lane", "rank")).alias("first"))
     return top(merged, top_n, [F.desc(F.round("score", 12)), "first", "chunk_id"]).select("question_id", "chunk_id", "score", "rank")
 
@@ -126,7 +136,7 @@ def adaptive_retrieve(questions: DataFrame, dense: DataFrame, keyword: DataFrame
     """
     from .ground import confidence
 
-    lanes = dense.select("question_id", "chunk_id", "rank", F.lit(0).alias("lane")).unionByName(keyword.select("question_id", "chunk_id", "rank", F.lit(1).alias("lane")))
+    lanes = lane_rows(dense, 0).unionByName(lane_rows(keyword, 1))
     depths = questions.select("question_id", F.posexplode(F.array("initial_k", "expand_k", "max_k")).alias("round", "k"))
     fused = lanes.join(depths, "question_id").where(F.col("rank") <= F.col("k")).groupBy("question_id", "round", "k", "chunk_id").agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("score"), F.min(F.struct("lane", "rank")).alias("first"))
     order = Window.partitionBy("question_id", "round").orderBy(F.desc(F.round("score", 12)), "first", "chunk_id")

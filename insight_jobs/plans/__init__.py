@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import tables, texts
+from . import docs, tables, texts
 from .registry import ORACLES, QUERIES
 
-AREAS = (tables, texts)
+AREAS = (tables, texts, docs)
 
 
 def queries() -> dict:
