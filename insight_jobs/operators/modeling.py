@@ -85,7 +85,7 @@ def compare_models(df: DataFrame, target: str | None, task: str, folds: int = 3,
                     estimator = C.OneVsRest(classifier=estimator)
                 model = estimator.fit(train)
                 accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
-                cv = CrossValidator(estimator=estimator, estimatorParamMaps=ParamGridBuilder().build(), evaluator=accuracy, numFolds=folds, seed=SEED).fit(train).avgMetrics[0] if folds > 1 else None
+                cv = float(CrossValidator(estimator=estimator, estimatorParamMaps=ParamGridBuilder().build(), evaluator=accuracy, numFolds=folds, seed=SEED).fit(train).avgMetrics[0]) if folds > 1 else None
                 out.append((label, accuracy.evaluate(model.transform(test)), cv, None, None, None, None, None))
             elif task == "regression":
                 model = estimator.fit(train)

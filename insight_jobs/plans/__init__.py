@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import docs, tables, texts
+from . import docs, ledgers, models, tables, texts
 from .registry import ORACLES, QUERIES
 
-AREAS = (tables, texts, docs)
+AREAS = (tables, texts, docs, ledgers, models)
 
 
 def queries() -> dict:
