@@ -66,12 +66,17 @@ def filter_not_null(df: DataFrame, column: str) -> DataFrame:
     return filter_spec(df, [FilterSpec(column, "not_null")])
 
 
+def present(df: DataFrame, column: str) -> Column:
+    """The column with NaN as null."""
+    return F.when(~is_missing(df, column), name(column))
+
+
 def top_n(df: DataFrame, column: str, n: int, tie: list[str]) -> DataFrame:
-    return df.orderBy(name(column).desc_nulls_last(), *tie).limit(n)
+    return df.orderBy(present(df, column).desc_nulls_last(), *tie).limit(n)
 
 
 def bottom_n(df: DataFrame, column: str, n: int, tie: list[str]) -> DataFrame:
-    return df.orderBy(name(column).asc_nulls_last(), *tie).limit(n)
+    return df.orderBy(present(df, column).asc_nulls_last(), *tie).limit(n)
 
 
 def head(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:

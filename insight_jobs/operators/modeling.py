@@ -189,6 +189,11 @@ def feature_importance(spark, model, names: list[str], top: int = 15) -> DataFra
     return spark.createDataFrame(rows, "column string, importance double")
 
 
+def swapped(k: int):
+    """For F.transform: the k-th value replaced by column o."""
+    return lambda v, i: F.when(i == k, F.col("o")).otherwise(v)
+
+
 def permutation_importance(model, test: DataFrame, names: list[str], repeats: int = 5, evaluator=None) -> DataFrame:
     """column, importance: mean loss of accuracy when one feature comes from another row, in a random order of rows."""
     evaluator = evaluator or MulticlassClassificationEvaluator(metricName="accuracy")
@@ -202,7 +207,7 @@ def permutation_importance(model, test: DataFrame, names: list[str], repeats: in
         for r in range(repeats):
             order = Window.partitionBy(F.pmod(F.xxhash64("row", F.lit(r + 100)), F.lit(64))).orderBy(F.xxhash64("row", F.lit(r)))
             other = F.coalesce(F.lead(F.get("x", F.lit(k))).over(order), F.first(F.get("x", F.lit(k))).over(order))
-            mixed = rows.withColumn("o", other).select("label", array_to_vector(F.transform("x", lambda v, i, k=k: F.when(i == k, F.col("o")).otherwise(v))).alias("features"))
+            mixed = rows.withColumn("o", other).select("label", array_to_vector(F.transform("x", swapped(k))).alias("features"))
             losses.append(base - evaluator.evaluate(model.transform(mixed)))
         out.append((column, float(np.mean(losses))))
     return test.sparkSession.createDataFrame(out, "column string, importance double")

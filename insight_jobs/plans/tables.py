@@ -61,7 +61,7 @@ def column_stats(spark, d):
     return profile.column_stats(lines_with_nulls(spark, d).select(*VALUES))
 
 
-@query(union_sql(["l_linenumber", "l_discount", "l_tax"], "SELECT * FROM (SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_unique, list_sort(list(DISTINCT {c}::DOUBLE)) AS \"values\" FROM lineitem) WHERE n_unique <= 15"))
+@query(union_sql(LINE_NUMERIC, "SELECT * FROM (SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_unique, list_sort(list(DISTINCT {c}::DOUBLE)) AS \"values\" FROM lineitem) WHERE n_unique <= 15"))
 def discrete_columns(spark, d):
     return profile.discrete_columns(lines(spark, d))
 
