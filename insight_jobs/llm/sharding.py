@@ -3,8 +3,8 @@
 Links join equal texts (each text's copies are a group). The unit that moves is a cell: the copies of one text that a
 hash of doc_id put into one of `salts` parts, so that a text with any share of all rows is still many units. Every
 cell starts in the shard of its part. In each round a cell asks to move to the shard that holds most of its group
-and has room; requests are accepted, largest groups first, as far as the room goes, by running sums over a bounded
-number of request buckets. Then documents without links fill each shard up to its quota exactly.
+and has room (a small group whose shards are all full asks for another one); requests are accepted, largest groups first, as far as the room goes, by the sums of a bounded number
+of request buckets. Then documents without links fill each shard up to its quota exactly.
 
 Law `rows`: shard counts are at most one apart. Null and empty texts have no link and 0 bytes of text. Rows with equal
 doc_id are placed one by one. Extra columns are ignored.
@@ -14,11 +14,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import numbered, staged
 
 BUCKETS = 64
+#: Groups of fewer copies move whole; larger ones part by part.
+SMALL, SIZE_CLASS = 127, 7
 
 
 def _by_shard(values: list[int]) -> Column:
@@ -33,28 +34,42 @@ def _loads(cells: DataFrame, shards: int) -> list[int]:
     return out
 
 
+def _accepted(sums: list, room: list[int]) -> list[tuple[int, int, int]]:
+    """Request buckets that fit, largest groups first; one that doesn't fit is passed over, not waited for.
+
+    sums: target, size_class, bucket, n; at most shards x 64 size classes x BUCKETS rows, whatever the input.
+    """
+    left, out = list(room), []
+    for r in sorted(sums, key=lambda r: (-r["size_class"], r["bucket"])):
+        if r["n"] <= left[r["target"]]:
+            left[r["target"]] -= r["n"]
+            out.append((r["target"], r["size_class"], r["bucket"]))
+    return out
+
+
 def propagate(cells: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     """cells (grp, salt, n, shard) with shards after at most `rounds` rounds of accepted moves."""
-    shards = len(quotas)
-    for _ in range(rounds):
+    shards, spark = len(quotas), cells.sparkSession
+    for turn in range(rounds):
         room = [q - load for q, load in zip(quotas, _loads(cells, shards), strict=True)]
         held = cells.groupBy("grp", "shard").agg(F.sum("n").alias("held")).withColumn("room", _by_shard(room))
         rank = F.struct(F.col("held"), F.xxhash64("grp", "shard").alias("tie"), F.col("shard"))
         ranked = held.withColumn("rank", rank)
-        best = ranked.where("room > 0").groupBy("grp").agg(F.max("rank").alias("best"))
+        open_shards = [k for k, r in enumerate(room) if r > 0] or [0]
+        other = F.get(F.array(*[F.lit(k) for k in open_shards]), F.pmod(F.xxhash64("grp", F.lit(turn)), F.lit(len(open_shards))).cast("int"))
+        whole = F.struct(F.sum("held").alias("held"), F.lit(0).cast("long").alias("tie"), other.alias("shard"))
+        stuck = (F.max(F.when(F.col("room") > 0, 1).otherwise(0)) == 0) & (F.count(F.lit(1)) > 1) & (F.sum("held") < SMALL)
+        best = ranked.groupBy("grp").agg(F.coalesce(F.max(F.when(F.col("room") > 0, F.col("rank"))), F.when(stuck, whole)).alias("best"), F.sum("held").alias("total")).where("best IS NOT NULL")
         asking = (
             cells.join(ranked.select("grp", "shard", "rank"), ["grp", "shard"])
             .join(best, "grp")
             .where("best > rank")
-            .select("grp", "salt", "n", "shard", F.col("best.shard").alias("target"), F.col("best.held").alias("gain"))
-            .withColumn("size_class", F.floor(F.log2(F.col("gain") + 1)).cast("int"))
-            .withColumn("bucket", F.pmod(F.xxhash64("grp", F.when(F.col("size_class") >= 7, F.col("salt")).otherwise(0)), F.lit(BUCKETS)).cast("int"))
+            .select("grp", "salt", "n", "shard", F.col("best.shard").alias("target"), F.floor(F.log2(F.col("total") + 1)).cast("int").alias("size_class"))
+            .withColumn("bucket", F.pmod(F.xxhash64("grp", F.when(F.col("size_class") >= SIZE_CLASS, F.col("salt")).otherwise(0), F.lit(turn)), F.lit(BUCKETS)).cast("int"))
         )
         asking = staged(asking)
         sums = asking.groupBy("target", "size_class", "bucket").agg(F.sum("n").alias("n"))
-        upto = Window.partitionBy("target").orderBy(F.desc("size_class"), "bucket")
-        room_of = F.get(F.array(*[F.lit(int(v)).cast("long") for v in room]), F.col("target"))
-        taken = sums.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= room_of).select("target", "size_class", "bucket")
+        taken = spark.createDataFrame(_accepted(sums.collect(), room), "target int, size_class int, bucket int")
         moves = asking.join(F.broadcast(taken), ["target", "size_class", "bucket"]).select("grp", "salt", "target")  # at most shards x 64 size classes x BUCKETS rows
         cells = staged(cells.join(moves, ["grp", "salt"], "left").select("grp", "salt", "n", F.coalesce("target", "shard").alias("shard")))
         if not moves.limit(1).count():
