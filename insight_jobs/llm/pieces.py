@@ -16,6 +16,8 @@ Null and empty texts have no pieces and decode to an empty text. Extra columns a
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -35,7 +37,12 @@ class Pieces:
     def __init__(self, scores: dict[str, float], ids: dict[str, int], bytes_at: list[int], merging: bool, unknown: int = 0):
         self.scores, self.ids, self.bytes_at, self.merging, self.unknown = scores, ids, bytes_at, merging, unknown
         self.longest = max(map(len, scores), default=1)
-        self.endings = frozenset(p[-1] for p in scores)
+        ends: dict[str, set[int]] = {}
+        for p in scores:
+            if len(p) > 2:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        #: Lengths of the pieces that end in three given characters, longest first.
+        self.lengths = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
         self.fits: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -69,7 +76,9 @@ class Pieces:
                     if score > top:
                         top, chosen = score, piece
             else:
-                for n in range(min(self.longest, i), 1, -1):
+                for n in (*self.lengths.get(word[i - 3 : i], ()), 2) if i > 2 else (2,):
+                    if n > i:
+                        continue
                     piece = word[i - n : i]
                     if piece in scores and (i == n or self.fit(last[i - n], piece)):
                         chosen = piece
@@ -130,13 +139,13 @@ def decode(ids: Iterable[int], named: dict[int, str], byte_of: dict[int, int]) -
     return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, batch: int = 1000, remembered: int = 300_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str = MODEL, batch: int = 1000, remembered: int = 600_000) -> DataFrame:
     """doc_id, n_pieces, ids (binary, little-endian uint16), decodes: whether the ids give the text back."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = load(model)
+        pieces, little = load(model), sys.byteorder == "little"
         known: dict[str, bytes] = {}
-        back: dict[str, bool] = {}
+        lossy: set[str] = set()
         named, byte_of = {k: p for p, k in pieces.ids.items()}, {k: b for b, k in enumerate(pieces.bytes_at)}
         for frame in frames:
             for start in range(0, len(frame), batch):
@@ -144,13 +153,14 @@ def encode_documents(docs: DataFrame, model: str = MODEL, batch: int = 1000, rem
                 words = [marked_words(t or "") for t in part["text"]]
                 fresh = {w for ws in words for w in ws} - known.keys()
                 if len(known) + len(fresh) > remembered:
-                    known, back = {}, {}
+                    known, lossy = {}, set()
                     fresh = {w for ws in words for w in ws}
                 for word, ids in pieces.encode_words(fresh):
-                    known[word] = np.array(ids, "<u2").tobytes()
-                    back[word] = decode(ids, named, byte_of) == word.replace(MARK, " ")[1:]
+                    known[word] = array("H", ids).tobytes() if little else np.array(ids, "<u2").tobytes()
+                    if decode(ids, named, byte_of) != word.replace(MARK, " ")[1:]:
+                        lossy.add(word)
                 ids = [b"".join(map(known.__getitem__, ws)) for ws in words]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_pieces": [len(x) // 2 for x in ids], "ids": ids, "decodes": [all(map(back.__getitem__, ws)) for ws in words]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_pieces": [len(x) // 2 for x in ids], "ids": ids, "decodes": [lossy.isdisjoint(ws) for ws in words]})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_pieces long, ids binary, decodes boolean")
 
