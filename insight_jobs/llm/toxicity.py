@@ -61,10 +61,12 @@ def telling_features(words: Words, docs: list[np.ndarray], ys: np.ndarray, least
     return {f for f, n in found[1].items() if n >= least and n * odds / (n * odds + found[0][f]) >= precision}
 
 
-def document_features(p: np.ndarray) -> tuple[float, float]:
-    """From a document's marginals: the log odds of the largest and the log of the sum."""
-    top = min(max(float(p.max()), 1e-6), 1 - 1e-6) if len(p) else 1e-6
-    return float(np.log(top / (1 - top))), float(np.log(p.sum() + 1e-4))
+def document_features(p: np.ndarray) -> tuple[float, float, float]:
+    """From a document's marginals: the log odds of the largest and of the one after it, and the log of the sum."""
+    top = np.full(2, 1e-6)
+    top[: min(2, len(p))] = np.sort(p)[::-1][:2] if len(p) <= 2 else np.sort(np.partition(p, len(p) - 2)[-2:])[::-1]
+    first, second = np.clip(top, 1e-6, 1 - 1e-6)
+    return float(np.log(first / (1 - first))), float(np.log(second / (1 - second))), float(np.log(p.sum() + 1e-4))
 
 
 def marginals_of(chain: Chain, scores: list[np.ndarray]) -> list[np.ndarray]:
@@ -101,7 +103,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[tuple[str, int]], least: int = 4, precision: float = 0.95) -> Model:
+def fit(rows: list[tuple[str, int]], least: int = 4, precision: float = 0.85) -> Model:
     """A model of (text, label) rows; three quarters teach the chain, the rest calibrate it."""
     words = Words()
     docs, ys = [words.ids(t) for t, _ in rows], np.array([y for _, y in rows], np.int64)
@@ -121,8 +123,8 @@ def fit(rows: list[tuple[str, int]], least: int = 4, precision: float = 0.95) ->
     item = np.array([chain.w[list(fs)].sum() for fs in words.features])
     rest = [k for k in range(len(rows)) if not teach[k]] or list(range(len(rows)))
     p = marginals_of(chain, [item[docs[k]] for k in rest])
-    x = np.array([document_features(v) for v in p]).reshape(-1, 2)
-    return Model(chain, words.named, logistic(x, ys[rest].astype(float)) if rows else np.array([1.0, 0.0, 0.0]))
+    x = np.array([document_features(v) for v in p]).reshape(-1, 3)
+    return Model(chain, words.named, logistic(x, ys[rest].astype(float)) if rows else np.array([1.0, 0.0, 0.0, 0.0]))
 
 
 class Scores(dict):
