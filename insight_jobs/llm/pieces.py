@@ -89,12 +89,17 @@ class Pieces:
     def pieces(self, last: list[str]) -> list[str]:
         out, i = [], len(last) - 1
         while i > 0:
-            out.append(last[i])
-            i -= len(last[i])
-        return out[::-1]
+            p = last[i]
+            out.append(p)
+            i -= len(p)
+        out.reverse()
+        return out
 
     def numbers(self, pieces: list[str]) -> list[int]:
-        out: list[int] = []
+        out = list(map(self.ids.get, pieces))
+        if None not in out:
+            return out
+        out = []
         for p in pieces:
             k = self.ids.get(p)
             out.extend([k] if k is not None else [self.bytes_at[b] for b in p.encode("utf-8", "surrogatepass")] if self.bytes_at else [self.unknown])
@@ -139,7 +144,7 @@ def decode(ids: Iterable[int], named: dict[int, str], byte_of: dict[int, int]) -
     return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, batch: int = 1000, remembered: int = 600_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str = MODEL, batch: int = 1000, remembered: int = 1_200_000) -> DataFrame:
     """doc_id, n_pieces, ids (binary, little-endian uint16), decodes: whether the ids give the text back."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,6 +152,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, batch: int = 1000, rem
         known: dict[str, bytes] = {}
         lossy: set[str] = set()
         named, byte_of = {k: p for p, k in pieces.ids.items()}, {k: b for b, k in enumerate(pieces.bytes_at)}
+        spelled = [named.get(k, "") for k in range(max(named, default=-1) + 1)].__getitem__
         for frame in frames:
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start : start + batch]
@@ -157,10 +163,10 @@ def encode_documents(docs: DataFrame, model: str = MODEL, batch: int = 1000, rem
                     fresh = {w for ws in words for w in ws}
                 for word, ids in pieces.encode_words(fresh):
                     known[word] = array("H", ids).tobytes() if little else np.array(ids, "<u2").tobytes()
-                    if decode(ids, named, byte_of) != word.replace(MARK, " ")[1:]:
+                    if "".join(map(spelled, ids)) != word and decode(ids, named, byte_of) != word.replace(MARK, " ")[1:]:
                         lossy.add(word)
                 ids = [b"".join(map(known.__getitem__, ws)) for ws in words]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_pieces": [len(x) // 2 for x in ids], "ids": ids, "decodes": [lossy.isdisjoint(ws) for ws in words]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_pieces": [len(x) // 2 for x in ids], "ids": ids, "decodes": [not lossy or lossy.isdisjoint(ws) for ws in words]})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_pieces long, ids binary, decodes boolean")
 
