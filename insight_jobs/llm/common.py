@@ -9,7 +9,6 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -126,4 +125,3 @@ def without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-LONG, INT, DOUBLE, STRING, BOOL = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.BooleanType()
