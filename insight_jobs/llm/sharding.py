@@ -2,9 +2,11 @@
 
 Links join equal texts (each text's copies are a group). The unit that moves is a cell: the copies of one text that a
 hash of doc_id put into one of `salts` parts, so that a text with any share of all rows is still many units. Every
-cell starts in the shard of its part. In each round a cell asks to move to the shard that holds most of its group
-and has room (a small group whose shards are all full asks for another one); requests are accepted, largest groups first, as far as the room goes, by the sums of a bounded number
-of request buckets. Then documents without links fill each shard up to its quota exactly.
+cell starts in the shard of its part. In each turn a cell asks to move to the shard that holds most of its group:
+in even turns among the shards that have room, in odd turns among all that the group doesn't fill already. Arrivals are
+netted with departures, so that full shards swap; of each pair of shards as many requests are accepted as the quotas
+allow, largest groups first, cut off at the cell. It goes on until no turn of either kind moves anything: each move
+brings a group closer together, so it ends. Then documents without links fill each shard up to its quota exactly.
 
 Law `rows`: shard counts are at most one apart. Null and empty texts have no link and 0 bytes of text. Rows with equal
 doc_id are placed one by one. Extra columns are ignored.
@@ -12,14 +14,18 @@ doc_id are placed one by one. Extra columns are ignored.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import numbered, staged
 
-BUCKETS = 64
-#: Groups of fewer copies move whole; larger ones part by part.
-SMALL, SIZE_CLASS = 127, 7
+BUCKETS = 1024
+#: Size class from which the parts of a group are ranked apart, so that no bucket holds all of a large group.
+SIZE_CLASS = 7
+#: Turns without a move after which it ends: two of each kind, with other ties.
+IDLE = 4
 
 
 def _by_shard(values: list[int]) -> Column:
@@ -34,50 +40,81 @@ def _loads(cells: DataFrame, shards: int) -> list[int]:
     return out
 
 
-def _accepted(sums: list, room: list[int]) -> list[tuple[int, int, int]]:
-    """Request buckets that fit, largest groups first; one that doesn't fit is passed over, not waited for.
+def _allowed(asked: np.ndarray, loads: list[int], quotas: list[int]) -> np.ndarray:
+    """How many of the rows asked for (from, to) may move at once, so that nobody gains beyond the quota.
 
-    sums: target, size_class, bucket, n; at most shards x 64 size classes x BUCKETS rows, whatever the input.
+    All are accepted first; then arrivals of the fullest shard are refused, from the emptiest shards first, until none is
+    too full that has arrivals. The matrix is of shards x shards, whatever the input.
     """
-    left, out = list(room), []
-    for r in sorted(sums, key=lambda r: (-r["size_class"], r["bucket"])):
-        if r["n"] <= left[r["target"]]:
-            left[r["target"]] -= r["n"]
-            out.append((r["target"], r["size_class"], r["bucket"]))
-    return out
-
-
-def propagate(cells: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
-    """cells (grp, salt, n, shard) with shards after at most `rounds` rounds of accepted moves."""
-    shards, spark = len(quotas), cells.sparkSession
-    for turn in range(rounds):
-        room = [q - load for q, load in zip(quotas, _loads(cells, shards), strict=True)]
-        held = cells.groupBy("grp", "shard").agg(F.sum("n").alias("held")).withColumn("room", _by_shard(room))
-        rank = F.struct(F.col("held"), F.xxhash64("grp", "shard").alias("tie"), F.col("shard"))
-        ranked = held.withColumn("rank", rank)
-        open_shards = [k for k, r in enumerate(room) if r > 0] or [0]
-        other = F.get(F.array(*[F.lit(k) for k in open_shards]), F.pmod(F.xxhash64("grp", F.lit(turn)), F.lit(len(open_shards))).cast("int"))
-        whole = F.struct(F.sum("held").alias("held"), F.lit(0).cast("long").alias("tie"), other.alias("shard"))
-        stuck = (F.max(F.when(F.col("room") > 0, 1).otherwise(0)) == 0) & (F.count(F.lit(1)) > 1) & (F.sum("held") < SMALL)
-        best = ranked.groupBy("grp").agg(F.coalesce(F.max(F.when(F.col("room") > 0, F.col("rank"))), F.when(stuck, whole)).alias("best"), F.sum("held").alias("total")).where("best IS NOT NULL")
-        asking = (
+    moved = asked.copy()
+    while True:
+        over = np.array(loads) + moved.sum(0) - moved.sum(1) - np.array(quotas)
+        full = np.where(moved.sum(0) > 0, over, 0)
+        t = int(full.argmax())
+        if full[t] <= 0:
+            return moved
+        left = int(full[t])
+        for s in np.argsort(over, kind="stable"):
+            cut = min(left, int(moved[s, t]))
+            moved[s, t] -= cut
+            left -= cut
+
+
+def _first(asking: DataFrame, allowed: np.ndarray) -> DataFrame:
+    """The cells of `asking` that fit into what each pair of shards may move, in the order of size class and bucket.
+
+    Running sums of bounded counts (size classes x BUCKETS a pair) give each bucket its place; only the cells of the
+    one bucket that a limit cuts through are ranked together.
+    """
+    pair = ["shard", "target"]
+    limits = asking.sparkSession.createDataFrame([(int(s), int(t), int(allowed[s, t])) for s, t in np.argwhere(allowed)], "shard int, target int, allowed long")
+    before = Window.partitionBy(*pair).orderBy(F.desc("size_class"), "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = asking.groupBy(*pair, "size_class", "bucket").agg(F.sum("n").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    places = sums.join(F.broadcast(limits), pair).where("before < allowed")  # at most shards x shards rows
+    placed = asking.join(places, [*pair, "size_class", "bucket"])
+    inside = Window.partitionBy(*pair).orderBy(F.xxhash64("grp"), "grp", "salt").rowsBetween(Window.unboundedPreceding, 0)
+    whole = placed.where("before + rows <= allowed")
+    cut = placed.where("before + rows > allowed").withColumn("upto", F.col("before") + F.sum("n").over(inside)).where("upto <= allowed")
+    return whole.select("grp", "salt", "target").union(cut.select("grp", "salt", "target"))
+
+
+def propagate(cells: DataFrame, quotas: list[int]) -> DataFrame:
+    """cells (grp, salt, n, shard) with shards after the last turn that moved any."""
+    shards = len(quotas)
+    turn = idle = 0
+    while idle < IDLE:
+        loads = _loads(cells, shards)
+        open_only = turn % 2 == 0
+        room = [q - load for q, load in zip(quotas, loads, strict=True)]
+        held = cells.groupBy("grp", "shard").agg(F.sum("n").alias("held"))
+        target = _by_shard(room) > 0 if open_only else F.col("held") < _by_shard(quotas)
+        ranked = held.withColumn("rank", F.struct(F.col("held"), F.xxhash64("grp", "shard", F.lit(turn)).alias("tie"), F.col("shard"))).withColumn("open", target)
+        best = ranked.groupBy("grp").agg(F.max(F.when(F.col("open"), F.col("rank"))).alias("best"), F.sum("held").alias("total")).where("best IS NOT NULL")
+        asking = staged(
             cells.join(ranked.select("grp", "shard", "rank"), ["grp", "shard"])
             .join(best, "grp")
             .where("best > rank")
             .select("grp", "salt", "n", "shard", F.col("best.shard").alias("target"), F.floor(F.log2(F.col("total") + 1)).cast("int").alias("size_class"))
             .withColumn("bucket", F.pmod(F.xxhash64("grp", F.when(F.col("size_class") >= SIZE_CLASS, F.col("salt")).otherwise(0), F.lit(turn)), F.lit(BUCKETS)).cast("int"))
         )
-        asking = staged(asking)
-        sums = asking.groupBy("target", "size_class", "bucket").agg(F.sum("n").alias("n"))
-        taken = spark.createDataFrame(_accepted(sums.collect(), room), "target int, size_class int, bucket int")
-        moves = asking.join(F.broadcast(taken), ["target", "size_class", "bucket"]).select("grp", "salt", "target")  # at most shards x 64 size classes x BUCKETS rows
-        cells = staged(cells.join(moves, ["grp", "salt"], "left").select("grp", "salt", "n", F.coalesce("target", "shard").alias("shard")))
-        if not moves.limit(1).count():
+        asked = np.zeros((shards, shards), np.int64)
+        for r in asking.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect():
+            asked[r["shard"], r["target"]] = r["n"]
+        if not open_only and not asked.any():
             break
+        allowed = _allowed(asked, loads, quotas)
+        moved = 0
+        if allowed.any():
+            moves = staged(_first(asking, allowed))
+            moved = moves.count()
+        if moved:
+            cells = staged(cells.join(moves, ["grp", "salt"], "left").select("grp", "salt", "n", F.coalesce("target", "shard").alias("shard")))
+        idle = 0 if moved else idle + 1
+        turn += 1
     return cells
 
 
-def balanced_shards(docs: DataFrame, shards: int = 24, salts: int = 240, rounds: int = 6) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 24, salts: int = 240) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
     text = F.col("text").cast("string")
     raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
@@ -93,7 +130,7 @@ def balanced_shards(docs: DataFrame, shards: int = 24, salts: int = 240, rounds:
     parts = staged(base.where("grp IS NOT NULL").groupBy("grp", "salt").agg(F.count(F.lit(1)).alias("n")))
     several = parts.groupBy("grp").agg(F.sum("n").alias("total")).where("total > 1").select("grp")
     cells = staged(parts.join(several, "grp").withColumn("shard", F.pmod(F.col("salt"), F.lit(shards))))
-    cells = propagate(cells, quotas, rounds)
+    cells = propagate(cells, quotas)
     placed = staged(base.join(cells.select("grp", "salt", "shard"), ["grp", "salt"], "left").select("doc_id", "size", "text_crc32", "grp", "shard"))
     linked = numbered(placed.where("shard IS NOT NULL"), ["shard"], ["doc_id", "grp"], "place")
     fitting = F.col("place") < _by_shard(quotas)

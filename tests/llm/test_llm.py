@@ -268,6 +268,22 @@ def test_sharding_when_every_row_is_linked(spark):
     check_shards(sharding.balanced_shards(docs).collect(), 600, 24)
 
 
+def test_sharding_of_a_table_loaded_twice(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 3000}") for k in range(6000)], "doc_id long, text string")
+    got = sharding.balanced_shards(docs).collect()
+    check_shards(got, 6000, 24)
+    where = {}
+    for r in got:
+        where.setdefault(r["doc_id"] % 3000, set()).add(r["shard"])
+    assert np.mean([len(s) > 1 for s in where.values()]) < 0.02
+
+
+def test_moves_between_full_shards_are_netted():
+    asked = np.array([[0, 5, 0], [0, 0, 4], [3, 0, 0]])
+    assert sharding._allowed(asked, [9, 9, 9], [9, 9, 9]).tolist() == [[0, 3, 0], [0, 0, 3], [3, 0, 0]]
+    assert sharding._allowed(asked, [9, 8, 7], [9, 9, 9]).sum() >= 9
+
+
 def test_permutation_is_a_bijection():
     for n in (1, 2, 3, 17, 1000, 4097):
         assert sorted(materialise.permuted(np.arange(n), n, 5)) == list(range(n))
