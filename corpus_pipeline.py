@@ -5,6 +5,7 @@ Each stage gets what the one before kept; all but the last return the columns of
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,24 +13,50 @@ from insight_jobs.llm import neardup, packing, quality, toxicity
 from insight_jobs.llm.common import staged
 
 
-def _keeping(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose doc_id has a kept verdict; rows without doc_id stay."""
-    rejected = verdicts.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+def _numbered_rows(docs: DataFrame) -> DataFrame:
+    """The documents with a key of each row's own, `_row`: its file's number and its place in the file.
+
+    Documents that aren't read straight from files are written first.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = staged(docs)
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    names = sorted(r["_file"] for r in placed.select("_file").distinct().collect())
+    files = docs.sparkSession.createDataFrame(list(enumerate(names)), "_number long, _file string")
+    row = F.shiftleft("_number", 40) + F.col("_at")
+    return placed.join(F.broadcast(files), "_file").select(*docs.columns, row.alias("_row"))  # one row a file
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """Key and text, the key in place of doc_id, for operators that give doc_id back."""
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
+def _keeping(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose key is in `kept`, without the key."""
+    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _keeping(docs, scored.select("doc_id", (F.col("predicted") == 0).alias("kept")))
+    rows = _numbered_rows(docs)
+    scored = toxicity.score_documents(_by_row(rows), toxicity.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return _keeping(rows, scored.where(F.col("score") < toxicity.CUT).withColumnRenamed("doc_id", "_row"))
 
 
 def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _keeping(docs, scored.select("doc_id", (F.col("predicted") == 1).alias("kept")))
+    rows = _numbered_rows(docs)
+    scored = quality.score_documents(_by_row(rows), quality.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return _keeping(rows, scored.where(F.col("score") >= quality.CUT).withColumnRenamed("doc_id", "_row"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keeping(docs, neardup.near_duplicates(docs).select("doc_id", "kept"))
+    """The row with the smallest doc_id of each component; one without doc_id only where no row has any."""
+    rows = _numbered_rows(docs)
+    grouped = neardup.near_duplicates(_by_row(rows)).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    return _keeping(rows, rows.select("_row", "doc_id").join(grouped, "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ from .common import labelled_sample
 
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~"
 PIECE = 20_000
+#: Score from which a document counts as good.
+CUT = 0.3
 
 
 def parts_of(word: str) -> tuple[str, str]:
@@ -198,8 +200,13 @@ def score_documents(docs: DataFrame, model: Model, batch: int = 2000) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double")
 
 
-def quality(docs: DataFrame, labels: DataFrame, bound: int = 3000, cut: float = 0.3) -> DataFrame:
+def learned(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> Model:
+    """The model fitted on at most `bound` labelled rows outside the held-out fold."""
+    return fit(labelled_sample(docs, labels, "quality", 5, 0, bound))
+
+
+def quality(docs: DataFrame, labels: DataFrame, bound: int = 3000, cut: float = CUT) -> DataFrame:
     """Fit on at most `bound` labelled rows outside the held-out fold, then score every document."""
-    model = fit(labelled_sample(docs, labels, "quality", 5, 0, bound))
+    model = learned(docs, labels, bound)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     return score_documents(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

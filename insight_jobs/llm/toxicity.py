@@ -23,6 +23,8 @@ from .crf import Chain, blocks, padded
 
 SEGMENT = 256
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~"
+#: Score from which a document counts as toxic.
+CUT = 0.3
 
 
 def token_features(word: str) -> list[str]:
@@ -182,8 +184,13 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5, batch
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, bound: int = 3000, cut: float = 0.3) -> DataFrame:
+def learned(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> Model:
+    """The model fitted on at most `bound` labelled rows outside the held-out fold."""
+    return fit(labelled_sample(docs, labels, "toxic", 4, 2, bound))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, bound: int = 3000, cut: float = CUT) -> DataFrame:
     """Fit on at most `bound` labelled rows outside the held-out fold, then score every document."""
-    model = fit(labelled_sample(docs, labels, "toxic", 4, 2, bound))
+    model = learned(docs, labels, bound)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     return score_documents(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "n_spans", "spans")

@@ -417,6 +417,17 @@ def test_pipeline(spark):
     assert edge.columns == [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+def test_pipeline_judges_rows_not_ids(spark, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(toxicity, "learned", lambda *a: None)
+    monkeypatch.setattr(toxicity, "score_documents", lambda docs, model: docs.select("doc_id", F.when(F.col("text").contains("vile"), 0.9).otherwise(0.1).alias("score")))
+    base, other = " ".join(words(120, 1)), " ".join(words(120, 2))
+    docs = spark.createDataFrame([(None, "vile words"), (None, base), (None, base), (1, other), (1, other), (2, "vile thing"), (2, base)], "doc_id long, text string")
+    clean = common.staged(pipeline.without_toxic(spark, docs, SF))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in clean.collect()) == sorted([(0, base), (0, base), (1, other), (1, other), (2, base)])
+    assert sorted((r["doc_id"], r["text"]) for r in pipeline.one_of_each(spark, clean, SF).collect()) == [(1, other), (2, base)]
+
+
 def test_queries_run(spark):
     from insight_jobs.llm import queries
 
