@@ -265,3 +265,19 @@ def test_ledger_edges(spark):
     assert [tuple(r) for r in ledger.feedback_rollup(fb, "doc_id").collect()] == [(1, 1, 1)]
     v = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (1, 3, None), (2, 1, 0)], "question_id long, rank int, relevant int")
     assert by(ledger.context_precision(v), "question_id", "context_precision") == {1: 0.5, 2: 0.0}
+
+
+def test_lsh_finds_the_true_neighbours(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    questions = vectors.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "question_id")
+    exact = retrieve.dense_topk(questions, vectors, 10)
+    got = retrieve.dense_topk_lsh(questions, vectors, 10).cache()
+    assert got.count() == exact.count() == 10 * questions.count()
+    assert got.join(exact, ["question_id", "chunk_id"], "left_semi").count() >= 0.9 * exact.count()
+
+
+def test_lsh_answers_questions_without_shared_buckets(spark):
+    vectors = spark.createDataFrame([(k, [1.0, 0.02 * k, 0.0]) for k in range(6)], "chunk_id long, embedding array<float>")
+    questions = spark.createDataFrame([(1, [-1.0, 0.0, 0.1])], "question_id long, embedding array<float>")
+    got = [(r["chunk_id"], r["rank"]) for r in retrieve.dense_topk_lsh(questions, vectors, 3, bucket=0.01).orderBy("rank").collect()]
+    assert got == [(5, 1), (4, 2), (3, 3)]
