@@ -94,6 +94,7 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str, buckets:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, left_out: int, bound: int) -> list[tuple[str, int]]:
     """(text, label) of at most `bound` labelled rows outside the held-out fold, chosen by a hash of doc_id.
 
+    Only labels that have a document here are chosen from, so that a part of the corpus still gives a whole sample.
     The chosen ids are a table of at most `bound` rows, so that broadcasting them is safe; texts come whole.
     A text that comes again, exactly or nearly, is left out, so that large groups of copies don't outvote the rest.
     """
@@ -102,6 +103,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, l
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (remainder != left_out))
         .dropDuplicates(["doc_id"])
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )

@@ -106,8 +106,15 @@ class Model:
 
 
 def fit(rows: list[tuple[str, int]], least: int = 4, precision: float = 0.85) -> Model:
-    """A model of (text, label) rows; three quarters teach the chain, the rest calibrate it."""
+    """A model of (text, label) rows; three quarters teach the chain, the rest calibrate it.
+
+    Without a toxic row nothing is known to be toxic: every document is clean and has no spans.
+    """
     words = Words()
+    if not any(y for _, y in rows):
+        chain = Chain(len(words.named))
+        chain.w[0] = -30.0
+        return Model(chain, words.named, np.array([0.0, 0.0, 0.0, -30.0]))
     docs, ys = [words.ids(t) for t, _ in rows], np.array([y for _, y in rows], np.int64)
     teach = np.arange(len(rows)) % 4 != 3
     taught = [d for d, k in zip(docs, teach, strict=True) if k]
@@ -126,7 +133,7 @@ def fit(rows: list[tuple[str, int]], least: int = 4, precision: float = 0.85) ->
     rest = [k for k in range(len(rows)) if not teach[k]] or list(range(len(rows)))
     p = marginals_of(chain, [item[docs[k]] for k in rest])
     x = np.array([document_features(v) for v in p]).reshape(-1, 3)
-    return Model(chain, words.named, logistic(x, ys[rest].astype(float)) if rows else np.array([1.0, 0.0, 0.0, 0.0]))
+    return Model(chain, words.named, logistic(x, ys[rest].astype(float)))
 
 
 class Scores(dict):

@@ -202,6 +202,19 @@ def test_classifier_edges(edges, nothing, labels):
         assert run(edges, labels.where("false")).where("score IS NULL OR score < 0 OR score > 1").count() == 0
 
 
+def test_sample_is_drawn_from_labels_with_documents(spark):
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    docs = spark.createDataFrame([(k * 100, f"own text {k}") for k in range(40)], "doc_id long, text string")
+    wanted = sum(zlib.crc32(str(k * 100).encode()) % 4 != 2 for k in range(40))
+    assert len(common.labelled_sample(docs, labels, "toxic", 4, 2, 40)) == wanted
+
+
+def test_nothing_is_toxic_without_a_toxic_label(edges, labels):
+    for known in (labels.where("false"), labels.withColumn("toxic", F.lit(0))):
+        got = toxicity.toxicity(edges, known)
+        assert got.where("predicted = 0 AND n_spans = 0").count() == len(edge_rows())
+
+
 def test_learning_leaves_out_the_held_out_fold(spark, documents):
     all_labels = documents.select("doc_id", F.lit(1).alias("toxic"))
     rows = common.labelled_sample(documents, all_labels, "toxic", 4, 2, 10_000)
