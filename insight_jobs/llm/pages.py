@@ -25,7 +25,9 @@ from .crf import Chain
 
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template title textarea svg math iframe object canvas head".split())
+SILENT = frozenset("script style noscript template title textarea iframe head".split())
+#: What may stand in a head; anything else ends a head that has no end tag.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 BOXES = frozenset("article aside body div footer form header main nav section".split())
 ENDS_BEFORE = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 NAMES = re.compile(r"[A-Za-z]+")
@@ -56,7 +58,14 @@ class Leaves(HTMLParser):
                 self.blocks.append(Block(tuple((t, n) for t, n, _ in self.stack), text, self.linked, label))
             self.parts, self.linked = [], 0
 
+    def end_head(self) -> None:
+        """Leave an open head, unless a silent element inside it is open."""
+        if self.silent == 1 and any(t == "head" for t, _, _ in self.stack):
+            self.handle_endtag("head")
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag in BLOCK:
             self.flush()
             if self.stack and self.stack[-1][0] == "p":
@@ -95,6 +104,8 @@ class Leaves(HTMLParser):
             self.pop()
 
     def handle_data(self, data):
+        if self.silent == 1 and not data.isspace():
+            self.end_head()
         if self.silent <= 0:
             self.parts.append(data)
             if self.links > 0:

@@ -398,6 +398,15 @@ def test_pages(spark):
     assert pages.main_texts(df.where("false")).count() == 0
 
 
+def test_pages_lose_no_text_in_open_heads_or_drawings():
+    texts = lambda html: [b.text for b in pages.leaf_blocks(html)]
+    for start in ("<body><p>", "<p>", "<span>", ""):
+        assert texts(f"<html><head><title>x</title><style>p{{}}</style>{start}The text.") == ["The text."]
+    assert texts("<head><template><p>no</p></template><script>var a;</script></head><body><p>yes</p>") == ["yes"]
+    for tag in ("math", "svg", "object", "canvas"):
+        assert texts(f"<article><p>one <{tag}>two</{tag}> three</p></article>") == ["one two three"]
+
+
 def test_pages_of_unseen_layouts():
     model = pages.fit()
     right = total = 0
