@@ -95,10 +95,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def dense_topk_lsh(questions: DataFrame, vectors: DataFrame, k: int, bucket: float = 0.5, tables: int = 8) -> DataFrame:
+def dense_topk_lsh(questions: DataFrame, vectors: DataFrame, k: int, bucket: float = 0.5, tables: int = 8, reach: float = 1.2) -> DataFrame:
     """An approximate form for large corpora: random projections of unit vectors, exact distances in shared buckets.
 
-    Distances aren't cut. Questions that share buckets with fewer than k vectors are answered by `dense_topk`.
+    A question with k hits within `reach` has its neighbours there; one with fewer is answered by `dense_topk`.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
     from pyspark.ml.functions import array_to_vector
@@ -106,9 +106,9 @@ def dense_topk_lsh(questions: DataFrame, vectors: DataFrame, k: int, bucket: flo
     prepare = lambda df: Normalizer(inputCol="v", outputCol="features").transform(df.withColumn("v", array_to_vector("embedding")))
     base, asked = prepare(vectors.select("chunk_id", "embedding")), prepare(questions.select("question_id", "embedding"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=1).fit(base)
-    near = model.approxSimilarityJoin(asked, base, float("inf"), "distance")
+    near = model.approxSimilarityJoin(asked, base, reach, "distance")
     scored = near.select("datasetA.question_id", "datasetB.chunk_id", (1 - F.col("distance") ** 2 / 2).alias("score"))
-    found = top(scored, k, [F.desc("score"), "chunk_id"])
+    found = top(scored, k, [F.desc("score"), "chunk_id"]).persist()
     full = found.where(F.col("rank") == k).select("question_id")
     exact = dense_topk(questions.join(full, "question_id", "left_anti"), vectors, k)
     # The key goes through an expression for the reason that lane_rows gives.
