@@ -1,31 +1,65 @@
-"""Small shared helpers: shared-folder stages, word splitting, gapless numbering, training samples."""
+"""Small shared helpers: shared-folder stages, Arrow batches, word splitting, gapless numbering, training samples."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
+    """The folder that all executors share; a temporary one only on a single machine whose session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="stages-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+#: Attribute of a staged table that holds its folder.
+_FOLDER = "_stage_folder"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it again: lineage is cut, lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    setattr(out, _FOLDER, path)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables of which nothing is read any more: all that was built on them is itself staged."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(getattr(df, _FOLDER))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_batches(rows: DataFrame, schema: pa.Schema, begin: Callable[[], Callable[[pa.RecordBatch], dict]], most: int = 2000) -> DataFrame:
+    """Apply a function to Arrow batches of at most `most` rows; keys pass as Arrow arrays, so that no long becomes a double.
+
+    begin: called once a task; gives the function from a batch to its output columns (lists or Arrow arrays).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = begin()
+        for whole in batches:
+            for start in range(0, whole.num_rows, most):
+                got = work(whole.slice(start, most))
+                yield pa.RecordBatch.from_arrays([c if isinstance(c := got[f.name], pa.Array) else pa.array(c, f.type) for f in schema], schema=schema)
+
+    return rows.mapInArrow(run, from_arrow_schema(schema))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -65,7 +99,10 @@ def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
     out = np.full(len(hashes) - width_here + 1, width_here, np.uint64)
     for k in range(width_here):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(hashes) - width_here + 1 + k])
-    return np.unique(out)
+    out.sort()
+    fresh = np.ones(len(out), bool)
+    np.not_equal(out[1:], out[:-1], out=fresh[1:])
+    return out[fresh]
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str, buckets: int = 4096) -> DataFrame:
@@ -95,19 +132,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, l
     """(text, label) of at most `bound` labelled rows outside the held-out fold, chosen by a hash of doc_id.
 
     Only labels that have a document here are chosen from, so that a part of the corpus still gives a whole sample.
-    The chosen ids are a table of at most `bound` rows, so that broadcasting them is safe; texts come whole.
+    The chosen ids are a table of at most `bound` rows, so that broadcasting them is safe; texts come whole. An id that
+    has several labels has the smallest of them; of an id with several texts all count, in the order of their hashes.
     A text that comes again, exactly or nearly, is left out, so that large groups of copies don't outvote the rest.
     """
     remainder = F.crc32(F.col("doc_id").cast("string")) % fold
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (remainder != left_out))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min("y").alias("y"))
         .join(docs.select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(bound).collect()
     return without_copies([(r["text"] or "", int(r["y"] > 0)) for r in rows])
 
 

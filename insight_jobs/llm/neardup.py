@@ -6,56 +6,74 @@
 3. Six bins together are a bucket key (42 of them). In each bucket the member that shares most places with others
    is the centre, and every other member gets one edge to it. Buckets of two keys, four keys and eight keys together are
    split the same way. So a bucket of n members has n - 1 edges at each level, whatever its size.
-4. Every edge is confirmed on the full shingle sets of both texts. Members of a bucket that ended in more than one
-   component meet again around another centre, until no round adds a link.
-5. Components come from alternating neighbour and pointer steps on the confirmed edges.
+4. The full shingle sets of the texts that share a bucket are written once, and every edge is confirmed on them.
+   Members of a bucket that ended in more than one component meet again around other centres.
+5. What then still spans components is searched whole: the members of such a bucket outside its largest component meet all
+   members of other components, in blocks of bounded size. Only pairs whose sizes and minima can belong to a link are
+   confirmed. So every pair that shares a bucket is linked, in one component already, or found not to be a link.
+6. Components come from alternating neighbour and pointer steps on the confirmed edges.
 
 Null texts and texts without words have no shingles and are linked with nothing. Rows without doc_id come back with a
-null component and are not kept. Extra columns are ignored.
+null component and are not kept. Rows that share a doc_id are judged each by its own text; where the smallest doc_id of
+two different texts is the same, they count as linked. Equal rows have equal results. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, shingle_set, staged
+from .common import WordHashes, dropped, in_batches, mixed, shingle_set, staged
 
 BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
 LEVELS = (1, 2, 4, 8)
-EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """One minimum per bin of one permutation; empty bins are filled by optimal densification."""
-    h = mixed(shingles)
-    bins = (h % np.uint64(BINS)).astype(np.int64)
-    order = np.lexsort((h, bins))
-    filled, first = np.unique(bins[order], return_index=True)
-    out = np.full(BINS, EMPTY)
-    out[filled] = h[order][first]
-    there = np.zeros(BINS, bool)
-    there[filled] = True
-    open_bins, attempt = np.flatnonzero(~there), 0
-    while len(open_bins):
+#: Rows of a block in the search of step 5.
+BLOCK = 1000
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+@cache
+def lenders(attempt: int) -> np.ndarray:
+    """The bin that each empty bin asks at an attempt."""
+    return (mixed(np.arange(BINS, dtype=np.uint64) * GOLDEN + np.uint64(attempt)) % np.uint64(BINS)).astype(np.int64)
+
+
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """A row for each sorted set: one minimum per bin of one permutation; empty bins are filled by optimal densification.
+
+    Hashes are dealt to bins by their upper half, so that a sorted set lies in the order of its bins. An empty set
+    has zeros.
+    """
+    out, there = np.zeros((len(sets), BINS), np.uint64), np.zeros((len(sets), BINS), bool)
+    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    place = np.repeat(np.arange(len(sets)) * BINS, sizes) + ((flat >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    out.ravel()[place[first]] = flat[first]
+    there.ravel()[place[first]] = True
+    row, bins = np.nonzero(~there & (sizes > 0)[:, None])
+    attempt = 0
+    while len(row):
         attempt += 1
-        source = (mixed(open_bins.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt)) % np.uint64(BINS)).astype(np.int64)
-        found = there[source]
-        out[open_bins[found]] = mixed(out[source[found]] + np.uint64(attempt))
-        open_bins = open_bins[~found]
+        source = lenders(attempt)[bins]
+        found = there[row, source]
+        out[row[found], bins[found]] = mixed(out[row[found], source[found]] + np.uint64(attempt))
+        row, bins = row[~found], bins[~found]
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in sig.reshape(BANDS, ROWS).T:
-        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + column)
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """The bucket keys of each row of signatures."""
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sigs), BANDS))
+    for k in range(ROWS):
+        keys = mixed(keys * GOLDEN + sigs[:, k::ROWS])
     return keys.view(np.int64)
 
 
@@ -63,31 +81,60 @@ def shingles_of(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
     return shingle_set(hashes.of(text.encode("utf-8", "surrogatepass").lower().split() if text else []), width)
 
 
+def set_key(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (16 bytes; the row's own where there are no shingles), keys (bands)."""
+    """doc_id, n_shingles, set_key (16 bytes; null where there are no shingles), keys (bands) of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+    def begin():
+        hashes = WordHashes()
+
+        def work(batch: pa.RecordBatch) -> dict:
+            sets = [shingles_of(t, width, hashes) for t in batch.column("text").to_pylist()]
+            keys = band_keys(signatures(sets))
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
+            return {"doc_id": batch.column("doc_id"), "n_shingles": list(map(len, sets)), "set_key": list(map(set_key, sets)), "keys": keys}
+
+        return work
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), schema, begin, 500)
+
+
+def shared_keys(representatives: DataFrame) -> DataFrame:
+    """(key, id, j, weight) of band keys that at least two representatives have; j: the band, weight: how many have it."""
+    every = representatives.select("id", F.posexplode("keys").alias("j", "key"))
+    common = every.groupBy("key").agg(F.count(F.lit(1)).alias("weight")).where("weight > 1")
+    return every.join(common, "key").select("key", "id", "j", "weight")
+
+
+def all_levels(shared: DataFrame, members: DataFrame) -> DataFrame:
+    """(level, key, id, central): a row of each level for each shared key; central: how many places an id shares."""
+    keyed = members.join(shared.groupBy("id").agg(F.sum("weight").alias("central")), "id").select("id", "keys", "central")
+    further = lambda level: [F.get(F.col("keys"), (F.col("j") + k) % BANDS) for k in range(1, level)]
+    levels = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), (F.col("key") if n == 1 else F.xxhash64(F.col("key"), *further(n), F.lit(n))).alias("key")) for n in LEVELS]))
+    return shared.join(keyed, "id").select("id", "central", levels.alias("x")).select("x.level", "x.key", "id", "central")
+
+
+def full_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(id, n, shingles, minima) of the members (id, set_key): sorted 64-bit hashes, and one byte of each bin's minimum."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("shingles", pa.binary()), ("minima", pa.binary())])
+
+    def begin():
         hashes = WordHashes()
-        for frame in frames:
-            sizes, set_keys, keys = [], [], []
-            for text in frame["text"]:
-                s = shingles_of(text, width, hashes)
-                sizes.append(len(s))
-                set_keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                keys.append(band_keys(signature(s)) if len(s) else None)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_shingles": sizes, "set_key": set_keys, "keys": keys})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_shingles long, set_key binary, keys array<long>")
+        def work(batch: pa.RecordBatch) -> dict:
+            sets = [shingles_of(t, width, hashes) for t in batch.column("text").to_pylist()]
+            minima = (signatures(sets) & np.uint64(255)).astype(np.uint8)
+            return {"id": batch.column("id"), "n": list(map(len, sets)), "set_key": list(map(set_key, sets)), "shingles": [s.tobytes() for s in sets], "minima": [m.tobytes() for m in minima]}
 
+        return work
 
-def shared_rows(representatives: DataFrame) -> DataFrame:
-    """(level, key, id, weight) of keys that at least two representatives have; weight: how many have the key."""
-    first = representatives.select("id", "keys", F.posexplode("keys").alias("j", "key"))
-    narrow = first.select("key", "id", F.struct(*[F.get(F.col("keys"), (F.col("j") + k) % BANDS).alias(f"k{k}") for k in range(1, max(LEVELS))]).alias("next"))
-    common = narrow.groupBy("key").agg(F.count(F.lit(1)).alias("weight")).where("weight > 1")
-    rows = narrow.join(common, "key")
-    levels = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), (F.col("key") if level == 1 else F.xxhash64(F.col("key"), *[F.col(f"next.k{k}") for k in range(1, level)], F.lit(level))).alias("key")) for level in LEVELS]))
-    return rows.select("id", "weight", levels.alias("x")).select("id", "weight", F.col("x.level").alias("level"), F.col("x.key").alias("key"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(members.select("id").distinct(), "id", "left_semi")
+    got = in_batches(texts, schema, begin, 500).join(members.select("id", "set_key"), ["id", "set_key"], "left_semi")
+    return got.groupBy("id", "set_key").agg(*[F.first(c).alias(c) for c in ("n", "shingles", "minima")]).drop("set_key")
 
 
 def stars(rows: DataFrame, centrality: str) -> DataFrame:
@@ -97,41 +144,42 @@ def stars(rows: DataFrame, centrality: str) -> DataFrame:
     return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, share: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs whose full shingle sets agree in at least `share` hundredths of their union."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).where("_id IS NOT NULL")
-    with_b = pairs.join(texts, F.col("b") == F.col("_id")).select("a", "b", F.col("text").alias("text_b"))
-    both = with_b.join(texts, F.col("a") == F.col("_id")).select("a", "b", F.col("text").alias("text_a"), "text_b")
+    side = lambda end: sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("shingles").alias(f"s_{end}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * share)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for frame in frames:
-            kept = []
-            last, left = None, np.empty(0, np.uint64)
-            for ta, tb in zip(frame["text_a"], frame["text_b"], strict=True):
-                if ta is not last:
-                    last, left = ta, shingles_of(ta, width, hashes)
-                right = shingles_of(tb, width, hashes)
-                common = len(np.intersect1d(left, right, assume_unique=True)) if min(len(left), len(right)) * 100 >= share * max(len(left), len(right)) else 0
-                kept.append(common > 0 and 100 * common >= share * (len(left) + len(right) - common))
-            yield frame.loc[np.array(kept, bool), ["a", "b"]]
+    def begin():
+        def work(batch: pa.RecordBatch) -> dict:
+            linked = []
+            for x, y in zip(batch.column("s_a"), batch.column("s_b"), strict=True):
+                left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                union = np.concatenate([left, right])
+                union.sort()
+                common = int(np.count_nonzero(union[1:] == union[:-1]))
+                linked.append(100 * common >= share * (len(union) - common))
+            return {k: batch.column(k).filter(pa.array(linked, pa.bool_())) for k in ("a", "b")}
+
+        return work
 
-    return both.mapInPandas(run, "a long, b long").distinct()
+    return in_batches(both.select("a", "b", "s_a", "s_b"), pa.schema([("a", pa.int64()), ("b", pa.int64())]), begin).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of the edges; component: the smallest id reachable."""
     both = staged(edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a")))
     labels = staged(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")))
-    while True:
+    moved = True
+    while moved:
         seen = both.join(labels.select(F.col("id").alias("other"), F.col("component").alias("theirs")), "other").groupBy("id").agg(F.min("theirs").alias("theirs"))
         hooked = labels.join(seen, "id").select("id", F.col("component").alias("was"), F.least("component", "theirs").alias("c"))
         up = labels.select(F.col("id").alias("c"), F.col("component").alias("further"))
-        after = staged(hooked.join(up, "c").select("id", "was", F.least("c", "further").alias("component")))
-        moved = after.where("component <> was").limit(1).count()
-        labels = after.select("id", "component")
-        if not moved:
-            return labels
+        after = staged(hooked.join(up, "c").select("id", F.least("c", "further").alias("component"), (F.least("c", "further") != F.col("was")).alias("moved")))
+        moved = bool(after.where("moved").limit(1).count())
+        dropped(labels)
+        labels = after
+    dropped(both)
+    return labels
 
 
 def more_stars(rows: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
@@ -143,41 +191,95 @@ def more_stars(rows: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
 
 
-def bridging(links: DataFrame, labels: DataFrame) -> bool:
-    """Whether a link joins two components."""
-    ends = links
-    for end in ("a", "b"):
-        ends = ends.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-    return bool(ends.where("coalesce(ca, a) <> coalesce(cb, b)").limit(1).count())
+def likely_pairs(rows: DataFrame, labels: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """(a, b) of all pairs that share a bucket, lie in different components and may be links by their sizes and minima.
+
+    In each bucket that spans components, members outside the largest one are dealt into blocks of about BLOCK rows, and
+    so are its members. Every block of the former meets every block, two blocks at a time, so that memory is
+    bounded; of a bucket that one component fills but for k members, each row comes k / BLOCK + 1 times. A link's
+    share of equal minima falls below the threshold by five standard deviations at most.
+    """
+    t = share / 100
+    least = int(np.floor(BINS * (t - 5 * np.sqrt(t * (1 - t) / BINS))))
+    labelled = rows.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK)
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all")).where("all > main.n")
+    split = main.select("key", F.col("main.component").alias("main"), blocks(F.col("all") - F.col("main.n")).alias("outer"), blocks(F.col("main.n")).alias("inner"))
+    met = staged(labelled.join(split, "key").withColumn("outside", F.col("component") != F.col("main")))
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("outer")).otherwise(F.col("inner")))
+    place = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
+    last = F.col("outer") + F.col("inner") - 1
+    own = F.transform(F.sequence(F.col("block"), last), lambda y: place(F.col("block"), y))
+    before = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("block")), lambda x: x < F.col("block")), lambda x: place(x, F.col("block")))
+    inner = F.transform(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1), lambda x: place(x, F.col("outer") + F.col("block")))
+    places = F.explode(F.when(F.col("outside"), F.concat(own, before)).otherwise(inner))
+    dealt = met.withColumn("block", block).select("key", "id", "component", F.col("outside").alias("first"), "block", places.alias("p"))
+    dealt = dealt.select("key", "p.x", "p.y", (F.col("first") & (F.col("block") == F.col("p.x"))).alias("first"), "id", "component")
+    with_sets = dealt.join(sets.select("id", "n", "minima"), "id")
+    order = ["key", "x", "y"]
+    sorted_runs = with_sets.repartition(*order).sortWithinPartitions(*order).select(*order, "first", "id", "component", "n", "minima")
+
+    def pairs_of(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, component, n = (run.column(c).to_numpy() for c in ("id", "component", "n"))
+        first = run.column("first").to_numpy()
+        minima = np.frombuffer(b"".join(run.column("minima").to_pylist()), np.uint8).reshape(len(ids), BINS)
+        alone = run.column("x")[0].as_py() == run.column("y")[0].as_py()
+        right = np.arange(len(ids)) if alone else np.flatnonzero(~first)
+        a, b = [], []
+        for k in np.flatnonzero(first):
+            other = right[(component[right] != component[k]) & (100 * np.minimum(n[right], n[k]) >= share * np.maximum(n[right], n[k]))]
+            other = other[other > k] if alone else other
+            other = other[np.count_nonzero(minima[other] == minima[k], axis=1) >= least]
+            a.append(np.minimum(ids[other], ids[k]))
+            b.append(np.maximum(ids[other], ids[k]))
+        return np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of equal (key, x, y) lie side by side; the last one of a batch may go on in the next."""
+        held: list[pa.Table] = []
+        for batch in batches:
+            table = pa.concat_tables([*held, pa.Table.from_batches([batch])]).combine_chunks()
+            if not table.num_rows:
+                continue
+            marks = [table.column(c).to_numpy() for c in order]
+            starts = np.flatnonzero(np.concatenate([[True], np.any([m[1:] != m[:-1] for m in marks], axis=0)]))
+            for start, stop in zip(starts[:-1], starts[1:], strict=True):
+                a, b = pairs_of(table.slice(start, stop - start))
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+            held = [table.slice(starts[-1])]
+        for rest in held:
+            a, b = pairs_of(rest)
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+
+    return sorted_runs.mapInArrow(search, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, turns: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links at a Jaccard similarity of share/100 or more.
 
-    turns: rounds of further stars that may add nothing before the search ends.
+    turns: rounds of further stars before what still spans components is searched whole. They only save work.
     """
     sketch = staged(sketches(docs, width))
     keyed = sketch.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = staged(keyed.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys")))
-    rows = staged(shared_rows(classes))
-    central = rows.where("level = 1").groupBy("id").agg(F.sum("weight").alias("central"))
-    rows = staged(rows.join(central, "id").select("key", "id", "central"))
+    classes = staged(keyed.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
+    shared = staged(shared_keys(classes))
+    members = staged(classes.join(shared.select("id").distinct(), "id", "left_semi"))
+    rows = staged(all_levels(shared, members))
+    sets = staged(full_sets(docs, members, width))
     tested = staged(stars(rows, "central"))
-    links = staged(confirmed(tested, docs, width, share))
+    links = staged(confirmed(tested, sets, share))
     labels = components(links)
-    turn = idle = 0
-    while idle < turns:
-        turn += 1
-        fresh = staged(more_stars(rows, labels, turn).join(tested, ["a", "b"], "left_anti"))
-        found = staged(confirmed(fresh, docs, width, share))
-        tested = tested.union(fresh)
-        idle += 1
-        if bridging(found, labels):
-            idle = 0
-            links = links.union(found)
-            labels = components(links)
+    for turn in range(turns + 1):
+        last = turn == turns
+        met = likely_pairs(rows.where("level = 1"), labels, sets, share) if last else more_stars(rows, labels, turn)
+        fresh = staged(met.join(tested, ["a", "b"], "left_anti"))
+        found = staged(confirmed(fresh, sets, share))
+        tested, links = staged(tested.union(fresh)), staged(links.union(found))
+        labels = components(links)
     named = classes.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     alone = F.encode(F.concat(F.lit("alone "), F.monotonically_increasing_id().cast("string")), "utf-8")
     slim = sketch.select("doc_id", "n_shingles", F.coalesce("set_key", alone).alias("set_key"))
     out = slim.join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    dropped(shared, members, rows, sets)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
