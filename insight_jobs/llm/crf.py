@@ -68,16 +68,16 @@ class Chain:
 
     def viterbi(self, scores: np.ndarray) -> np.ndarray:
         """The likeliest states of one sequence."""
-        n = len(scores)
-        best, came = np.array([0.0, self.start + scores[0]]), np.zeros((n, 2), np.int8)
-        for k in range(1, n):
-            via = best[:, None] + self.t
-            came[k] = via.argmax(0)
-            best = via.max(0) + np.array([0.0, scores[k]])
-        out = np.empty(n, np.int8)
-        out[-1] = best.argmax()
-        for k in range(n - 1, 0, -1):
-            out[k - 1] = came[k, out[k]]
+        (t00, t01), (t10, t11) = self.t.tolist()
+        off, on = 0.0, self.start + float(scores[0])
+        came = []
+        for score in scores[1:].tolist():
+            came.append((on + t10 > off + t00, on + t11 > off + t01))
+            off, on = max(off + t00, on + t10), max(off + t01, on + t11) + score
+        out = np.empty(len(scores), np.int8)
+        state = out[-1] = int(on > off)
+        for k in range(len(came) - 1, -1, -1):
+            state = out[k] = int(came[k][state])
         return out
 
     def fit(self, features: list[tuple[int, ...]], sequences: list[np.ndarray], states: list[np.ndarray], rounds: int = 60, rate: float = 0.5, decay: float = 1e-4) -> Chain:

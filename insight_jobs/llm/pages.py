@@ -7,20 +7,25 @@ pages and marks them on each page by Viterbi's algorithm.
 The labelled pages are layouts built here by rule, in which each container says whether it is main text: articles in
 varied containers among menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 
-Nulls, empty pages and pages without text give an empty text. Extra columns are ignored.
+Nulls, empty pages and pages without text give an empty text. Rows that come again, with or without page_id, each have
+their result. Broken markup is read as far as it can be: a mark that can't be read is passed over. The work grows
+with the length of a page, whatever it nests or leaves open: the features of a block are those of its innermost open
+elements and of all that they have added, which each element keeps once. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from collections import Counter
+from collections.abc import Container
+from html import unescape
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
 from .crf import Chain
 
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -31,106 +36,176 @@ IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript scri
 BOXES = frozenset("article aside body div footer form header main nav section".split())
 ENDS_BEFORE = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 NAMES = re.compile(r"[A-Za-z]+")
+#: A start or end tag: its sign, its name and the rest, in which quoted values may hold its end.
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"""([^\s/>="']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""")
+SHORT_COMMENT = re.compile("<!--(?:-?>)")
+#: Elements whose content is no markup, and where it ends.
+RAW = {tag: re.compile(rf"(?i)</{tag}(?=[\s/>])") for tag in ("script", "style")}
+
+
+class Node:
+    """An open element: its tag, the names of its class, id and role, and what it and its ancestors add to a block's features.
+
+    `features` is one frozenset for all elements that add nothing new, so that deep nesting shares it.
+    """
+
+    __slots__ = ("box", "features", "label", "tag")
+
+    def __init__(self, tag: str, names: list[str], label: int, parent: Node | None, known: Container[str] | None):
+        self.tag = tag
+        self.label = label if label >= 0 or parent is None else parent.label
+        fresh = {n for n in (f"in:{tag}", *[f"name:{n}" for n in names]) if known is None or n in known}
+        above = parent.features if parent else frozenset()
+        self.features = above if fresh <= above else above | fresh
+        self.box = tuple(dict.fromkeys((f"box:{tag}", *[f"box:{n}" for n in names]))) if tag in BOXES else parent.box if parent else ("box:",)
 
 
 class Block:
-    __slots__ = ("label", "linked", "path", "text")
+    __slots__ = ("linked", "node", "text")
+
+    def __init__(self, node: Node | None, text: str, linked: int):
+        self.node, self.text, self.linked = node, text, linked
 
-    def __init__(self, path: tuple, text: str, linked: int, label: int):
-        self.path, self.text, self.linked, self.label = path, text, linked, label
+    @property
+    def label(self) -> int:
+        return max(0, self.node.label) if self.node else 0
 
 
-class Leaves(HTMLParser):
-    """Collects leaf blocks. `stack` holds (tag, names of its class, id and role, label)."""
+class Leaves:
+    """Collects leaf blocks. `stack` holds the open elements and `open` how many of each tag.
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...], int]] = []
+    labels: the attribute that says whether an element is main text, for pages to learn from. known: features that count;
+    others are left out, so that what elements add is bounded.
+    """
+
+    def __init__(self, labels: str | None = None, known: Container[str] | None = None):
+        self.labels, self.known = labels, known
+        self.stack: list[Node] = []
+        self.open: Counter[str] = Counter()
         self.blocks: list[Block] = []
         self.parts: list[str] = []
-        self.linked = self.silent = self.links = 0
+        self.linked = self.silent = 0
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                label = next((y for _, _, y in reversed(self.stack) if y >= 0), 0)
-                self.blocks.append(Block(tuple((t, n) for t, n, _ in self.stack), text, self.linked, label))
+                self.blocks.append(Block(self.stack[-1] if self.stack else None, text, self.linked))
             self.parts, self.linked = [], 0
 
     def end_head(self) -> None:
         """Leave an open head, unless a silent element inside it is open."""
-        if self.silent == 1 and any(t == "head" for t, _, _ in self.stack):
-            self.handle_endtag("head")
+        if self.silent == 1 and self.open["head"]:
+            self.end("head")
 
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag: str, inside: str) -> None:
+        """A start tag; inside: what stands between its name and its end."""
         if tag not in IN_HEAD:
             self.end_head()
         if tag in BLOCK:
             self.flush()
-            if self.stack and self.stack[-1][0] == "p":
+            if self.stack and self.stack[-1].tag == "p":
                 self.pop()
-            while self.stack and self.stack[-1][0] in ENDS_BEFORE.get(tag, ()):
+            while self.stack and self.stack[-1].tag in ENDS_BEFORE.get(tag, ()):
                 self.pop()
         elif tag == "br":
             self.parts.append(" ")
-        if tag in VOID:
+        if tag in VOID or (closed := inside.endswith("/")) and tag not in BLOCK:
             return
-        if tag in SILENT:
-            self.silent += 1
-        if tag == "a":
-            self.links += 1
-        got = dict(attrs)
-        names = tuple(n.lower() for k in ("class", "id", "role") for n in NAMES.findall(got.get(k) or ""))
-        self.stack.append((tag, names, int(got.get("data-main", -1))) if tag in BLOCK or names else (tag, (), -1))
-
-    def handle_startendtag(self, tag, attrs):
-        if tag in BLOCK or tag == "br":
-            self.handle_starttag(tag, attrs)
-            if tag not in VOID:
-                self.handle_endtag(tag)
+        self.silent += tag in SILENT
+        self.open[tag] += 1
+        got: dict[str, str] = {}
+        if "=" in inside:
+            for m in ATTRIBUTE.finditer(inside):
+                got.setdefault(m[1].lower(), unescape(m[2].strip("\"'")))
+        names = [n.lower() for k in ("class", "id", "role") for n in NAMES.findall(got.get(k, ""))]
+        label = int(got[self.labels]) if self.labels in got else -1
+        self.stack.append(Node(tag, names, label, self.stack[-1] if self.stack else None, self.known))
+        if closed:
+            self.end(tag)
 
     def pop(self) -> None:
-        tag = self.stack.pop()[0]
+        tag = self.stack.pop().tag
+        self.open[tag] -= 1
         self.silent -= tag in SILENT
-        self.links -= tag == "a"
 
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        if any(t == tag for t, _, _ in self.stack):
-            while self.stack[-1][0] != tag:
+        if self.open[tag]:
+            while self.stack[-1].tag != tag:
                 self.pop()
             self.pop()
 
-    def handle_data(self, data):
-        if self.silent == 1 and not data.isspace():
+    def data(self, raw: str) -> None:
+        text = unescape(raw)
+        if self.silent == 1 and not text.isspace():
             self.end_head()
         if self.silent <= 0:
-            self.parts.append(data)
-            if self.links > 0:
-                self.linked += len(data.strip())
-
-
-def leaf_blocks(html: str | None) -> list[Block]:
-    parser = Leaves()
-    if html:
-        parser.feed(html)
-        parser.close()
-        parser.flush()
-    return parser.blocks
-
-
-def block_features(blocks: list[Block]) -> list[tuple[str, ...]]:
+            self.parts.append(text)
+            if self.open["a"]:
+                self.linked += len(text.strip())
+
+    def feed(self, html: str) -> None:
+        """Read a page from front to back; no place is looked at more than a few times.
+
+        A comment without an end loses its mark alone. Once a tag has no end outside its quotes, quotes don't count any
+        more, and a tag without any end is text.
+        """
+        at, behind = 0, len(html)
+        tag_at, last_end, last_comment = TAG.match, html.rfind(">"), html.rfind("-->")
+        while at < behind:
+            mark = html.find("<", at)
+            if mark < 0 or mark > last_end:
+                self.data(html[at:])
+                break
+            if mark > at:
+                self.data(html[at:mark])
+            sign = html[mark + 1]
+            if html.startswith("<!--", mark):
+                short = SHORT_COMMENT.match(html, mark)
+                at = short.end() if short else html.index("-->", mark + 4) + 3 if last_comment >= mark + 4 else mark + 4
+            elif sign in "!?" or (sign == "/" and not html[mark + 2 : mark + 3].isalpha()):
+                end = html.find("]]>", mark) + 2 if html.startswith("<![CDATA[", mark) else -1
+                at = max(end, html.index(">", mark)) + 1
+            elif not (sign == "/" or sign.isascii() and sign.isalpha()):
+                self.data("<")
+                at = mark + 1
+            else:
+                m = tag_at(html, mark)
+                if not m:
+                    tag_at = PLAIN_TAG.match
+                    m = tag_at(html, mark)
+                tag, at = m[2].lower(), m.end()
+                if m[1]:
+                    self.end(tag)
+                else:
+                    self.start(tag, m[3])
+                    if tag in RAW and self.open[tag]:
+                        close = RAW[tag].search(html, at)
+                        at = close.start() if close else behind
+        self.flush()
+
+
+def leaf_blocks(html: str | None, labels: str | None = None, known: Container[str] | None = None) -> list[Block]:
+    leaves = Leaves(labels, known)
+    leaves.feed(html or "")
+    return leaves.blocks
+
+
+def block_features(blocks: list[Block]) -> list[tuple[frozenset[str], tuple[str, ...]]]:
+    """For each block the features of its open elements (shared) and its own, none of which is among the former."""
     out = []
     for b in blocks:
-        names = {f"tag:{b.path[-1][0]}" if b.path else "tag:", *(f"in:{t}" for t, _ in b.path), *(f"name:{n}" for _, ns in b.path for n in ns)}
-        box = next(((t, ns) for t, ns in reversed(b.path) if t in BOXES), ("", ()))
-        names |= {f"box:{box[0]}", *(f"box:{n}" for n in box[1])}
         share = b.linked / max(1, len(b.text))
         words = b.text.count(" ") + 1
-        names |= {f"words:{min(7, words.bit_length())}", f"links:{0 if share == 0 else 1 if share < 0.5 else 2}", f"end:{b.text[-1] if b.text[-1] in '.!?:…' else ''}", f"sign:{int('©' in b.text)}", f"commas:{min(3, b.text.count(','))}"}
-        out.append(tuple(sorted(names)))
+        own = (
+            f"tag:{b.node.tag if b.node else ''}", *(b.node.box if b.node else ("box:",)), f"words:{min(7, words.bit_length())}", f"links:{0 if share == 0 else 1 if share < 0.5 else 2}",
+            f"end:{b.text[-1] if b.text[-1] in '.!?:…' else ''}", f"sign:{int('©' in b.text)}", f"commas:{min(3, b.text.count(','))}",
+        )
+        out.append((b.node.features if b.node else frozenset(), own))
     return out
 
 
@@ -182,25 +257,31 @@ class Extractor:
     def __init__(self, weights: dict[str, float], chain: Chain):
         self.weights, self.chain = weights, chain
 
-    def main_text(self, html: str | None) -> str:
-        blocks = leaf_blocks(html)
-        if not blocks:
-            return ""
+    def scores(self, blocks: list[Block]) -> np.ndarray:
+        """Emission scores; what open elements add is summed once for all blocks that share it."""
         get = self.weights.get
-        scores = np.array([get("", 0.0) + sum([get(n, 0.0) for n in names]) for names in block_features(blocks)])
-        return " ".join(b.text for b, main in zip(blocks, self.chain.viterbi(scores), strict=True) if main)
+        shared: dict[int, float] = {}
+        out = []
+        for above, own in block_features(blocks):
+            if id(above) not in shared:
+                shared[id(above)] = get("", 0.0) + sum([get(n, 0.0) for n in above])
+            out.append(shared[id(above)] + sum([get(n, 0.0) for n in own]))
+        return np.array(out)
+
+    def main_text(self, html: str | None) -> str:
+        blocks = leaf_blocks(html, known=self.weights)
+        return " ".join(b.text for b, main in zip(blocks, self.chain.viterbi(self.scores(blocks)), strict=True) if main) if blocks else ""
 
 
 def fit() -> Extractor:
     """An extractor learned from the labelled layouts."""
-    labelled = [(blocks, [b.label for b in blocks]) for blocks in map(leaf_blocks, labelled_layouts())]
     number: dict[str, int] = {"": 0}
     items: dict[tuple[str, ...], int] = {}
     sequences, states = [], []
-    for blocks, labels in labelled:
-        if blocks:
-            sequences.append(np.array([items.setdefault(names, len(items)) for names in block_features(blocks)]))
-            states.append(np.array(labels, np.float64))
+    for html in labelled_layouts():
+        if blocks := leaf_blocks(html, "data-main"):
+            sequences.append(np.array([items.setdefault(tuple(sorted([*above, *own])), len(items)) for above, own in block_features(blocks)]))
+            states.append(np.array([b.label for b in blocks], np.float64))
     features = [(0, *(number.setdefault(n, len(number)) for n in names)) for names in items]
     chain = Chain(len(number)).fit(features, sequences, states, rounds=400, decay=1e-6)
     return Extractor({n: float(chain.w[k]) for n, k in number.items()}, chain)
@@ -209,12 +290,16 @@ def fit() -> Extractor:
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     shared = pages.sparkSession.sparkContext.broadcast(fit())
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin():
         extractor = shared.value
-        for frame in frames:
-            texts = [extractor.main_text(h) for h in frame["html"]]
-            yield pd.DataFrame({"page_id": frame["page_id"].to_numpy(), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+
+        def work(batch: pa.RecordBatch) -> dict:
+            texts = [extractor.main_text(h) for h in batch.column("html").to_pylist()]
+            return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "n_chars": list(map(len, texts))}
+
+        return work
 
     slim = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return slim.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return in_batches(slim, schema, begin, 200)

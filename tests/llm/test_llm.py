@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 import zlib
 
 import duckdb
@@ -409,11 +410,42 @@ def test_pages_lose_no_text_in_open_heads_or_drawings():
         assert texts(f"<article><p>one <{tag}>two</{tag}> three</p></article>") == ["one two three"]
 
 
+def test_pages_of_any_markup():
+    model = pages.fit()
+    wanted = "One, two and three. Four and five, six."
+    body = "<p>One, two and three.</p>{}<p>Four and five, six.</p>"
+    odd = ["<div data-main>", '<script id="r" data-main="js/main"></script>', "<![foo[x]]>", "<![if IE]>", "<!x>", "<?x?>", "<!-->", "<!-- > -->", "<a title='>'></a>", "</>", "</ x>", "<![CDATA[ > ]]>", "<b/>", '<br class="x">']
+    for mark in odd:
+        assert model.main_text(f"<article>{body.format(mark)}</article>") == wanted, mark
+    assert [b.text for b in pages.leaf_blocks("a < b <!-- c <p>d")] == ["a < b c", "d"]
+    assert [b.text for b in pages.leaf_blocks("<p>x <a href='y>z</p>")] == ["x z"]
+
+
+def test_pages_take_time_by_their_length():
+    model = pages.fit()
+    began = time.perf_counter()
+    for part in ("<font><p>some words, here.", "<div>some words, here.", "<b>some words, here ", "<a href='", "<!-- ", "<a <a b=>", "<script>", "<![foo[x]]>", "<p", "</p"):
+        model.main_text("<article>" + part * 20_000 + "<a b='>'")
+    model.main_text("<article>" + "".join(f'<div class="{"abcdefghij"[k % 10]}{"klmnop"[k // 10 % 6]}{"x" * (k % 97)}">some words, here.' for k in range(20_000)))
+    assert time.perf_counter() - began < 30
+    long = "<p>some words here, and more of them and so on.</p>" * 200_000
+    assert len(model.main_text(f"<nav>a</nav><article>{long}</article>")) == 45 * 200_000 - 1
+
+
+def test_page_features_by_hand():
+    """Against features built from the whole path of each block."""
+    for html in pages.labelled_layouts(20, seed=5):
+        for b, (above, own) in zip(blocks := pages.leaf_blocks(html), pages.block_features(blocks), strict=True):
+            assert f"tag:{b.node.tag}" in own and f"in:{b.node.tag}" in above and f"words:{min(7, len(b.text.split()).bit_length())}" in own
+    (b,) = pages.leaf_blocks('<main id="x"><div class="Big card"><span role="note"><p>A, b')
+    assert pages.block_features([b]) == [(frozenset(["in:main", "name:x", "in:div", "name:big", "name:card", "in:span", "name:note", "in:p"]), ("tag:p", "box:div", "box:big", "box:card", "words:2", "links:0", "end:", "sign:0", "commas:1"))]
+
+
 def test_pages_of_unseen_layouts():
     model = pages.fit()
     right = total = 0
     for html in pages.labelled_layouts(60, seed=77):
-        blocks = pages.leaf_blocks(html)
+        blocks = pages.leaf_blocks(html, "data-main")
         wanted = " ".join(b.text for b in blocks if b.label)
         total += 1
         right += model.main_text(html) == wanted
