@@ -5,12 +5,14 @@ such a border. The distinct marked words of a batch are sorted, which lays them
 trie; a word starts from the forward states of the prefix that it shares with the word before, so each trie node is
 computed once.
 
-Models of two kinds: under a unigram model the forward state of a prefix is its best score and last piece (Viterbi).
-Under a merge (BPE) model the largest sum of scores isn't what the public library returns; there the state is the
-last piece of the prefix's own encoding, which is the only piece that fits (ends the prefix, and the pair with the
-last piece of what is left encodes to itself). Characters without a piece fall back to their bytes.
-
-Null and empty texts have no pieces and decode to an empty text. Extra columns are ignored.
+The forward state of a prefix is its best score and the last piece of the best path (Viterbi). Models of two kinds differ
+in the transitions: under a unigram model any piece may follow any other. Under a merge (BPE) model a piece may follow
+another only if the merge procedure leaves the two as they are; the largest sum over all paths isn't what the public
+library returns, but with this rule one path alone is admissible, and it is the library's. So the search of a prefix ends
+with the first admissible piece. Characters without a piece fall back to their bytes.
+
+Null and empty texts have no pieces and decode to an empty text. Very long texts are encoded whole; equal rows have
+equal results, with or without doc_id. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +24,16 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: Score of a character without a piece.
+UNKNOWN = -100_000.0
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -68,11 +74,11 @@ class Pieces:
         """Extend the states of a prefix (best[i], last[i]: of the first i characters) to the whole word."""
         scores = self.scores
         for i in range(len(best), len(word) + 1):
-            top, chosen = -np.inf, word[i - 1]
+            top, chosen = best[i - 1] + scores.get(word[i - 1], UNKNOWN), word[i - 1]
             if not self.merging:
                 for n in range(1, min(self.longest, i) + 1):
                     piece = word[i - n : i]
-                    score = scores.get(piece, -np.inf if n > 1 else -100.0) + best[i - n]
+                    score = scores.get(piece, -np.inf) + best[i - n]
                     if score > top:
                         top, chosen = score, piece
             else:
@@ -81,7 +87,7 @@ class Pieces:
                         continue
                     piece = word[i - n : i]
                     if piece in scores and (i == n or self.fit(last[i - n], piece)):
-                        chosen = piece
+                        top, chosen = best[i - n] + scores[piece], piece
                         break
             best.append(top)
             last.append(chosen)
@@ -134,51 +140,59 @@ def marked_words(text: str) -> list[str]:
     return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def decode(ids: Iterable[int], named: dict[int, str], byte_of: dict[int, int]) -> str:
-    raw = bytearray()
-    for k in ids:
-        if k in byte_of:
-            raw.append(byte_of[k])
-        elif k in named:
-            raw += named[k].encode()
-    return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
+class Decoder:
+    """Ids back to text; runs of byte pieces are decoded together."""
+
+    def __init__(self, pieces: Pieces):
+        self.raw = {k: p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p, k in pieces.ids.items()}
+        self.raw |= {k: bytes([b]) for b, k in enumerate(pieces.bytes_at)}
+
+    def text(self, ids: Iterable[int]) -> str:
+        """The text; ids that are no pieces add nothing. The first space is the mark that every text begins with."""
+        return b"".join([self.raw.get(k, b"") for k in ids]).decode("utf-8", "replace")[1:]
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL, batch: int = 1000, remembered: int = 1_200_000) -> DataFrame:
-    """doc_id, n_pieces, ids (binary, little-endian uint16), decodes: whether the ids give the text back."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, little = load(model), sys.byteorder == "little"
-        known: dict[str, bytes] = {}
-        lossy: set[str] = set()
-        named, byte_of = {k: p for p, k in pieces.ids.items()}, {k: b for b, k in enumerate(pieces.bytes_at)}
-        spelled = [named.get(k, "") for k in range(max(named, default=-1) + 1)].__getitem__
-        for frame in frames:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start : start + batch]
-                words = [marked_words(t or "") for t in part["text"]]
-                fresh = {w for ws in words for w in ws} - known.keys()
-                if len(known) + len(fresh) > remembered:
-                    known, lossy = {}, set()
-                    fresh = {w for ws in words for w in ws}
-                for word, ids in pieces.encode_words(fresh):
-                    known[word] = array("H", ids).tobytes() if little else np.array(ids, "<u2").tobytes()
-                    if "".join(map(spelled, ids)) != word and decode(ids, named, byte_of) != word.replace(MARK, " ")[1:]:
-                        lossy.add(word)
-                ids = [b"".join(map(known.__getitem__, ws)) for ws in words]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_pieces": [len(x) // 2 for x in ids], "ids": ids, "decodes": [not lossy or lossy.isdisjoint(ws) for ws in words]})
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_pieces long, ids binary, decodes boolean")
+    """doc_id, n_pieces, ids (binary, little-endian uint16), decodes: whether the decoder gives the very text back.
+
+    A text that has the mark itself decodes to spaces in its place, as in the public library, so that `decodes` is false.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.binary()), ("decodes", pa.bool_())])
+
+    def begin():
+        pieces, decoder, little = load(model), Decoder(load(model)), sys.byteorder == "little"
+        known: dict[str, tuple[bytes, bytes]] = {}
+
+        def work(part: pa.RecordBatch) -> dict:
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            words = [marked_words(t) for t in texts]
+            fresh = {w for ws in words for w in ws} - known.keys()
+            if len(known) + len(fresh) > remembered:
+                known.clear()
+                fresh = {w for ws in words for w in ws}
+            for word, ids in pieces.encode_words(fresh):
+                known[word] = array("H", ids).tobytes() if little else np.array(ids, "<u2").tobytes(), b"".join([decoder.raw.get(k, b"") for k in ids])
+            ids, decodes = [], []
+            for text, ws in zip(texts, words, strict=True):
+                found = [known[w] for w in ws]
+                ids.append(b"".join([f[0] for f in found]))
+                decodes.append(b"".join([f[1] for f in found])[1:] == text.encode("utf-8", "surrogatepass"))
+            return {"doc_id": part.column("doc_id"), "n_pieces": [len(x) // 2 for x in ids], "ids": ids, "decodes": decodes}
+
+        return work
+
+    return in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), schema, begin, batch)
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and text of ids as encode_documents gives them."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = load(model)
-        named, byte_of = {k: p for p, k in pieces.ids.items()}, {k: b for b, k in enumerate(pieces.bytes_at)}
-        for frame in frames:
-            texts = [decode(np.frombuffer(x or b"", "<u2").tolist(), named, byte_of) for x in frame["ids"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "text": texts})
+    def begin():
+        decoder = Decoder(load(model))
+
+        def work(batch: pa.RecordBatch) -> dict:
+            return {"doc_id": batch.column("doc_id"), "text": [decoder.text(np.frombuffer(x or b"", "<u2").tolist()) for x in batch.column("ids").to_pylist()]}
+
+        return work
 
-    return encoded.select(F.col("doc_id").cast("long"), F.col("ids")).mapInPandas(run, "doc_id long, text string")
+    return in_batches(encoded.select(F.col("doc_id").cast("long"), F.col("ids")), pa.schema([("doc_id", pa.int64()), ("text", pa.string())]), begin)

@@ -1,87 +1,70 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer network.
 
-Every token type has a sparse random index vector; a token's vector is its own index vector plus the normalised sum
-of its neighbours' index vectors over the training sample. A document is the mean vector of its words, the mean
-vector of its words' shapes, and three ratios (repeats of the word before, repeats of any word, length). A network
-with one hidden layer learns the label; a temperature fitted on rows kept aside calibrates its probabilities.
-
-Words outside the vocabulary keep the index vector of their hash bucket. Null and empty texts have the score of the
-zero vectors. Extra columns are ignored.
+A token is a run of letters and digits or a run of marks. Every token type has a sparse random index vector; its word
+vector is its own index vector plus the normalised sum of its neighbours' index vectors over the training sample,
+scaled to length 1. A document's vectors are pooled into their mean, the length of that mean, and the mean inner product of
+vectors at distances 1 to 4 (how much a text says the same again). A network with one hidden layer learns the label; a
+temperature fitted on rows kept aside calibrates its probabilities.
+
+Tokens outside the vocabulary have the index vector of their hash bucket. Null and empty texts have the score of the
+zero vector. Very long texts are pooled whole, piece by piece. Equal rows have equal scores, with or without doc_id; of
+several labels of one doc_id the smallest counts. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import in_batches, labelled_sample
 
-EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~"
+TOKEN = re.compile(r"\w+|[^\w\s]+")
 PIECE = 20_000
+LAGS = (1, 2, 3, 4)
 #: Score from which a document counts as good.
 CUT = 0.3
 
 
-def parts_of(word: str) -> tuple[str, str]:
-    """A word's lower-case core and its shape: marks before (2 at most), letter case, marks after (3 at most)."""
-    s = word.strip(EDGES)
-    if not s:
-        return "-", word[:3]
-    at = word.index(s)
-    case = "0" if s.isdigit() else "A" if s.isupper() and len(s) > 1 else "a" if s.islower() else "Aa" if s[1:].islower() or len(s) == 1 else "x"
-    return s.lower(), f"{word[:at][-2:]} {case} {word[at + len(s):][:3]}"
-
-
 class Vectors:
-    """Vocabulary and vectors; `rows` has the vocabulary first, then `spare` rows for the hashes of other words."""
+    """Vocabulary and vectors; `rows` has the vocabulary first, then `spare` rows for the hashes of other tokens."""
 
-    def __init__(self, dim: int, spare: int, seed: int = 11):
-        self.dim, self.spare, self.vocabulary = dim, spare, {}
-        rng = np.random.default_rng(seed)
-        self.rows = self.sparse(rng, spare)
-
-    def sparse(self, rng: np.random.Generator, n: int, filled: int = 8) -> np.ndarray:
-        out = np.zeros((n, self.dim), np.float32)
-        for k in range(filled):
-            out[np.arange(n), rng.integers(0, self.dim, n)] += rng.choice([-1.0, 1.0], n) / np.sqrt(filled)
-        return out
+    def __init__(self, dim: int, spare: int):
+        self.dim, self.spare = dim, spare
+        self.vocabulary: dict[str, int] = {}
+        self.rows = np.zeros((spare, dim), np.float32)
 
     def number(self, token: str) -> int:
         k = self.vocabulary.get(token)
         return k if k is not None else len(self.vocabulary) + zlib.crc32(token.encode("utf-8", "surrogatepass")) % self.spare
 
-    def learn(self, names: list[str], docs: list[np.ndarray], most: int, least: int, reach: int = 2, seed: int = 7) -> None:
-        """docs: numbers of tokens in `names`, a row for each kind of token (words, shapes) and a column for each place."""
-        df = np.zeros(len(names), np.int64)
-        for doc in docs:
-            df[np.unique(doc)] += 1
-        kept = sorted(np.flatnonzero(df >= least).tolist(), key=lambda k: (-df[k], names[k]))[:most]
-        self.vocabulary = {names[k]: i for i, k in enumerate(kept)}
-        row = np.array([self.number(t) for t in names], np.int64)
-        index = np.vstack([self.sparse(np.random.default_rng(seed), len(kept)), self.rows])
-        total = np.zeros((len(index), self.dim), np.float32)
-        for doc in docs:
-            ids = row[doc]
-            n = ids.shape[1]
-            for start in range(0, n if n > 1 else 0, PIECE):
-                low, high = max(0, start - reach), min(n, start + PIECE + reach)
-                here = index[ids[:, low:high]].sum(0)
-                around = np.zeros_like(here)
-                for d in range(1, min(reach, len(here) - 1) + 1):
-                    around[d:] += here[:-d]
-                    around[:-d] += here[d:]
-                inner = slice(start - low, start - low + min(PIECE, n - start))
-                for k in ids[:, low:high]:
-                    order = np.argsort(k[inner], kind="stable")
-                    distinct, first = np.unique(k[inner][order], return_index=True)
-                    total[distinct] += np.add.reduceat(around[inner][order], first)
-        norm = np.linalg.norm(total, axis=1, keepdims=True)
-        self.rows = (index + total / np.maximum(norm, 1e-9)).astype(np.float32)
+    def learn(self, texts: list[str], most: int, least: int, reach: int = 2, seed: int = 7, filled: int = 8) -> Vectors:
+        """Index and context vectors of the tokens that at least `least` texts have, `most` of them at most."""
+        df = Counter(t for text in texts for t in set(TOKEN.findall(text)))
+        kept = sorted((t for t, n in df.items() if n >= least), key=lambda t: (-df[t], t))[:most]
+        self.vocabulary = {t: k for k, t in enumerate(kept)}
+        rng, n = np.random.default_rng(seed), self.spare + len(kept)
+        index = np.zeros((n, self.dim), np.float32)
+        for _ in range(filled):
+            index[np.arange(n), rng.integers(0, self.dim, n)] += rng.choice([-1.0, 1.0], n) / np.sqrt(filled)
+        index = np.roll(index, len(kept), axis=0)
+        around = np.zeros_like(index)
+        for text in texts:
+            ids = np.fromiter(map(self.number, TOKEN.findall(text)), np.int64)
+            for start in range(0, len(ids), PIECE):
+                piece = ids[start : start + PIECE + reach]
+                for d in range(1, min(reach, len(piece) - 1) + 1):
+                    left = piece[:-d][:PIECE]
+                    np.add.at(around, left, index[piece[d : d + len(left)]])
+                    np.add.at(around, piece[d : d + len(left)], index[left])
+        rows = index + around / np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-9)
+        self.rows = (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        return self
 
 
 class Network:
@@ -100,12 +83,12 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
     def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 250, rate: float = 0.01, decay: float = 1e-3) -> Network:
-        """Adam on four fifths of the rows, then the temperature on the rest."""
+        """Adam on four fifths of the rows, then the temperature on the rest; of fewer than five rows all serve both."""
         aside = np.arange(len(x)) % 5 == 4
-        if len(x) < 10:
-            aside[:] = False
+        taught = ~aside | (not aside.any())
+        aside |= not aside.any()
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
-        u, v = (x[~aside] - self.mean) / self.scale, y[~aside]
+        u, v = (x[taught] - self.mean) / self.scale, y[taught]
         m, s = [np.zeros_like(w) for w in self.p], [np.zeros_like(w) for w in self.p]
         for step in range(1, rounds + 1):
             a, b, c, d = self.p
@@ -116,10 +99,9 @@ class Network:
                 m[k] = 0.9 * m[k] + 0.1 * grad
                 s[k] = 0.999 * s[k] + 0.001 * grad * grad
                 self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
-        if aside.any():
-            z, t = self.logits(x[aside]), y[aside]
-            loss = {q: float(np.mean(np.logaddexp(0, z / q) - t * z / q)) for q in np.geomspace(0.25, 8, 41)}
-            self.temperature = float(min(loss, key=loss.get))
+        z, t = self.logits(x[aside]), y[aside]
+        loss = {q: float(np.mean(np.logaddexp(0, z / q) - t * z / q)) for q in np.geomspace(0.25, 8, 41)}
+        self.temperature = float(min(loss, key=loss.get))
         return self
 
 
@@ -127,77 +109,63 @@ class Model:
     def __init__(self, vectors: Vectors, network: Network | None):
         self.vectors, self.network = vectors, network
 
-    @property
-    def width(self) -> int:
-        return 2 * self.vectors.dim + 3
-
 
 class Tokens(dict):
-    """Row of a word's core, row of its shape and its number, packed into one integer; kept while fewer than `bound`."""
+    """Rows of tokens, kept while there are fewer than `bound`."""
 
     def __init__(self, vectors: Vectors, bound: int = 500_000):
         super().__init__()
         self.vectors, self.bound = vectors, bound
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, token: str) -> int:
         if len(self) >= self.bound:
             self.clear()
-        core, shape = parts_of(word)
-        number = zlib.crc32(word.encode("utf-8", "surrogatepass")) & 0x3FFFFFF
-        value = self[word] = (self.vectors.number(core) << 44) | (self.vectors.number("shape:" + shape) << 26) | number
+        value = self[token] = self.vectors.number(token)
         return value
 
 
 def pooled(text: str, tokens: Tokens) -> np.ndarray:
     """A document's input for the network; long texts are pooled in pieces, so that memory stays bounded."""
-    v = tokens.vectors
-    words = text.split()
+    rows, dim = tokens.vectors.rows, tokens.vectors.dim
+    words = TOKEN.findall(text)
     n = len(words)
-    if not n:
-        return np.zeros(2 * v.dim + 3)
     ids = np.fromiter(map(tokens.__getitem__, words), np.int64, n)
-    total = [sum(v.rows[(ids[k : k + PIECE] >> shift) & 0x3FFFF].sum(0) for k in range(0, n, PIECE)) / n for shift in (44, 26)]
-    number = ids & 0x3FFFFFF
-    same = float((number[1:] == number[:-1]).sum()) / n
-    again = 1 - len(np.unique(number)) / n
-    return np.concatenate([*total, [same, again, np.log1p(n) / 10]])
-
-
-def fit(rows: list[tuple[str, int]], dim: int = 96, most: int = 20_000, least: int = 3, spare: int = 2048) -> Model:
-    vectors = Vectors(dim, spare)
-    number: dict[str, int] = {}
-    pairs: dict[str, tuple[int, int]] = {}
-    docs = []
-    for text, _ in rows:
-        words = text.split()
-        for w in words:
-            if w not in pairs:
-                core, shape = parts_of(w)
-                pairs[w] = number.setdefault(core, len(number)), number.setdefault("shape:" + shape, len(number))
-        docs.append(np.array([pairs[w] for w in words], np.int32).reshape(-1, 2).T)
-    vectors.learn(list(number), docs, most, least)
-    del docs, pairs, number
-    tokens = Tokens(vectors)
+    total, like = np.zeros(dim), np.zeros(len(LAGS))
+    for start in range(0, n, PIECE):
+        v = rows[ids[start : start + PIECE + LAGS[-1]]]
+        total += v[:PIECE].sum(0)
+        for k, lag in enumerate(LAGS):
+            left = v[:-lag][:PIECE]
+            like[k] += np.vdot(left, v[lag : lag + len(left)])
+    mean = total / max(1, n)
+    return np.concatenate([mean, [np.linalg.norm(mean)], like / np.maximum(1, n - np.array(LAGS))])
+
+
+def fit(rows: list[tuple[str, int]], dim: int = 64, most: int = 20_000, least: int = 3, spare: int = 2048) -> Model:
     if not rows:
-        return Model(vectors, None)
+        return Model(Vectors(dim, spare), None)
+    vectors = Vectors(dim, spare).learn([t for t, _ in rows], most, least)
+    tokens = Tokens(vectors)
     x = np.array([pooled(t, tokens) for t, _ in rows])
     return Model(vectors, Network(x.shape[1]).fit(x, np.array([y for _, y in rows], np.float64)))
 
 
-def score_documents(docs: DataFrame, model: Model, batch: int = 2000) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row; 0.5 where no labelled row could be learned from."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin():
         m = shared.value
         tokens = Tokens(m.vectors)
-        for frame in frames:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start : start + batch]
-                x = np.array([pooled(t or "", tokens) for t in part["text"]]).reshape(len(part), m.width)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "score": m.network.probability(x) if m.network else np.full(len(part), 0.5)})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double")
+        def work(batch: pa.RecordBatch) -> dict:
+            x = np.array([pooled(t or "", tokens) for t in batch.column("text").to_pylist()])
+            return {"doc_id": batch.column("doc_id"), "score": m.network.probability(x) if m.network else np.full(len(x), 0.5)}
+
+        return work
+
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return in_batches(slim, pa.schema([("doc_id", pa.int64()), ("score", pa.float64())]), begin)
 
 
 def learned(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> Model:
