@@ -28,13 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Attribute of a staged table that holds its folder.
 _FOLDER = "_stage_folder"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it again: lineage is cut, lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` as Parquet in the shared folder and read it again: lineage is cut, lost executors lose nothing.
+
+    Its shuffle files go once it is written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _FOLDER, path)
     return out
 

@@ -310,7 +310,7 @@ def test_training_order_round_trip(spark, edges, nothing, tmp_path):
     ordered = common.staged(materialise.training_order(edges, length=64, per_shard=100))
     got = ordered.collect()
     assert sorted(r["slot"] for r in got) == list(range(len(got)))
-    assert all(len(r["record"]) == 128 and r["byte_offset"] == r["slot"] % 100 * 128 and r["shard"] == r["slot"] // 100 for r in got)
+    assert all(len(r["record"]) == 128 and r["byte_offset"] == r["slot"] % 100 * 129 and r["shard"] == r["slot"] // 100 for r in got)
     ids = {}
     for r in sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["part"])):
         ids.setdefault(r["doc_id"], []).extend(materialise.ids_of(r["record"], r["n_ids"]).tolist())
@@ -319,11 +319,23 @@ def test_training_order_round_trip(spark, edges, nothing, tmp_path):
         if i not in (8,):
             assert ids[i] == [*encode(t or ""), materialise.END]
     materialise.write_shards(ordered, str(tmp_path / "shards"))
-    tail = materialise.read_from(spark, str(tmp_path / "shards"), 150, 100)
-    assert [r["slot"] for r in tail.collect()] == list(range(150, len(got)))
+    wanted = {r["slot"]: bytes(r["record"]) for r in got}
+    tail = materialise.read_from(spark, str(tmp_path / "shards"), 150, 64, 100).collect()
+    assert {r["slot"]: bytes(r["record"]) for r in tail} == {k: v for k, v in wanted.items() if k >= 150} and len(tail) == len(got) - 150
+    for slot in (0, 57, 99, 100, len(got) - 1):
+        (file,) = (tmp_path / "shards" / f"shard={slot // 100}").glob("part-*")
+        with open(file, "rb") as opened:
+            assert materialise.record_at(opened, slot, 64, 100) == wanted[slot]
+    assert (tmp_path / "shards" / "shard=0").glob("part-*").__next__().stat().st_size == 100 * materialise.stride_of(64)
     assert materialise.training_order(nothing).count() == 0
 
 
+def test_slots_do_not_hang_on_partitions(spark, documents):
+    rows = lambda df: {(r["slot"], r["doc_id"], r["part"]) for r in materialise.training_order(df, length=128).select("slot", "doc_id", "part").collect()}
+    some = common.staged(documents)
+    assert rows(some.repartition(2)) == rows(some.orderBy(F.rand(3)).repartition(5))
+
+
 def test_piece_borders_hold(documents):
     enc = materialise.encoding(materialise.TOKENIZER)
     table = materialise.Encoded(materialise.TOKENIZER)
