@@ -247,6 +247,34 @@ def test_pack_takes_the_tightest_compatible_bin():
     assert packing.pack(np.array([5, 5]), np.array([0, 1]), np.array([0, 0]), 10, 1)[0].tolist() == [0, 1]
 
 
+def naive_best_fit(sizes, sources, clusters, capacity, per_source):
+    """Every bin is looked at for every piece."""
+    bins, out = [], []
+    for size, source, cluster in zip(sizes, sources, clusters, strict=True):
+        fits = [(capacity - sum(p[0] for p in b), k) for k, b in enumerate(bins) if sum(p[0] for p in b) + size <= capacity and sum(p[1] == source for p in b) < per_source and (cluster < 0 or all(p[2] != cluster for p in b))]
+        k = min(fits)[1] if fits else len(bins)
+        bins[k:] = bins[k:] or [[]]
+        out.append((k, sum(p[0] for p in bins[k])))
+        bins[k].append((size, source, cluster))
+    return out
+
+
+def test_pack_by_brute_force():
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        sizes, sources, clusters = np.sort(rng.integers(1, 21, 150))[::-1], rng.integers(0, 4, 150), rng.integers(-1, 6, 150)
+        got = packing.pack(sizes, sources, clusters, 20, 2)
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == naive_best_fit(sizes.tolist(), sources.tolist(), clusters.tolist(), 20, 2)
+
+
+def test_packing_of_one_row_repeated(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same").alias("text"), F.lit("s").alias("source"))
+    got = packing.best_fit(rows, block_rows=300).toPandas()
+    assert len(got) == 3000 and got["bin_id"].nunique() == 3000
+    assert (got["bin_id"] // 2**32).value_counts().max() < 600
+    assert packing.best_fit(rows, block_rows=3000, per_source=4, cluster=F.lit(None)).select("bin_id").distinct().count() <= 760
+
+
 def test_packing_edges(edges, nothing):
     got = packing.best_fit(edges, capacity=1000).toPandas()
     assert got["size"].sum() == sum(len((t or "").encode().split()) + 1 for _, t, *_ in edge_rows())
@@ -391,6 +419,24 @@ def test_nearest_recall_and_edges(spark):
     assert ann.nearest(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_counts_a_vec_id_once_in_full_precision(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 8)) * np.pi
+    big = 2**60
+    rows = [(big + k, v.tolist()) for k, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, *rows[:60], (big, (x[0] + 9).tolist()), (None, x[1].tolist())], "vec_id long, embedding array<double>")
+    x[0] = min(x[0].tolist(), (x[0] + 9).tolist())
+    got = ann.nearest(df, (F.col("vec_id") - big) % 20 == 0, share=1.0).collect()
+    assert len(got) == 10 * 20 and len({(r["query_id"], r["vec_id"]) for r in got}) == 200
+    for r in got:
+        s = x @ x[r["query_id"] - big]
+        assert r["score"] == pytest.approx(s[r["vec_id"] - big], rel=1e-14, abs=1e-14)
+        s[r["query_id"] - big] = -np.inf
+        assert np.lexsort((np.arange(200), -s))[r["rank"] - 1] == r["vec_id"] - big
+    huge = spark.createDataFrame([(20, [1e200, 0.0]), (1, [1e100, 1e10]), (2, [1e-300, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in ann.nearest(huge, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(1, 1e300), (2, 1e200 * 1e-300)]
+
+
 def test_codes_within_a_radius_are_all_found():
     codes = np.random.default_rng(2).integers(0, 1 << 16, (4000, 4))
     index = ann.Index(codes)
