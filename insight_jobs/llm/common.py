@@ -120,7 +120,7 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str, buckets:
 
     Rows are counted by (group, hash bucket); running sums of these bounded counts give each bucket its offset, and
     only the rows of one bucket are ranked together. The numbering depends on `order` values alone; rows equal in
-    all of them are ranked in any order.
+    all of them share a bucket and are ranked in any order, so that `order` should tell repeated rows apart.
     """
     bucket = F.pmod(F.xxhash64(*order), F.lit(buckets))
     with_bucket = df.withColumn("_bucket", bucket)

@@ -9,7 +9,8 @@ allow, largest groups first, cut off at the cell. It goes on until no turn of ei
 brings a group closer together, so it ends. Then documents without links fill each shard up to its quota exactly.
 
 Law `rows`: shard counts are at most one apart. Null and empty texts have no link and 0 bytes of text. Rows with equal
-doc_id are placed one by one. Extra columns are ignored.
+doc_id are placed one by one, repeated rows too. Very long texts count by their bytes. `cut_edges` says how many
+links a result cuts. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from pyspark.sql.window import Window
 from .common import numbered, staged
 
 BUCKETS = 1024
-#: Size class from which the parts of a group are ranked apart, so that no bucket holds all of a large group.
-SIZE_CLASS = 7
 #: Turns without a move after which it ends: two of each kind, with other ties.
 IDLE = 4
 
@@ -64,7 +63,7 @@ def _first(asking: DataFrame, allowed: np.ndarray) -> DataFrame:
     """The cells of `asking` that fit into what each pair of shards may move, in the order of size class and bucket.
 
     Running sums of bounded counts (size classes x BUCKETS a pair) give each bucket its place; only the cells of the
-    one bucket that a limit cuts through are ranked together.
+    one bucket that a limit cuts through are ranked together. A group has at most one cell for each salt.
     """
     pair = ["shard", "target"]
     limits = asking.sparkSession.createDataFrame([(int(s), int(t), int(allowed[s, t])) for s, t in np.argwhere(allowed)], "shard int, target int, allowed long")
@@ -95,7 +94,7 @@ def propagate(cells: DataFrame, quotas: list[int]) -> DataFrame:
             .join(best, "grp")
             .where("best > rank")
             .select("grp", "salt", "n", "shard", F.col("best.shard").alias("target"), F.floor(F.log2(F.col("total") + 1)).cast("int").alias("size_class"))
-            .withColumn("bucket", F.pmod(F.xxhash64("grp", F.when(F.col("size_class") >= SIZE_CLASS, F.col("salt")).otherwise(0), F.lit(turn)), F.lit(BUCKETS)).cast("int"))
+            .withColumn("bucket", F.pmod(F.xxhash64("grp", F.lit(turn)), F.lit(BUCKETS)).cast("int"))
         )
         asked = np.zeros((shards, shards), np.int64)
         for r in asking.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect():
@@ -114,8 +113,20 @@ def propagate(cells: DataFrame, quotas: list[int]) -> DataFrame:
     return cells
 
 
+def cut_edges(placed: DataFrame) -> DataFrame:
+    """links, cut: pairs of rows with equal texts, and those of them in different shards, of a result of balanced_shards."""
+    pairs = lambda n: n * (n - 1) / 2
+    here = placed.where("text_key IS NOT NULL").groupBy("text_key", "shard").agg(F.count(F.lit(1)).alias("n"))
+    groups = here.groupBy("text_key").agg(pairs(F.sum("n")).alias("links"), F.sum(pairs(F.col("n"))).alias("whole"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return groups.agg(total("links").alias("links"), total(F.col("links") - F.col("whole")).alias("cut"))
+
+
 def balanced_shards(docs: DataFrame, shards: int = 24, salts: int = 240) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), text_key (null for empty texts).
+
+    Rows are told apart by `row`, which their place in the table gives once, so that repeated rows are spread, too.
+    """
     text = F.col("text").cast("string")
     raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
     base = staged(docs.select(
@@ -123,16 +134,17 @@ def balanced_shards(docs: DataFrame, shards: int = 24, salts: int = 240) -> Data
         (F.octet_length(F.coalesce(text, F.lit(""))) + 8).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.when(F.length(text) > 0, F.md5(text)).alias("grp"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
+        F.monotonically_increasing_id().alias("row"),
     ))
+    base = base.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.pmod("row", F.lit(salts))), F.lit(salts)).cast("int"))
     rows = base.count()
     quotas = [rows // shards + (k < rows % shards) for k in range(shards)]
     parts = staged(base.where("grp IS NOT NULL").groupBy("grp", "salt").agg(F.count(F.lit(1)).alias("n")))
     several = parts.groupBy("grp").agg(F.sum("n").alias("total")).where("total > 1").select("grp")
     cells = staged(parts.join(several, "grp").withColumn("shard", F.pmod(F.col("salt"), F.lit(shards))))
     cells = propagate(cells, quotas)
-    placed = staged(base.join(cells.select("grp", "salt", "shard"), ["grp", "salt"], "left").select("doc_id", "size", "text_crc32", "grp", "shard"))
-    linked = numbered(placed.where("shard IS NOT NULL"), ["shard"], ["doc_id", "grp"], "place")
+    placed = staged(base.join(cells.select("grp", "salt", "shard"), ["grp", "salt"], "left").select("doc_id", "size", "text_crc32", "grp", "row", "shard"))
+    linked = numbered(placed.where("shard IS NOT NULL"), ["shard"], ["doc_id", "grp", "row"], "place")
     fitting = F.col("place") < _by_shard(quotas)
     kept = staged(linked.withColumn("shard", F.when(fitting, F.col("shard"))).drop("place"))
     taken = [0] * shards
@@ -142,8 +154,8 @@ def balanced_shards(docs: DataFrame, shards: int = 24, salts: int = 240) -> Data
     for q, t in zip(quotas, taken, strict=True):
         end += q - t
         ends.append(end)
-    loose = numbered(placed.where("shard IS NULL").union(kept.where("shard IS NULL")), [], ["doc_id", "text_crc32"], "place")
+    loose = numbered(placed.where("shard IS NULL").union(kept.where("shard IS NULL")), [], ["doc_id", "text_crc32", "row"], "place")
     shard = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("place")))
     full = staged(kept.where("shard IS NOT NULL").union(loose.withColumn("shard", shard).drop("place")))
-    slots = numbered(full, ["shard"], ["doc_id", "text_crc32"], "slot")
-    return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    slots = numbered(full, ["shard"], ["doc_id", "text_crc32", "row"], "slot")
+    return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("grp").alias("text_key"))
