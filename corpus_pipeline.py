@@ -1,6 +1,11 @@
 """From raw documents to packed bins: toxicity, quality, near duplicates, packing.
 
 Each stage gets what the one before kept; all but the last return the columns of documents.
+
+Verdicts go by row, not by doc_id: a row without doc_id, or one that repeats another, is judged like any other. Null and empty
+texts aren't toxic, have the quality score of a text without words, and are nobody's near duplicate; of rows with equal texts
+one stays, the smallest doc_id first. Very long texts go through whole. An empty table gives an empty result.
+Columns beside doc_id, text and source pass through all stages but the last.
 """
 
 from __future__ import annotations

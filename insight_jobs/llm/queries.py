@@ -28,6 +28,10 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rule_report(table(spark, sf_dir, "documents"))
 
 
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.ablation_report(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
@@ -53,9 +57,9 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_quality, op2_sharding, op3_training_order, op4_rules, op5_packing, op6_neardup, op7_nearest, op8_toxicity, op9_pieces, op10_main_text)
+    named = (op1_quality, op2_sharding, op3_training_order, op4_rules, op5_packing, op6_neardup, op7_nearest, op8_toxicity, op9_pieces, op10_main_text, rules_ablation)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_rules": rules.ORACLE}
+    return {"op4_rules": rules.ORACLE, "rules_ablation": rules.ABLATION_ORACLE}

@@ -2,8 +2,9 @@
 
 `measured` computes the measurements of a text with built-in functions only; `ledger` adds one bit for each failed
 rule; `apply_policy` and `ablation` work on the bits alone, so that a new policy version or an ablation never reads
-a text again. Null texts are empty texts; a text without words fails `few_words`. Columns of the input other than
-doc_id and text are ignored.
+a text again. Null texts are empty texts; a text without words fails `few_words`. Very long texts are measured whole.
+Repeated rows, with or without doc_id, have a row in the ledger each. Columns of the input other than doc_id and text are
+ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ class Policy:
 
 BASE = Policy("base", ("few_words", "repeated_windows"))
 STANDARD = Policy("standard-1", tuple(BIT))
+LENIENT = Policy("lenient-1", ("few_words", "repeated_windows", "repeated_lines"))
 
 
 def let(value: Column, use) -> Column:
@@ -98,7 +100,11 @@ def ablation(book: DataFrame, policy: Policy) -> DataFrame:
 
     One pass: rows are first counted by their bits, of which there are at most 2 to the number of rules.
     """
-    by_bits = book.groupBy("failed").agg(F.count(F.lit(1)).alias("n"))
+    return ablation_of_counts(book.groupBy("failed").agg(F.count(F.lit(1)).alias("n")), policy)
+
+
+def ablation_of_counts(by_bits: DataFrame, policy: Policy) -> DataFrame:
+    """The same from the number of documents of each set of bits (failed, n)."""
     names = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << BIT[r]).cast("long").alias("bit")) for r in policy.rejecting]))
     against = F.col("failed").bitwiseAND(F.lit(policy.mask).cast("long"))
     return (
@@ -113,10 +119,16 @@ def ablation(book: DataFrame, policy: Policy) -> DataFrame:
 
 
 def rule_report(docs: DataFrame) -> DataFrame:
-    """The ledger's digest: measurements, base_failed, and kept by the standing policy."""
+    """The ledger's digest: measurements, base_failed, kept by the standing policy and by the lenient one."""
     book = apply_policy(ledger(docs), STANDARD)
-    base = F.col("failed").bitwiseAND(F.lit(BASE.mask).cast("long")) != 0
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed", "policy")
+    against = lambda policy: F.col("failed").bitwiseAND(F.lit(policy.mask).cast("long"))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (against(BASE) != 0).alias("base_failed"), "kept", "failed", "policy", (against(LENIENT) == 0).alias("kept_lenient"))
+
+
+def ablation_report(docs: DataFrame) -> DataFrame:
+    """The ablations of both policies over one ledger."""
+    bits = ledger(docs).groupBy("failed").agg(F.count(F.lit(1)).alias("n"))
+    return ablation_of_counts(bits, STANDARD).union(ablation_of_counts(bits, LENIENT))
 
 
 #: The same in DuckDB's SQL.
@@ -139,6 +151,15 @@ f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END)
              + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END)
              + (CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END) AS bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits % 4) <> 0 AS base_failed,
-       bits = 0 AS kept, bits::BIGINT AS failed, 'standard-1' AS policy
+       bits = 0 AS kept, bits::BIGINT AS failed, 'standard-1' AS policy, (bits & 11) = 0 AS kept_lenient
 FROM f
 """
+
+ABLATION_ORACLE = f"""
+WITH b AS (SELECT failed FROM ({ORACLE})),
+p AS (SELECT * FROM (VALUES ('standard-1', 63), ('lenient-1', 11)) p(policy, mask)),
+r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('many_symbols', 4), ('repeated_lines', 8), ('short_words', 16), ('long_words', 32)) r(rule, bit))
+SELECT policy, rule, count(*) FILTER ((failed & bit) <> 0) AS failing, count(*) FILTER ((failed & mask) = bit) AS only_by_it,
+       count(*) FILTER ((failed & mask & ~bit) = 0) AS kept_without_it
+FROM b, p JOIN r ON (mask & bit) <> 0 GROUP BY policy, rule
+"""

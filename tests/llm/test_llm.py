@@ -83,6 +83,15 @@ def test_rules_same_as_sql(spark, documents):
     assert all((got[c] == wanted[c]).all() for c in wanted.columns)
 
 
+def test_ablation_same_as_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    from insight_jobs.llm import queries
+
+    got = queries.queries()["rules_ablation"](spark, SF).collect()
+    assert {tuple(r.asDict()[c] for c in ("policy", "rule", "failing", "only_by_it", "kept_without_it")) for r in got} == set(con.execute(f"SELECT policy, rule, failing, only_by_it, kept_without_it FROM ({rules.ABLATION_ORACLE})").fetchall())
+
+
 def test_ablation_agrees_with_the_policy(edges):
     book = rules.ledger(edges).cache()
     total = book.count()
@@ -322,6 +331,43 @@ def test_sharding_of_a_table_loaded_twice(spark):
     assert np.mean([len(s) > 1 for s in where.values()]) < 0.02
 
 
+def test_sharding_by_brute_force(spark):
+    """Small tables against the best cut of all groups into shards of these sizes; without loose rows moves may get stuck."""
+
+    def least_cut(sizes, quotas):
+        """The fewest cut pairs: each group splits in any way over what room is left."""
+        if not sizes:
+            return 0
+        n, rest, best = sizes[0], sizes[1:], math.inf
+
+        def deal(left, k, parts):
+            nonlocal best
+            if k == len(quotas):
+                if not left:
+                    best = min(best, n * (n - 1) // 2 - sum(p * (p - 1) // 2 for p in parts) + least_cut(rest, tuple(q - p for q, p in zip(quotas, parts, strict=True))))
+                return
+            for p in range(min(left, quotas[k]), -1, -1):
+                deal(left - p, k + 1, (*parts, p))
+
+        deal(n, 0, ())
+        return best
+
+    for sizes, alone in (((3, 2), 1), ((2, 2, 2), 3), ((5,), 4), ((4, 3, 2), 0)):
+        texts = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)] + [f"own {k}" for k in range(alone)]
+        total = len(texts)
+        quotas = tuple(total // 3 + (k < total % 3) for k in range(3))
+        got = sharding.balanced_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 30)
+        check_shards(got.collect(), total, 3)
+        report = sharding.cut_edges(got).first()
+        assert report["links"] == sum(n * (n - 1) // 2 for n in sizes)
+        assert least_cut(sizes, quotas) <= report["cut"] <= least_cut(sizes, quotas) + (1 if alone else report["links"])
+
+
+def test_sharding_of_one_row_repeated(spark):
+    docs = spark.range(1000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same").alias("text"))
+    check_shards(sharding.balanced_shards(docs).collect(), 1000, 24)
+
+
 def test_moves_between_full_shards_are_netted():
     asked = np.array([[0, 5, 0], [0, 0, 4], [3, 0, 0]])
     assert sharding._allowed(asked, [9, 9, 9], [9, 9, 9]).tolist() == [[0, 3, 0], [0, 0, 3], [3, 0, 0]]
@@ -542,6 +588,118 @@ def test_pipeline_judges_rows_not_ids(spark, monkeypatch):
     assert sorted((r["doc_id"], r["text"]) for r in pipeline.one_of_each(spark, clean, SF).collect()) == [(1, other), (2, base)]
 
 
+BIG = 2**60
+
+
+@pytest.mark.parametrize("name", ["quality", "toxicity", "sharding", "training_order", "rules", "packing", "neardup", "pieces", "decoded", "pages"])
+def test_large_ids_beside_a_null_come_back_whole(spark, name):
+    rows = [(BIG + 1, "one text here"), (None, "another text"), (BIG + 3, "a third, longer text of words"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")).coalesce(1)
+    run = {
+        "quality": lambda: quality.score_documents(docs, quality.fit([("a b", 1), ("c", 0)])), "toxicity": lambda: toxicity.score_documents(docs, toxicity.fit([])), "sharding": lambda: sharding.balanced_shards(docs),
+        "training_order": lambda: materialise.training_order(docs), "rules": lambda: rules.rule_report(docs), "packing": lambda: packing.best_fit(docs), "neardup": lambda: neardup.near_duplicates(docs),
+        "pieces": lambda: pieces.encode_documents(docs), "decoded": lambda: pieces.decode_documents(pieces.encode_documents(docs)), "pages": lambda: pages.main_texts(docs.selectExpr("doc_id page_id", "text html", "'u' url")).withColumnRenamed("page_id", "doc_id"),
+    }
+    assert sorted((r["doc_id"] for r in run[name]().collect()), key=lambda i: i or 0) == [None, None, BIG + 1, BIG + 3]
+
+
+def test_components_keep_large_ids(spark):
+    docs = spark.createDataFrame([(BIG + 1, "one text here now"), (BIG + 3, "quite another text"), (BIG + 5, "one text here now"), (None, "x")], "doc_id long, text string").coalesce(1)
+    assert {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()} == {(BIG + 1, BIG + 1), (BIG + 3, BIG + 3), (BIG + 5, BIG + 1), (None, None)}
+
+
+def test_quality_scores_by_hand(spark):
+    """Against pooling token by token."""
+    learned = [(" ".join(words(40, k)) if k % 2 else " ".join(["same"] * 30 + words(5, k)), k % 2) for k in range(60)]
+    model = quality.fit(learned, dim=16, least=2)
+    texts = ["", "w1", "w1, w2!", "same same same", "never seen *** words", learned[1][0], learned[0][0]]
+    wanted = []
+    for text in texts:
+        v = [model.vectors.rows[model.vectors.number(t)].astype(float) for t in quality.TOKEN.findall(text)]
+        mean = sum(v, np.zeros(16)) / max(1, len(v))
+        like = [sum(float(v[k] @ v[k + lag]) for k in range(len(v) - lag)) / max(1, len(v) - lag) for lag in (1, 2, 3, 4)]
+        x = (np.array([*mean, math.sqrt(float(mean @ mean)), *like]) - model.network.mean) / model.network.scale
+        a, b, c, d = model.network.p
+        z = sum(math.tanh(sum(x[i] * a[i][j] for i in range(len(x))) + b[j]) * c[j] for j in range(len(b))) + d[0]
+        wanted.append(1 / (1 + math.exp(-z / model.network.temperature)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["score"] for r in quality.score_documents(docs, model).orderBy("doc_id").collect()]
+    assert got == pytest.approx(wanted, abs=1e-5)
+
+
+def test_quality_vectors_of_a_long_text_equal_those_of_its_pieces(monkeypatch):
+    text = " ".join(words(300, 1))
+    model = quality.fit([(text, 1), (text[:200], 0)], dim=8, least=1)
+    whole = quality.pooled(text, quality.Tokens(model.vectors))
+    rows = model.vectors.rows
+    monkeypatch.setattr(quality, "PIECE", 37)
+    assert np.allclose(quality.pooled(text, quality.Tokens(model.vectors)), whole, atol=1e-5)
+    assert np.allclose(quality.fit([(text, 1), (text[:200], 0)], dim=8, least=1).vectors.rows, rows, atol=1e-4)
+
+
+def test_toxicity_scores_by_enumeration(spark):
+    """Against all paths of the chain."""
+    rows = [(" ".join([*words(20, k), *(["vile", "nasty"] if k % 3 == 0 else [])]), int(k % 3 == 0)) for k in range(120)]
+    model = toxicity.fit(rows)
+    texts = ["", "w1", "vile", "w1 nasty w2 vile", "w3 w4 w5 nasty nasty w6", "vilest w7"]
+    wanted = []
+    for text in texts:
+        score = [sum(model.weights.get(n, 0.0) for n in {*toxicity.token_features(w), ""}) for w in text.split()]
+        p, total = np.zeros(len(score)), 0.0
+        for z in range(2 ** len(score)):
+            s = [(z >> k) & 1 for k in range(len(score))]
+            weight = math.exp(sum(a * b for a, b in zip(s, score, strict=True)) + (s[0] * model.chain.start if s else 0) + sum(model.chain.t[a, b] for a, b in zip(s, s[1:], strict=False)))
+            p += weight * np.array(s)
+            total += weight
+        wanted.append(model.score(p / total))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["score"] for r in toxicity.score_documents(docs, model).orderBy("doc_id").collect()]
+    assert got == pytest.approx(wanted, rel=1e-6) and got[3] > 0.5 > got[1]
+
+
+def test_main_text_by_enumeration(spark):
+    """Against all labellings of a page's blocks."""
+    model = pages.fit()
+    html = [PAGE, *pages.labelled_layouts(12, seed=31)]
+    got = pages.main_texts(spark.createDataFrame(list(enumerate(html)), "page_id long, html string").withColumn("url", F.lit("u"))).orderBy("page_id").collect()
+    checked = 0
+    for page, r in zip(html, got, strict=True):
+        blocks = pages.leaf_blocks(page, known=model.weights)
+        if len(blocks) > 14:
+            continue
+        score = [model.weights[""] + sum(model.weights.get(n, 0.0) for n in {*above, *own}) for above, own in pages.block_features(blocks)]
+        paths = [[(z >> k) & 1 for k in range(len(blocks))] for z in range(2 ** len(blocks))]
+        best = max(paths, key=lambda s: sum(a * b for a, b in zip(s, score, strict=True)) + s[0] * model.chain.start + sum(model.chain.t[a, b] for a, b in zip(s, s[1:], strict=False)))
+        assert r["text"] == " ".join(b.text for b, y in zip(blocks, best, strict=True) if y)
+        checked += 1
+    assert checked > 2
+
+
+def test_decodes_compares_the_decoded_text(spark):
+    texts = ["a\u2581b c", "\u2581", " two  spaces ", "plain", "", None, "\x00 a\u00a0b é 漢字 😀\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pieces.encode_documents(docs)
+    back = {r["doc_id"]: r["text"] for r in pieces.decode_documents(got).collect()}
+    assert {r["doc_id"]: r["decodes"] for r in got.collect()} == {k: back[k] == (t or "") for k, t in enumerate(texts)}
+    assert back[0] == "a b c" and not {r["doc_id"]: r["decodes"] for r in got.collect()}[0]
+
+
+def test_pipeline_of_an_empty_table_and_edges(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for rows in ([], edge_rows()):
+        docs = spark.createDataFrame(rows, SCHEMA)
+        for name, stage in pipeline.STAGES:
+            docs = common.staged(stage(spark, docs, SF))
+        assert docs.columns == [c.split()[0] for c in packing.SCHEMA.split(", ")] and (docs.count() == 0) == (not rows)
+
+
+def test_labels_that_disagree_count_as_the_smallest(spark):
+    docs = spark.createDataFrame([(k, f"text of its own {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), F.explode(F.array(F.lit(1), F.lit(0), F.lit(1))).alias("toxic"))
+    rows = common.labelled_sample(docs, labels.repartition(7), "toxic", 4, 2, 100)
+    assert rows and not any(y for _, y in rows)
+
+
 def test_queries_run(spark):
     from insight_jobs.llm import queries
 
