@@ -9,8 +9,9 @@
 4. The full shingle sets of the texts that share a bucket are written once, and every edge is confirmed on them.
    Members of a bucket that ended in more than one component meet again around other centres.
 5. What then still spans components is searched whole: the members of such a bucket outside its largest component meet all
-   members of other components, in blocks of bounded size. Only pairs whose sizes and minima can belong to a link are
-   confirmed. So every pair that shares a bucket is linked, in one component already, or found not to be a link.
+   members of other components, in blocks of bounded size. Pairs whose sizes and minima can belong to a link are
+   confirmed in place, and only links that join components leave a block. So every pair that shares a bucket is in one
+   component in the end, or found not to be a link.
 6. Components come from alternating neighbour and pointer steps on the confirmed edges.
 
 Null texts and texts without words have no shingles and are linked with nothing. Rows without doc_id come back with a
@@ -35,7 +36,8 @@ BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
 LEVELS = (1, 2, 4, 8)
 #: Rows of a block in the search of step 5.
-BLOCK = 1000
+BLOCK = 500
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,6 +146,14 @@ def stars(rows: DataFrame, centrality: str) -> DataFrame:
     return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
+def linked(left: np.ndarray, right: np.ndarray, share: int) -> bool:
+    """Whether two sorted sets agree in at least `share` hundredths of their union."""
+    union = np.concatenate([left, right])
+    union.sort()
+    common = int(np.count_nonzero(union[1:] == union[:-1]))
+    return 100 * common >= share * (len(union) - common)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs whose full shingle sets agree in at least `share` hundredths of their union."""
     side = lambda end: sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("shingles").alias(f"s_{end}"))
@@ -151,18 +161,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
     def begin():
         def work(batch: pa.RecordBatch) -> dict:
-            linked = []
-            for x, y in zip(batch.column("s_a"), batch.column("s_b"), strict=True):
-                left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                union = np.concatenate([left, right])
-                union.sort()
-                common = int(np.count_nonzero(union[1:] == union[:-1]))
-                linked.append(100 * common >= share * (len(union) - common))
-            return {k: batch.column(k).filter(pa.array(linked, pa.bool_())) for k in ("a", "b")}
+            pairs_here = zip(batch.column("s_a"), batch.column("s_b"), strict=True)
+            kept = pa.array([linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), share) for x, y in pairs_here], pa.bool_())
+            return {k: batch.column(k).filter(kept) for k in ("a", "b")}
 
         return work
 
-    return in_batches(both.select("a", "b", "s_a", "s_b"), pa.schema([("a", pa.int64()), ("b", pa.int64())]), begin).distinct()
+    return in_batches(both.select("a", "b", "s_a", "s_b"), PAIR, begin).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,17 +196,19 @@ def more_stars(rows: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
 
 
-def likely_pairs(rows: DataFrame, labels: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """(a, b) of all pairs that share a bucket, lie in different components and may be links by their sizes and minima.
+def joining_links(shared: DataFrame, labels: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """(a, b): links that join all components of which two members share a bucket and are a link.
 
     In each bucket that spans components, members outside the largest one are dealt into blocks of about BLOCK rows, and
-    so are its members. Every block of the former meets every block, two blocks at a time, so that memory is
-    bounded; of a bucket that one component fills but for k members, each row comes k / BLOCK + 1 times. A link's
-    share of equal minima falls below the threshold by five standard deviations at most.
+    so are its members. Every block of the former meets every block, two blocks at a time, so that memory is bounded; of a
+    bucket that one component fills but for k members, each row comes k / BLOCK + 1 times. A pair is looked at in the
+    first bucket that it shares, and confirmed on full sets if its sizes and minima allow a link and no link found there
+    has joined its components yet: so the links of a run are fewer than its rows. A link's share of equal
+    minima falls below the threshold by five standard deviations at most.
     """
     t = share / 100
     least = int(np.floor(BINS * (t - 5 * np.sqrt(t * (1 - t) / BINS))))
-    labelled = rows.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    labelled = shared.join(labels, "id", "left").select("key", "j", "id", F.coalesce("component", "id").alias("component"))
     sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     blocks = lambda n: F.ceil(n / BLOCK)
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all")).where("all > main.n")
@@ -214,26 +221,40 @@ def likely_pairs(rows: DataFrame, labels: DataFrame, sets: DataFrame, share: int
     before = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("block")), lambda x: x < F.col("block")), lambda x: place(x, F.col("block")))
     inner = F.transform(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1), lambda x: place(x, F.col("outer") + F.col("block")))
     places = F.explode(F.when(F.col("outside"), F.concat(own, before)).otherwise(inner))
-    dealt = met.withColumn("block", block).select("key", "id", "component", F.col("outside").alias("first"), "block", places.alias("p"))
-    dealt = dealt.select("key", "p.x", "p.y", (F.col("first") & (F.col("block") == F.col("p.x"))).alias("first"), "id", "component")
-    with_sets = dealt.join(sets.select("id", "n", "minima"), "id")
+    dealt = met.withColumn("block", block).select("key", "j", "id", "component", F.col("outside").alias("first"), "block", places.alias("p"))
+    dealt = dealt.select("key", "p.x", "p.y", "j", (F.col("first") & (F.col("block") == F.col("p.x"))).alias("first"), "id", "component")
     order = ["key", "x", "y"]
-    sorted_runs = with_sets.repartition(*order).sortWithinPartitions(*order).select(*order, "first", "id", "component", "n", "minima")
+    runs = dealt.join(sets, "id").repartition(*order).sortWithinPartitions(*order).select(*order, "j", "first", "id", "component", "n", "minima", "shingles")
 
-    def pairs_of(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, component, n = (run.column(c).to_numpy() for c in ("id", "component", "n"))
-        first = run.column("first").to_numpy()
+    def links_of(run: pa.Table) -> dict[str, list[int]]:
+        ids, component, n, first = (run.column(c).to_numpy() for c in ("id", "component", "n", "first"))
         minima = np.frombuffer(b"".join(run.column("minima").to_pylist()), np.uint8).reshape(len(ids), BINS)
+        full, band = run.column("shingles"), run.column("j")[0].as_py()
         alone = run.column("x")[0].as_py() == run.column("y")[0].as_py()
         right = np.arange(len(ids)) if alone else np.flatnonzero(~first)
-        a, b = [], []
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        found: dict[str, list[int]] = {"a": [], "b": []}
         for k in np.flatnonzero(first):
             other = right[(component[right] != component[k]) & (100 * np.minimum(n[right], n[k]) >= share * np.maximum(n[right], n[k]))]
             other = other[other > k] if alone else other
-            other = other[np.count_nonzero(minima[other] == minima[k], axis=1) >= least]
-            a.append(np.minimum(ids[other], ids[k]))
-            b.append(np.maximum(ids[other], ids[k]))
-        return np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
+            equal = minima[other] == minima[k]
+            likely = np.count_nonzero(equal, axis=1) >= least
+            other, equal = other[likely], equal[likely]
+            other = other[equal.reshape(len(other), BANDS, ROWS).all(2).argmax(1) == band]
+            mine = np.frombuffer(full[k].as_buffer(), np.uint64) if len(other) else None
+            for o in other.tolist():
+                c, d = root(int(component[k])), root(int(component[o]))
+                if c != d and linked(mine, np.frombuffer(full[o].as_buffer(), np.uint64), share):
+                    joined[c] = d
+                    found["a"].append(min(int(ids[k]), int(ids[o])))
+                    found["b"].append(max(int(ids[k]), int(ids[o])))
+        return found
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of equal (key, x, y) lie side by side; the last one of a batch may go on in the next."""
@@ -245,14 +266,12 @@ def likely_pairs(rows: DataFrame, labels: DataFrame, sets: DataFrame, share: int
             marks = [table.column(c).to_numpy() for c in order]
             starts = np.flatnonzero(np.concatenate([[True], np.any([m[1:] != m[:-1] for m in marks], axis=0)]))
             for start, stop in zip(starts[:-1], starts[1:], strict=True):
-                a, b = pairs_of(table.slice(start, stop - start))
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+                yield pa.RecordBatch.from_pydict(links_of(table.slice(start, stop - start)), PAIR)
             held = [table.slice(starts[-1])]
         for rest in held:
-            a, b = pairs_of(rest)
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+            yield pa.RecordBatch.from_pydict(links_of(rest), PAIR)
 
-    return sorted_runs.mapInArrow(search, "a long, b long").distinct()
+    return runs.mapInArrow(search, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, turns: int = 2) -> DataFrame:
@@ -270,13 +289,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, turns: int
     tested = staged(stars(rows, "central"))
     links = staged(confirmed(tested, sets, share))
     labels = components(links)
-    for turn in range(turns + 1):
-        last = turn == turns
-        met = likely_pairs(rows.where("level = 1"), labels, sets, share) if last else more_stars(rows, labels, turn)
-        fresh = staged(met.join(tested, ["a", "b"], "left_anti"))
+    for turn in range(turns):
+        fresh = staged(more_stars(rows, labels, turn).join(tested, ["a", "b"], "left_anti"))
         found = staged(confirmed(fresh, sets, share))
         tested, links = staged(tested.union(fresh)), staged(links.union(found))
         labels = components(links)
+    links = staged(links.union(joining_links(shared, labels, sets, share)))
+    labels = components(links)
     named = classes.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     alone = F.encode(F.concat(F.lit("alone "), F.monotonically_increasing_id().cast("string")), "utf-8")
     slim = sketch.select("doc_id", "n_shingles", F.coalesce("set_key", alone).alias("set_key"))
