@@ -19,8 +19,9 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return every.join(counts, "bin", "left").select("bin", F.round(F.col("lo") + (F.col("bin") - 1) * width, 4).alias("low"), F.round(F.col("lo") + F.col("bin") * width, 4).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def bar_counts(df: DataFrame, column: str) -> DataFrame:
-    return value_counts(df, [column]).select("value", "n", "rank")
+def bar_counts(df: DataFrame, column: str, top: int = 1000) -> DataFrame:
+    """value, n, rank: the bars of a chart, the most frequent values."""
+    return value_counts(df, [column], top).select("value", "n", "rank")
 
 
 def auto_distribution(df: DataFrame, max_unique: int = 15, bins: int = 30) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import regression as R
@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .profile import categorical_columns, id_like_columns, name, numeric_columns
+from .profile import categorical_columns, id_like_columns, name, numeric_columns, value
 
 SEED = 42
+#: Rows of a partition of prepared rows; small tables are fitted in few tasks.
+PART_ROWS = 50_000
 
 
 def split(df: DataFrame, keys: list[str], share: float = 0.2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -31,7 +33,7 @@ def prepare_features(df: DataFrame, target: str | None, most: int | None = None,
     """Rows with `label`, and the pipeline that makes their `features`.
 
     Id-like columns go; text levels are numbered in alphabetical order, null being the level 'nan'; numeric nulls get the
-    median; all is standardised. most: train on a random sample of about so many rows.
+    median, or 0 where a column has no value; all is standardised. most: train on a random sample of about so many rows.
     """
     if most:
         n = df.count()
@@ -44,7 +46,8 @@ def prepare_features(df: DataFrame, target: str | None, most: int | None = None,
     if target:
         kind = F.col(target) if target in numeric_columns(df) else F.coalesce(name(target).cast("string"), F.lit("nan"))
         label = [kind.alias("label_in")]
-    rows = df.select(*levels, *[name(c).cast("double").alias(c) for c in numbers], *label)
+    filled = df.agg(*[F.count(value(c)).alias(str(i)) for i, c in enumerate(numbers)]).first() if numbers else []
+    rows = df.select(*levels, *[(value(c) if filled[i] else F.lit(0.0)).alias(c) for i, c in enumerate(numbers)], *label)
     stages = [StringIndexer(inputCols=text, outputCols=[f"{c}__i" for c in text], stringOrderType="alphabetAsc", handleInvalid="keep")] if text else []
     stages += [Imputer(strategy="median", inputCols=numbers, outputCols=[f"{c}__f" for c in numbers])] if numbers else []
     stages += [VectorAssembler(inputCols=[*[f"{c}__f" for c in numbers], *[f"{c}__i" for c in text]], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
@@ -71,12 +74,17 @@ def labelled(rows: DataFrame, task: str) -> DataFrame:
 
 
 def compare_models(df: DataFrame, target: str | None, task: str, folds: int = 3, models: dict | None = None, drop: list[str] = ()) -> tuple[DataFrame, dict]:
-    """(results, fitted models): each model on a hold-out fifth; a failing model has a row with its reason."""
+    """(results, fitted models): each model on a hold-out fifth; a failing model has a row with its reason.
+
+    A fitted model holds its preparation, so that it takes raw rows and can be saved whole. Folds are fitted side by side.
+    """
     spark = df.sparkSession
     rows, pipeline = prepare_features(df, target, drop=drop)
     train, test = split(labelled(rows, task), rows.columns) if task != "clustering" else (rows, rows)
     prepared = pipeline.fit(train)
-    train, test = prepared.transform(train).cache(), prepared.transform(test).cache()
+    parts = max(1, -(-train.count() // PART_ROWS))
+    fit_for = lambda rows: prepared.transform(rows).coalesce(parts).cache()
+    train, test = fit_for(train), fit_for(test)
     out, fitted = [], {}
     for label, estimator in (models or candidates(task)).items():
         try:
@@ -85,37 +93,45 @@ def compare_models(df: DataFrame, target: str | None, task: str, folds: int = 3,
                     estimator = C.OneVsRest(classifier=estimator)
                 model = estimator.fit(train)
                 accuracy = MulticlassClassificationEvaluator(metricName="accuracy")
-                cv = float(CrossValidator(estimator=estimator, estimatorParamMaps=ParamGridBuilder().build(), evaluator=accuracy, numFolds=folds, seed=SEED).fit(train).avgMetrics[0]) if folds > 1 else None
-                out.append((label, accuracy.evaluate(model.transform(test)), cv, None, None, None, None, None))
+                cv, spread = None, None
+                if folds > 1:
+                    crossed = CrossValidator(estimator=estimator, estimatorParamMaps=ParamGridBuilder().build(), evaluator=accuracy, numFolds=folds, seed=SEED, parallelism=folds).fit(train)
+                    cv, spread = float(crossed.avgMetrics[0]), float(crossed.stdMetrics[0])
+                out.append((label, accuracy.evaluate(model.transform(test)), cv, spread, None, None, None, None, None))
             elif task == "regression":
                 model = estimator.fit(train)
                 predicted = model.transform(test)
-                out.append((label, None, None, RegressionEvaluator(metricName="r2").evaluate(predicted), RegressionEvaluator(metricName="rmse").evaluate(predicted), None, None, None))
+                out.append((label, None, None, None, RegressionEvaluator(metricName="r2").evaluate(predicted), RegressionEvaluator(metricName="rmse").evaluate(predicted), None, None, None))
             else:
                 model = estimator.fit(train)
-                out.append((label, None, None, None, None, model.summary.trainingCost, model.getK(), None))
-            fitted[label] = model
+                out.append((label, None, None, None, None, None, model.summary.trainingCost, model.getK(), None))
+            fitted[label] = PipelineModel(stages=[*prepared.stages, model])
         except Exception as e:
-            out.append((label, *[None] * 6, str(e)[:200]))
+            out.append((label, *[None] * 7, str(e)[:200]))
     train.unpersist()
     test.unpersist()
-    schema = "model string, test_accuracy double, cv_accuracy double, r2 double, rmse double, inertia double, n_clusters int, failure string"
+    schema = "model string, test_accuracy double, cv_accuracy double, cv_deviation double, r2 double, rmse double, inertia double, n_clusters int, failure string"
     results = spark.createDataFrame(out, schema)
     metric = F.coalesce("test_accuracy", "r2", -F.col("inertia"))
     best = results.agg(F.max_by("model", F.when(metric.isNotNull(), F.struct(metric, F.col("model")))).alias("best"))
-    shown = [F.round(c, 4).alias(c) for c in ("test_accuracy", "cv_accuracy", "r2", "rmse", "inertia")]
+    shown = [F.round(c, 4).alias(c) for c in ("test_accuracy", "cv_accuracy", "cv_deviation", "r2", "rmse", "inertia")]
     return results.crossJoin(F.broadcast(best)).select("model", *shown, "n_clusters", "failure", (F.col("model") == F.col("best")).alias("best")), fitted  # one row
 
 
 def train_one(df: DataFrame, target: str, algorithm: str, drop: list[str] = ()):
-    """(results, models) of one named algorithm."""
+    """(results, models, report) of one named algorithm; report: of the hold-out rows, by class or over all."""
     named = {
         "random forest": ("classification", C.RandomForestClassifier(numTrees=100, maxDepth=10, seed=SEED)), "logistic": ("classification", C.LogisticRegression(maxIter=1000)),
         "naive bayes": ("classification", C.NaiveBayes(modelType="gaussian")), "svm": ("classification", C.LinearSVC()), "decision tree": ("classification", C.DecisionTreeClassifier(maxDepth=10, seed=SEED)),
         "gradient boosting": ("classification", C.GBTClassifier(maxIter=100, maxDepth=5, seed=SEED)), "kmeans": ("clustering", K.KMeans(k=3, seed=SEED)), "linear": ("regression", R.LinearRegression()),
     }
     task, estimator = named[algorithm]
-    return compare_models(df, None if task == "clustering" else target, task, models={algorithm: estimator}, drop=drop)
+    results, models = compare_models(df, None if task == "clustering" else target, task, models={algorithm: estimator}, drop=drop)
+    if task == "clustering" or algorithm not in models:
+        return results, models, None
+    rows = labelled(prepare_features(df, target, drop=drop)[0], task)
+    predicted = models[algorithm].transform(split(rows, rows.columns)[1])
+    return results, models, classification_report(predicted) if task == "classification" else regression_report(predicted)
 
 
 def confusion_matrix(predictions: DataFrame) -> DataFrame:
@@ -141,12 +157,21 @@ def classification_report(predictions: DataFrame) -> DataFrame:
     return out.select("class", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
-def sweep(predictions: DataFrame) -> DataFrame:
-    """score, tp, fp, p, n: running counts from the highest score down; rows are first counted by score."""
+def sweep(predictions: DataFrame, parts: int = 256) -> DataFrame:
+    """score, p1, n1 (of this score), tp, fp, p, n: running counts from the highest score down.
+
+    Rows are first counted by score; scores are cut at approximate quantiles into ranges, running sums over these give
+    each range its start, and only the scores of one range are summed in order.
+    """
     by = predictions.groupBy("score").agg(F.sum("label").alias("p1"), F.sum(1 - F.col("label")).alias("n1"))
-    w = Window.orderBy(F.desc("score"))
-    totals = by.agg(F.sum("p1").alias("p"), F.sum("n1").alias("n"))
-    return by.select("score", F.sum("p1").over(w).alias("tp"), F.sum("n1").over(w).alias("fp")).crossJoin(F.broadcast(totals))  # one row
+    bounds = by.agg(F.percentile_approx("score", [k / parts for k in range(1, parts)], 10_000).alias("bounds"))
+    placed = by.crossJoin(F.broadcast(bounds)).select("score", "p1", "n1", F.coalesce(F.size(F.filter("bounds", lambda b: b <= F.col("score"))), F.lit(0)).alias("part"))  # one row
+    sums = placed.groupBy("part").agg(F.sum("p1").alias("p_part"), F.sum("n1").alias("n_part"))
+    above, every = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    starts = sums.select("part", *[F.coalesce(F.sum(f"{c}_part").over(above), F.lit(0)).alias(f"{c}_start") for c in ("p", "n")], *[F.sum(f"{c}_part").over(every).alias(c) for c in ("p", "n")])
+    w = Window.partitionBy("part").orderBy(F.desc("score"))
+    met = placed.join(F.broadcast(starts), "part")  # a row a range
+    return met.select("score", "p1", "n1", (F.col("p_start") + F.sum("p1").over(w)).alias("tp"), (F.col("n_start") + F.sum("n1").over(w)).alias("fp"), "p", "n")
 
 
 def roc_curve(predictions: DataFrame) -> DataFrame:
@@ -158,10 +183,9 @@ def pr_curve(predictions: DataFrame) -> DataFrame:
 
 
 def auc(predictions: DataFrame) -> DataFrame:
-    w = Window.orderBy(F.desc("score"))
-    at = sweep(predictions).select("score", F.try_divide("fp", "n").alias("x"), F.try_divide("tp", "p").alias("y"))
-    area = (F.col("x") - F.coalesce(F.lag("x").over(w), F.lit(0.0))) * (F.col("y") + F.coalesce(F.lag("y").over(w), F.lit(0.0))) / 2
-    return at.withColumn("area", area).agg(F.round(F.sum("area"), 6).alias("auc"))
+    """Area under the ROC curve by trapezoids: a score's width is its own false share."""
+    area = F.try_divide("n1", "n") * (F.try_divide("tp", "p") + F.try_divide(F.col("tp") - F.col("p1"), "p")) / 2
+    return sweep(predictions).agg(F.round(F.sum(area), 6).alias("auc"))
 
 
 def calibration(predictions: DataFrame, bins: int = 10) -> DataFrame:
@@ -251,9 +275,10 @@ def smote(train: DataFrame, target: str, features: list[str], minority: object,
 def cluster(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (3, 4, 5)) -> tuple[DataFrame, DataFrame]:
     """(rows with a label for the first k, costs by k)."""
     data = VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip").transform(df)
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(data).transform(data).cache()
+    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(data).transform(data).persist()
     models = [K.KMeans(k=k, seed=SEED).fit(scaled) for k in ks]
     costs = df.sparkSession.createDataFrame([(k, float(m.summary.trainingCost)) for k, m in zip(ks, models, strict=True)], "k int, cost double")
+    scaled.unpersist()
     return models[0].transform(scaled).drop("raw", "features").withColumnRenamed("prediction", "cluster"), costs
 
 

@@ -10,6 +10,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+#: Hash parts of a ranking.
+PARTS = 64
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
@@ -91,10 +95,17 @@ def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None, top: int | None = None) -> DataFrame:
-    """column, value, n, rank: counts of each column's values, most frequent first, then by value."""
+    """column, value, n: counts of each column's values; with `top` the most frequent ones and their rank, ties by value.
+
+    The best of each of PARTS hash parts are found first, so that a rank is taken over PARTS x top rows at most.
+    """
     counted = long_values(df, columns or df.columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value")))
-    return ranked.where(F.col("rank") <= top) if top else ranked
+    if top is None:
+        return counted
+    order = [F.desc("n"), "value"]
+    part = F.pmod(F.xxhash64("value"), F.lit(PARTS))
+    best = counted.withColumn("_rank", F.row_number().over(Window.partitionBy("column", part).orderBy(*order))).where(F.col("_rank") <= top)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order))).where(F.col("rank") <= top).drop("_rank")
 
 
 def discrete_columns(df: DataFrame, max_unique: int = 15) -> DataFrame:

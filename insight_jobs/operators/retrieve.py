@@ -36,30 +36,43 @@ def tokens(text: Column, lower: bool = True) -> Column:
     return F.filter(F.split(F.lower(text) if lower else text, r"\s+"), lambda w: w != "")
 
 
-def bm25_index(chunks: DataFrame, lower: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """postings (scope, chunk_id, term, tf, dl), terms (scope, term, df, idf), scopes (scope, n, avgdl).
+def bm25_statistics(chunks: DataFrame, lower: bool = True) -> tuple[DataFrame, DataFrame]:
+    """terms (scope, term, df, idf), scopes (scope, n, avgdl). A negative idf becomes epsilon times the scope's mean idf.
 
-    chunks: scope, chunk_id, text. A negative idf becomes epsilon times the scope's mean idf.
+    One pass: each chunk gives its distinct words and one null term that carries its length, and both are counted
+    before they are shuffled.
     """
-    words = chunks.select("scope", "chunk_id", tokens(F.col("text"), lower).alias("ws"))
-    scopes = words.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ws")).alias("avgdl"))
-    postings = words.select("scope", "chunk_id", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("scope", "chunk_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
+    ws = tokens(F.col("text"), lower)
+    every = chunks.select("scope", ws.alias("ws")).select("scope", F.size("ws").alias("dl"), F.explode(F.concat(F.array_distinct("ws"), F.array(F.lit(None).cast("string")))).alias("term"))
+    counted = every.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words"))
+    scopes = counted.where("term IS NULL").select("scope", F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
+    df = counted.where("term IS NOT NULL").select("scope", "term", "df")
     raw = df.join(scopes.select("scope", "n"), "scope").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean"))
-    terms = raw.join(mean, "scope").select("scope", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return postings, terms, scopes
+    return raw.join(mean, "scope").select("scope", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")), scopes
+
+
+def bm25_postings(chunks: DataFrame, lower: bool = True, asked: DataFrame | None = None) -> DataFrame:
+    """scope, chunk_id, term, tf, dl; asked (scope, term): words that are looked for, others go before they are counted."""
+    words = chunks.select("scope", "chunk_id", tokens(F.col("text"), lower).alias("ws")).select("scope", "chunk_id", F.size("ws").alias("dl"), F.explode("ws").alias("term"))
+    found = words if asked is None else words.join(asked.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
+    return found.groupBy("scope", "chunk_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bm25_index(chunks: DataFrame, lower: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """postings (scope, chunk_id, term, tf, dl), terms (scope, term, df, idf), scopes (scope, n, avgdl) of chunks (scope, chunk_id, text)."""
+    return bm25_postings(chunks, lower), *bm25_statistics(chunks, lower)
 
 
-def bm25_topk(questions: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], k: int, lower: bool = True, keep_zero: bool = False) -> DataFrame:
+def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int, lower: bool = True, keep_zero: bool = False) -> DataFrame:
     """question_id, scope, chunk_id, score, rank; questions: question_id, scope, text. Repeated query words count again.
 
-    Question words filter the postings first, so that only their rows are scored.
+    Words that no question has are dropped before the postings are counted, so that only the others are shuffled.
     """
-    postings, terms, scopes = index
     asked = questions.select("question_id", "scope", F.explode(tokens(F.col("text"), lower)).alias("term")).groupBy("question_id", "scope", "term").agg(F.count(F.lit(1)).alias("times"))
+    terms, scopes = bm25_statistics(chunks, lower)
     weighted = asked.join(terms.select("scope", "term", "idf"), ["scope", "term"]).join(scopes, "scope")
-    hit = postings.join(weighted, ["scope", "term"])
+    hit = bm25_postings(chunks, lower, asked).join(weighted, ["scope", "term"])
     tf = F.col("tf")
     score = F.sum(F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
     scored = hit.groupBy("question_id", "scope", "chunk_id").agg(score.alias("score"))
@@ -76,11 +89,12 @@ def dense_topk(questions: DataFrame, vectors: DataFrame, k: int, block_rows: int
     dealt = lambda df, key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     kinds = dict(questions.dtypes)["question_id"], dict(vectors.dtypes)["chunk_id"]
-    left = vectors.select(F.lit(None).cast(kinds[0]).alias("question_id"), "chunk_id", "embedding", dealt(vectors, "chunk_id", blocks).alias("b"), every(groups).alias("g"))
-    right = questions.select("question_id", F.lit(None).cast(kinds[1]).alias("chunk_id"), "embedding", every(blocks).alias("b"), dealt(questions, "question_id", groups).alias("g"))
+    # Neither id is ever null, as pandas would make doubles of longs beside nulls.
+    left = vectors.select(F.lit("0").cast(kinds[0]).alias("question_id"), "chunk_id", F.lit(False).alias("asks"), "embedding", dealt(vectors, "chunk_id", blocks).alias("b"), every(groups).alias("g"))
+    right = questions.select("question_id", F.lit("0").cast(kinds[1]).alias("chunk_id"), F.lit(True).alias("asks"), "embedding", every(blocks).alias("b"), dealt(questions, "question_id", groups).alias("g"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        block, asked = rows[rows["question_id"].isna()].sort_values("chunk_id"), rows[rows["chunk_id"].isna()]
+        block, asked = rows[~rows["asks"]].sort_values("chunk_id"), rows[rows["asks"]]
         if not len(block) or not len(asked):
             return pd.DataFrame({"question_id": [], "chunk_id": [], "score": []})
         s = unit(np.array(asked["embedding"].tolist(), np.float64)) @ unit(np.array(block["embedding"].tolist(), np.float64)).T

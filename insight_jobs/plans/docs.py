@@ -212,15 +212,25 @@ def bm25_index(spark, d):
     return retrieve.bm25_index(scoped(spark, d))[1].withColumn("idf", F.round("idf", 6))
 
 
+@query(f"WITH {Q_SQL}, {_bm25_cte(DOCS_SQL)} SELECT scope, chunk_id, term, tf, dl FROM po")
+def bm25_postings(spark, d):
+    return retrieve.bm25_index(scoped(spark, d))[0]
+
+
+@query(f"WITH {Q_SQL}, {_bm25_cte(DOCS_SQL)} SELECT scope, n, round(avgdl, 6) AS avgdl FROM sc")
+def bm25_scopes(spark, d):
+    return retrieve.bm25_index(scoped(spark, d))[2].withColumn("avgdl", F.round("avgdl", 6))
+
+
 @query(f"WITH {Q_SQL}, {_bm25_cte(DOCS_SQL)}, rk AS (SELECT question_id, chunk_id, score, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank FROM bm WHERE score > 0) SELECT question_id, chunk_id, round(score, 4) AS score, rank FROM rk WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return retrieve.bm25_topk(benchmark(spark, d), retrieve.bm25_index(scoped(spark, d)), 10).select("question_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
+    return retrieve.bm25_topk(benchmark(spark, d), scoped(spark, d), 10).select("question_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 
 @query(f"WITH {Q_SQL}, {_bm25_cte('(SELECT * FROM ' + DOCS_SQL + ' WHERE length(text) > 30)', False)}, rk AS (SELECT question_id, chunk_id, score, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, chunk_id)::INT AS rank FROM bm) SELECT question_id, chunk_id, round(score, 4) AS score, rank FROM rk WHERE rank <= 5")
 def eval_contexts(spark, d):
     base = scoped(spark, d).where(F.length("text") > 30)
-    return retrieve.bm25_topk(benchmark(spark, d), retrieve.bm25_index(base, lower=False), 5, lower=False, keep_zero=True).select("question_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
+    return retrieve.bm25_topk(benchmark(spark, d), base, 5, lower=False, keep_zero=True).select("question_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 
 def vectors(spark, d):
@@ -242,20 +252,19 @@ def dense_topk_lsh(spark, d):
 
 
 def lanes(spark, d):
-    """Lanes of documents for each benchmark item: by the item's vector, and by its words among documents with vectors."""
-    known = docs(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    """Lanes of documents for each benchmark item: by the item's vector among vectors, and by its words among all documents."""
     asked = table(spark, d, "embeddings").join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
     dense = retrieve.dense_topk(asked.select(F.col("vec_id").alias("question_id"), "embedding"), vectors(spark, d), 14)
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.lit("all").alias("scope"), "text")
-    base = known.select(F.lit("all").alias("scope"), F.col("doc_id").alias("chunk_id"), "text")
-    return dense, retrieve.bm25_topk(questions, retrieve.bm25_index(base), 14)
+    base = docs(spark, d).select(F.lit("all").alias("scope"), F.col("doc_id").alias("chunk_id"), "text")
+    return dense, retrieve.bm25_topk(questions, base, 14)
 
 
 LANES_CTE = (
     "q AS (SELECT item_id AS question_id, 'all' AS scope, text FROM benchmark), "
     f"ds AS (SELECT a.vec_id AS question_id, b.vec_id AS chunk_id, {COS.format(a='a.embedding', b='b.embedding')} AS score FROM embeddings a JOIN benchmark ON item_id = a.vec_id, embeddings b), "
     "dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM ds) WHERE rank <= 14), "
-    + _bm25_cte("(SELECT 'all' AS scope, doc_id AS chunk_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))")
+    + _bm25_cte("(SELECT 'all' AS scope, doc_id AS chunk_id, text FROM documents)")
     + ", kw AS (SELECT * FROM (SELECT question_id, chunk_id, score, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm WHERE score > 0) WHERE rank <= 14)"
 )
 MERGED_CTE = LANES_CTE + ", un AS (SELECT question_id, chunk_id, rank, 0 AS lane FROM dn UNION ALL SELECT question_id, chunk_id, rank, 1 FROM kw), mg AS (SELECT question_id, chunk_id, sum(1.0 / (60 + rank)) AS score, min(lane * 1000 + rank) AS f FROM un GROUP BY 1, 2), rr AS (SELECT * FROM (SELECT question_id, chunk_id, score, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, f, chunk_id) AS rank FROM mg) WHERE rank <= 14)"
@@ -380,7 +389,10 @@ def gate(spark, d):
     return ground.gate(ground.confidence(q, merged_hits(spark, d)).join(classes, "question_id"))
 
 
-@query()
+@query(
+    _gate_sql().replace(" SELECT question_id, confidence", ", ga AS (SELECT question_id, confidence").replace(" AS fallback FROM g", " AS fallback FROM g)")
+    + f", cx AS (SELECT question_id, (chunk_id % 30)::INT AS page FROM hi), sp AS (SELECT question_id, list_sort(list(DISTINCT page)) AS pages FROM cx GROUP BY 1) SELECT item_id AS question_id, {cases('lower(trim(text))', rules.QUERY_TYPES, 'general')} AS query_type, query_class, pages, confidence, should_answer, warning FROM benchmark LEFT JOIN sp ON sp.question_id = item_id LEFT JOIN ga ON ga.question_id = item_id"
+)
 def retrieval_report(spark, d):
     q = benchmark_questions(spark, d)
     kinds = q.select("question_id", rules.query_type(F.col("text")).alias("query_type"), rules.classify_query(F.col("text")).alias("query_class"))

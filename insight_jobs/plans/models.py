@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import correlate, modeling, profile
 from .registry import query, table
-from .tables import VALUES, lines
-from .texts import questions
+from .tables import PAIRS_SQL, lines, pairs
+from .texts import QUESTIONS_SQL, questions
 
 
 def predictions(spark, d):
@@ -74,10 +74,7 @@ def sample_table(spark, d):
 
 @query()
 def compare_models(spark, d):
-    from pyspark.ml import classification as C
-
-    fast = {"Random Forest": C.RandomForestClassifier(numTrees=20, maxDepth=10, seed=modeling.SEED), "Logistic Regression": C.LogisticRegression(maxIter=1000), "Gradient Boosting": C.GBTClassifier(maxIter=10, maxDepth=4, seed=modeling.SEED)}
-    return modeling.compare_models(sample_table(spark, d), "quality", "classification", folds=2, models=fast, drop=["doc_id"])[0]
+    return modeling.compare_models(sample_table(spark, d), "quality", "classification", drop=["doc_id"])[0]
 
 
 @query()
@@ -85,6 +82,37 @@ def train_one(spark, d):
     return modeling.train_one(sample_table(spark, d), "quality", "decision tree", drop=["doc_id"])[0]
 
 
+@query()
+def train_report(spark, d):
+    return modeling.train_one(sample_table(spark, d), "quality", "decision tree", drop=["doc_id"])[2]
+
+
+@query()
+def learning_curve(spark, d):
+    from pyspark.ml import classification as C
+
+    rows, pipeline = modeling.prepare_features(sample_table(spark, d), "quality", drop=["doc_id"])
+    train, test = modeling.split(modeling.labelled(rows, "classification"), rows.columns)
+    prepared = pipeline.fit(train)
+    return modeling.learning_curve(prepared.transform(train), prepared.transform(test), C.DecisionTreeClassifier(maxDepth=10, seed=modeling.SEED))
+
+
+@query()
+def permutation_importance(spark, d):
+    from pyspark.ml import classification as C
+
+    rows, pipeline = modeling.prepare_features(sample_table(spark, d), "quality", drop=["doc_id"])
+    train, test = modeling.split(modeling.labelled(rows, "classification"), rows.columns)
+    prepared = pipeline.fit(train)
+    model = C.DecisionTreeClassifier(maxDepth=10, seed=modeling.SEED).fit(prepared.transform(train))
+    return modeling.permutation_importance(model, prepared.transform(test), [*[c for c in ("n_chars", "n_symbols", "toxic") if c in rows.columns], "lang"])
+
+
+@query()
+def cluster_costs(spark, d):
+    return modeling.cluster(sample_table(spark, d), ["n_chars", "n_symbols"])[1]
+
+
 @query()
 def cluster(spark, d):
     return modeling.cluster(sample_table(spark, d), ["n_chars", "n_symbols"])[0].select("doc_id", "cluster")
@@ -107,8 +135,12 @@ def feature_importance(spark, d):
     return modeling.feature_importance(spark, model, names)
 
 
-@query()
+@query(
+    f"WITH b AS (SELECT count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag), r AS (SELECT min(n) / (SELECT count(*) FROM lineitem) AS r FROM b), "
+    f"t AS (SELECT CASE WHEN col1 = 'l_extendedprice' THEN col2 ELSE col1 END AS c, abs(r) AS a FROM ({PAIRS_SQL}) WHERE (col1 = 'l_extendedprice' OR col2 = 'l_extendedprice') AND r IS NOT NULL ORDER BY a DESC, c LIMIT 4) "
+    f"SELECT question_id, (SELECT count(*) FROM lineitem) AS n_rows, (SELECT count(*) FROM (DESCRIBE SELECT * FROM lineitem)) AS n_columns, (SELECT string_agg(c, ', ' ORDER BY a DESC, c) FROM t) AS predictors, round(r, 3) AS ratio, "
+    f"CASE WHEN r < 0.05 THEN 'extreme' WHEN r < 0.2 THEN 'severe' WHEN r < 0.4 THEN 'mild' ELSE 'balanced' END AS severity FROM {QUESTIONS_SQL}, r"
+)
 def recommendation_facts(spark, d):
-    pairs = correlate.correlation_pairs(lines(spark, d), VALUES)
     shape = profile.table_shape(lines(spark, d))
-    return modeling.recommendation_facts(questions(spark, d).select("question_id"), shape, correlate.target_correlation(pairs, "l_extendedprice"), profile.class_balance(lines(spark, d), "l_returnflag"))
+    return modeling.recommendation_facts(questions(spark, d).select("question_id"), shape, correlate.target_correlation(pairs(spark, d), "l_extendedprice"), profile.class_balance(lines(spark, d), "l_returnflag"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import charts, correlate, filters, profile
+from ..sources import io
 from .registry import query, table
 
 LINE_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -66,7 +69,7 @@ def discrete_columns(spark, d):
     return profile.discrete_columns(lines(spark, d))
 
 
-VALUE_COUNTS = "SELECT '{c}' AS \"column\", value, n, row_number() OVER (ORDER BY n DESC, value)::INT AS rank FROM (SELECT {c}::VARCHAR AS value, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 1)"
+VALUE_COUNTS = "SELECT '{c}' AS \"column\", {c}::VARCHAR AS value, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY ALL"
 
 
 @query(union_sql(["l_returnflag", "l_linestatus", "l_linenumber"], VALUE_COUNTS.replace("{t}", NULLED)))
@@ -284,6 +287,11 @@ def histogram(spark, d):
     return charts.histogram(lines(spark, d), "l_extendedprice")
 
 
+@query("SELECT * FROM (SELECT 'l_partkey' AS \"column\", l_partkey::VARCHAR AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l_partkey::VARCHAR)::INT AS rank FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY 2) WHERE rank <= 20")
+def top_values(spark, d):
+    return profile.value_counts(lines(spark, d), ["l_partkey"], 20)
+
+
 @query("SELECT value, n, row_number() OVER (ORDER BY n DESC, value)::INT AS rank FROM (SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1)")
 def bar_counts(spark, d):
     return charts.bar_counts(table(spark, d, "events"), "event_type")
@@ -325,3 +333,11 @@ def model_comparison_long(spark, d):
     model = F.when(F.col("p_partkey") % 50 == 0, "model_a").otherwise(F.col("p_type"))
     results = part.select(F.col("p_brand").alias("result_set"), model.alias("model"), (F.col("p_size") / 50.0).alias("accuracy"), (F.col("p_retailprice") / 2000).alias("cv"))
     return charts.model_comparison_long(results, ["accuracy", "cv"])
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def table_read_back(spark, d):
+    """A table written as CSV into the warehouse folder and read again."""
+    folder = spark.conf.get("spark.sql.warehouse.dir")
+    path = io.write_table(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), folder, "nation", "all", uuid.uuid4().hex)
+    return io.read_table(spark, path)

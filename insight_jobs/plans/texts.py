@@ -192,7 +192,10 @@ def strip_toc_citations(spark, d):
     return answers(spark, d).select("answer_id", rules.strip_toc_citations(F.col("text")).alias("text"))
 
 
-@query()
+@query(
+    f"WITH r AS (SELECT answer_id, list_filter(regexp_extract_all(text, {quoted(rules.NAME_RUN)}, 1), lambda x: NOT list_has_any(regexp_split_to_array(x, '\\s+'), {listed(rules.NOT_A_NAME)})) AS l FROM {ANSWERS_SQL}) "
+    "SELECT answer_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:2] AS names FROM r"
+)
 def person_names(spark, d):
     return answers(spark, d).select("answer_id", rules.person_names(F.col("text")).alias("names"))
 

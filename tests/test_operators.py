@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,12 +247,41 @@ def test_models(spark, tmp_path):
     rows, pipeline = modeling.prepare_features(df, "y")
     data = modeling.labelled(rows, "classification")
     prepared = pipeline.fit(data).transform(data)
-    top = modeling.permutation_importance(fitted["Random Forest"], prepared, ["x", "z"], 1).orderBy(F.desc("importance")).first()
+    top = modeling.permutation_importance(fitted["Random Forest"].stages[-1], prepared, ["x", "z"], 1).orderBy(F.desc("importance")).first()
     assert top["column"] == "x"
     curve = modeling.learning_curve(prepared, prepared, modeling.candidates("classification", 5)["Random Forest"], (0.5, 1.0))
     assert curve.count() == 2
     path = io.save_model(pipeline.fit(data), str(tmp_path), "My Model")
     assert path.endswith("my_model_best") and io.load_model(path).transform(data).count() == 400
+    whole = io.save_model(fitted["Random Forest"], str(tmp_path), "Random Forest")
+    raw = data.select("x", "z", "label")
+    assert io.load_model(whole).transform(raw).where("prediction = label").count() > 360
+
+
+def test_a_column_without_values_counts_as_zero(spark):
+    df = spark.range(300).select((F.col("id") % 97).alias("x"), F.lit(None).cast("double").alias("e"), F.when(F.col("id") % 97 > 50, "b").otherwise("a").alias("y"))
+    results, models, report = modeling.train_one(df, "y", "decision tree")
+    r = one(results)
+    assert r["failure"] is None and r["test_accuracy"] > 0.9 and r["cv_accuracy"] > 0.9 and r["cv_deviation"] is not None
+    assert {x["class"] for x in report.collect()} >= {"accuracy", "macro avg", "weighted avg", "0.0", "1.0"}
+    assert models["decision tree"].transform(modeling.prepare_features(df, "y")[0]).count() == 300
+
+
+def test_sweep_of_many_scores_by_brute_force(spark):
+    rng = np.random.default_rng(1)
+    y, s = rng.integers(0, 2, 2000), np.round(rng.random(2000), 3)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s, strict=True)], "label int, score double")
+    got = {r["score"]: (r["tp"], r["fp"], r["p"], r["n"]) for r in modeling.sweep(df, 16).collect()}
+    assert got == {b: (int(y[s >= b].sum()), int((1 - y)[s >= b].sum()), int(y.sum()), int((1 - y).sum())) for b in set(s.tolist())}
+    pairs = (s[y == 1][:, None] > s[y == 0]).sum() + (s[y == 1][:, None] == s[y == 0]).sum() / 2
+    assert one(modeling.auc(df))["auc"] == pytest.approx(pairs / (y.sum() * (1 - y).sum()), abs=1e-6)
+
+
+def test_dense_search_keeps_large_ids(spark):
+    big = 2**60
+    vectors = spark.createDataFrame([(big + k, [1.0, float(k)]) for k in range(5)], "chunk_id long, embedding array<double>")
+    questions = spark.createDataFrame([(big + 7, [1.0, 0.0])], "question_id long, embedding array<double>")
+    assert [(r["question_id"], r["chunk_id"]) for r in retrieve.dense_topk(questions, vectors, 2).orderBy("rank").collect()] == [(big + 7, big), (big + 7, big + 1)]
 
 
 def test_smote_lies_between_rows(spark):
