@@ -34,6 +34,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Score of a character without a piece.
 UNKNOWN = -100_000.0
+#: The length of a piece of two characters, for places where no longer piece ends.
+PAIR = (2,)
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -47,9 +49,12 @@ class Pieces:
         for p in scores:
             if len(p) > 2:
                 ends.setdefault(p[-3:], set()).add(len(p))
-        #: Lengths of the pieces that end in three given characters, longest first.
-        self.lengths = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
+        #: Lengths of the pieces that end in three given characters, longest first, and that of a pair.
+        self.lengths = {e: (*sorted(n, reverse=True), 2) for e, n in ends.items()}
         self.fits: dict[tuple[str, str], bool] = {}
+        #: Ids and bytes of words that this Python worker has met; they outlast its tasks.
+        self.ids_of: dict[str, bytes] = {}
+        self.raw_of: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The merge procedure itself: the best-scored neighbours first, the leftmost of equals."""
@@ -63,16 +68,15 @@ class Pieces:
         return parts
 
     def fit(self, left: str, right: str) -> bool:
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) >= 1_000_000:
-                self.fits.clear()
-            known = self.fits[left, right] = self.merged(left + right) == [left, right]
+        """Whether the merge procedure leaves the two as they are; kept in `fits`."""
+        if len(self.fits) >= 1_000_000:
+            self.fits.clear()
+        known = self.fits[left, right] = self.merged(left + right) == [left, right]
         return known
 
     def forward(self, word: str, best: list[float], last: list[str]) -> None:
         """Extend the states of a prefix (best[i], last[i]: of the first i characters) to the whole word."""
-        scores = self.scores
+        scores, lengths, fits = self.scores, self.lengths, self.fits
         for i in range(len(best), len(word) + 1):
             top, chosen = best[i - 1] + scores.get(word[i - 1], UNKNOWN), word[i - 1]
             if not self.merging:
@@ -82,13 +86,15 @@ class Pieces:
                     if score > top:
                         top, chosen = score, piece
             else:
-                for n in (*self.lengths.get(word[i - 3 : i], ()), 2) if i > 2 else (2,):
+                for n in lengths.get(word[i - 3 : i], PAIR) if i > 2 else PAIR:
                     if n > i:
                         continue
                     piece = word[i - n : i]
-                    if piece in scores and (i == n or self.fit(last[i - n], piece)):
-                        top, chosen = best[i - n] + scores[piece], piece
-                        break
+                    if piece in scores:
+                        fit = n == i or fits.get((last[i - n], piece))
+                        if fit or (fit is None and self.fit(last[i - n], piece)):
+                            top, chosen = best[i - n] + scores[piece], piece
+                            break
             best.append(top)
             last.append(chosen)
 
@@ -152,31 +158,32 @@ class Decoder:
         return b"".join([self.raw.get(k, b"") for k in ids]).decode("utf-8", "replace")[1:]
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, batch: int = 1000, remembered: int = 1_200_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str = MODEL, batch: int = 1000, remembered: int = 900_000) -> DataFrame:
     """doc_id, n_pieces, ids (binary, little-endian uint16), decodes: whether the decoder gives the very text back.
 
     A text that has the mark itself decodes to spaces in its place, as in the public library, so that `decodes` is false.
+    remembered: words that a Python worker keeps from batch to batch, in memory alone; the result doesn't hang on it.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.binary()), ("decodes", pa.bool_())])
 
     def begin():
         pieces, decoder, little = load(model), Decoder(load(model)), sys.byteorder == "little"
-        known: dict[str, tuple[bytes, bytes]] = {}
+        ids_of, raw_of = pieces.ids_of, pieces.raw_of
 
         def work(part: pa.RecordBatch) -> dict:
             texts = [t or "" for t in part.column("text").to_pylist()]
             words = [marked_words(t) for t in texts]
-            fresh = {w for ws in words for w in ws} - known.keys()
-            if len(known) + len(fresh) > remembered:
-                known.clear()
-                fresh = {w for ws in words for w in ws}
+            here = set().union(*words)
+            fresh = here - ids_of.keys()
+            if len(ids_of) + len(fresh) > remembered:
+                ids_of.clear()
+                raw_of.clear()
+                fresh = here
             for word, ids in pieces.encode_words(fresh):
-                known[word] = array("H", ids).tobytes() if little else np.array(ids, "<u2").tobytes(), b"".join([decoder.raw.get(k, b"") for k in ids])
-            ids, decodes = [], []
-            for text, ws in zip(texts, words, strict=True):
-                found = [known[w] for w in ws]
-                ids.append(b"".join([f[0] for f in found]))
-                decodes.append(b"".join([f[1] for f in found])[1:] == text.encode("utf-8", "surrogatepass"))
+                ids_of[word] = array("H", ids).tobytes() if little else np.array(ids, "<u2").tobytes()
+                raw_of[word] = b"".join([decoder.raw.get(k, b"") for k in ids])
+            ids = [b"".join(map(ids_of.__getitem__, ws)) for ws in words]
+            decodes = [b"".join(map(raw_of.__getitem__, ws))[1:] == t.encode("utf-8", "surrogatepass") for t, ws in zip(texts, words, strict=True)]
             return {"doc_id": part.column("doc_id"), "n_pieces": [len(x) // 2 for x in ids], "ids": ids, "decodes": decodes}
 
         return work
