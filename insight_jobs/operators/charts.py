@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .profile import categorical_columns, discrete_columns, name, numeric_columns, value, value_counts
+from .profile import categorical_columns, discrete_columns, name, numeric_columns, quantiles, value, value_counts
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -47,10 +47,10 @@ def pair_points(df: DataFrame, k: int = 6, one_in: int = 1) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*[name(c) for c in columns]), F.lit(one_in)) == 0).select(*[name(c) for c in columns])
 
 
-def box_stats(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
-    """Quartiles, whiskers within 1.5 box lengths, and the values beyond them, by group."""
+def box_stats(df: DataFrame, column: str, group: str | None = None, exact: bool = True) -> DataFrame:
+    """Quartiles (exact: see quantiles), whiskers within 1.5 box lengths, and the count of values beyond them, by group."""
     rows = df.select((name(group).cast("string") if group else F.lit("all")).alias("group"), value(column).alias("x")).where("x IS NOT NULL")
-    boxes = rows.groupBy("group").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    boxes = rows.groupBy("group").agg(quantiles(F.col("x"), [0.25, 0.5, 0.75], exact).alias("q"))
     boxes = boxes.select(F.col("group").alias("g"), *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("q1", "median", "q3"))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("x").between(F.col("q1") - reach, F.col("q3") + reach)

@@ -64,12 +64,25 @@ def null_counts(df: DataFrame) -> DataFrame:
     return one_pass(df, df.columns, {"n_nulls": lambda c: F.count_if(is_missing(df, c))})
 
 
+def quantiles(c: str | Column, shares: list[float], exact: bool) -> Column:
+    """Quantiles of a column by name (or of an expression), as an array.
+
+    exact: interpolated, which holds a count for each distinct value; else approximate ones of bounded size.
+    """
+    x = value(c) if isinstance(c, str) else c
+    return F.percentile(x, F.array(*map(F.lit, shares))) if exact else F.percentile_approx(x, shares, 10_000)
+
+
+def median(c: str, exact: bool) -> Column:
+    return F.get(quantiles(c, [0.5], exact), F.lit(0))
+
+
 def numeric_summary(df: DataFrame, digits: int = 3, exact: bool = True) -> DataFrame:
     """count, mean, std, min, quartiles and max of each numeric column.
 
-    exact: interpolated quantiles, which hold a count for each distinct value; else approximate ones of bounded size.
+    exact: see quantiles.
     """
-    quartile = lambda c: F.percentile(value(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact else F.percentile_approx(value(c), [0.25, 0.5, 0.75], 10_000)
+    quartile = lambda c: quantiles(c, [0.25, 0.5, 0.75], exact)
     fields = {"count": lambda c: F.count(value(c)), "mean": lambda c: F.avg(value(c)), "std": lambda c: F.stddev_samp(value(c)), "min": lambda c: F.min(value(c)), "q": quartile, "max": lambda c: F.max(value(c))}
     out = one_pass(df, numeric_columns(df), fields)
     q = [F.round(F.get("q", F.lit(k)), digits).alias(n) for k, n in enumerate(("q25", "q50", "q75"))]
@@ -82,9 +95,9 @@ def corrected_skew(c: str) -> Column:
     return F.when(n < 3, F.lit(None)).when(F.min(value(c)) == F.max(value(c)), F.lit(0.0)).otherwise(F.skewness(value(c)) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def column_stats(df: DataFrame, digits: int = 2) -> DataFrame:
-    """mean, median, std and skew of each numeric column."""
-    fields = {"mean": lambda c: F.avg(value(c)), "median": lambda c: F.percentile(value(c), F.lit(0.5)), "std": lambda c: F.stddev_samp(value(c)), "skew": corrected_skew}
+def column_stats(df: DataFrame, digits: int = 2, exact: bool = True) -> DataFrame:
+    """mean, median (exact: see quantiles), std and skew of each numeric column."""
+    fields = {"mean": lambda c: F.avg(value(c)), "median": lambda c: median(c, exact), "std": lambda c: F.stddev_samp(value(c)), "skew": corrected_skew}
     return one_pass(df, numeric_columns(df), fields).select("column", *[F.round(k, digits).alias(k) for k in fields])
 
 
@@ -155,14 +168,17 @@ def column_samples(df: DataFrame, order_by: list[str], n: int = 3, columns: list
     return reduce(DataFrame.union, picked)
 
 
-def stat_profile(df: DataFrame, max_numeric: int = 10, max_categorical: int = 6, digits: int = 3) -> DataFrame:
-    """The whole profile as (section, column, metric, value): shape, numeric, categorical, nulls, duplicates."""
+def stat_profile(df: DataFrame, max_numeric: int = 10, max_categorical: int = 6, digits: int = 3, exact: bool = True) -> DataFrame:
+    """The whole profile as (section, column, metric, value): shape, numeric, categorical, nulls, duplicates.
+
+    exact: see quantiles, here of the medians.
+    """
     metric = lambda section, column, names: F.explode(F.array(*[F.struct(F.lit(section).alias("section"), column.alias("column"), F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in names]))
     table = F.lit("").alias("c")
     shape = df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns))).select(metric("shape", table, ["n_rows", "n_columns"]).alias("m"))
     numeric = numeric_columns(df)[:max_numeric]
     text = categorical_columns(df)[:max_categorical]
-    fields = {"mean": lambda c: F.avg(value(c)), "std": lambda c: F.stddev_samp(value(c)), "min": lambda c: F.min(value(c)), "max": lambda c: F.max(value(c)), "median": lambda c: F.percentile(value(c), F.lit(0.5)), "nulls": lambda c: F.count_if(is_missing(df, c))}
+    fields = {"mean": lambda c: F.avg(value(c)), "std": lambda c: F.stddev_samp(value(c)), "min": lambda c: F.min(value(c)), "max": lambda c: F.max(value(c)), "median": lambda c: median(c, exact), "nulls": lambda c: F.count_if(is_missing(df, c))}
     parts = [shape]
     if numeric:
         parts.append(one_pass(df, numeric, fields).select(metric("numeric", F.col("column"), list(fields)).alias("m")))

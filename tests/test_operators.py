@@ -311,3 +311,15 @@ def test_lsh_answers_questions_without_shared_buckets(spark):
     questions = spark.createDataFrame([(1, [-1.0, 0.0, 0.1])], "question_id long, embedding array<float>")
     got = [(r["chunk_id"], r["rank"]) for r in retrieve.dense_topk_lsh(questions, vectors, 3, bucket=0.01).orderBy("rank").collect()]
     assert got == [(5, 1), (4, 2), (3, 3)]
+
+
+def test_approximate_quantiles_lie_at_their_ranks(spark):
+    df = spark.range(20_001).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("string").alias("g"))
+    for exact in (True, False):
+        q = profile.numeric_summary(df, exact=exact).first()
+        assert [round(q[c], -1) for c in ("q25", "q50", "q75")] == [5000, 10_000, 15_000]
+        assert round(profile.column_stats(df, exact=exact).first()["median"], -1) == 10_000
+        assert round(profile.stat_profile(df, exact=exact).where("metric = 'median'").first()["value"], -1) == 10_000
+        boxes = charts.box_stats(df, "x", "g", exact=exact).collect()
+        assert len(boxes) == 2 and all(round(b["median"], -1) == 10_000 and b["n_outliers"] == 0 for b in boxes)
+    assert profile.numeric_summary(df.where("false"), exact=False).first()["q50"] is None
