@@ -292,13 +292,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, turns: int
     for turn in range(turns):
         fresh = staged(more_stars(rows, labels, turn).join(tested, ["a", "b"], "left_anti"))
         found = staged(confirmed(fresh, sets, share))
+        before = tested, links, fresh, found, labels
         tested, links = staged(tested.union(fresh)), staged(links.union(found))
         labels = components(links)
+        dropped(*before)
+    before = tested, links, labels
     links = staged(links.union(joining_links(shared, labels, sets, share)))
     labels = components(links)
     named = classes.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     alone = F.encode(F.concat(F.lit("alone "), F.monotonically_increasing_id().cast("string")), "utf-8")
     slim = sketch.select("doc_id", "n_shingles", F.coalesce("set_key", alone).alias("set_key"))
     out = slim.join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    dropped(shared, members, rows, sets)
+    dropped(*before, links, shared, members, rows, sets)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
