@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, materialise, neardup, packing, pages, pieces, quality, rules, sharding, toxicity
+from . import ann, hardneg, materialise, neardup, packing, pages, pieces, quality, rules, sharding, toxicity, transducer, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +56,23 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def queries() -> dict:
-    named = (op1_quality, op2_sharding, op3_training_order, op4_rules, op5_packing, op6_neardup, op7_nearest, op8_toxicity, op9_pieces, op10_main_text, rules_ablation)
+    named = (op1_quality, op2_sharding, op3_training_order, op4_rules, op5_packing, op6_neardup, op7_nearest, op8_toxicity, op9_pieces, op10_main_text, op11_transducer, op12_whitening, op13_hard_negatives, rules_ablation)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_rules": rules.ORACLE, "rules_ablation": rules.ABLATION_ORACLE}
+    return {"op4_rules": rules.ORACLE, "rules_ablation": rules.ABLATION_ORACLE, "op13_hard_negatives": hardneg.ORACLE}
