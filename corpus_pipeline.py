@@ -5,63 +5,64 @@ Each stage gets what the one before kept; all but the last return the columns of
 Verdicts go by row, not by doc_id: a row without doc_id, or one that repeats another, is judged like any other. Null and empty
 texts aren't toxic, have the quality score of a text without words, and are nobody's near duplicate; of rows with equal texts
 one stays, the smallest doc_id first. Very long texts go through whole. An empty table gives an empty result.
-Columns beside doc_id, text and source pass through all stages but the last.
+Columns beside doc_id, text and source pass through all stages but the last, whatever they are called.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from types import ModuleType
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insight_jobs.llm import neardup, packing, quality, toxicity
-from insight_jobs.llm.common import staged
-
+from insight_jobs.llm.common import dropped, staged
 
-def _numbered_rows(docs: DataFrame) -> DataFrame:
-    """The documents with a key of each row's own, `_row`: its file's number and its place in the file.
 
-    Documents that aren't read straight from files are written first.
-    """
-    try:
-        docs.select("_metadata.row_index")
-    except AnalysisException:
-        docs = staged(docs)
-    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    names = sorted(r["_file"] for r in placed.select("_file").distinct().collect())
-    files = docs.sparkSession.createDataFrame(list(enumerate(names)), "_number long, _file string")
-    row = F.shiftleft("_number", 40) + F.col("_at")
-    return placed.join(F.broadcast(files), "_file").select(*docs.columns, row.alias("_row"))  # one row a file
+def _numbered_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents, written once with a key of each row's own, and that key's name, which no column has."""
+    key = "_row"
+    taken = {c.lower() for c in docs.columns}
+    while key in taken or f"{key}_of" in taken:
+        key = f"_{key}"
+    return staged(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
-def _by_row(rows: DataFrame) -> DataFrame:
+def _by_row(rows: DataFrame, key: str) -> DataFrame:
     """Key and text, the key in place of doc_id, for operators that give doc_id back."""
-    return rows.select(F.col("_row").alias("doc_id"), "text")
+    return rows.select(F.col(key).alias("doc_id"), "text")
+
+
+def _keeping(rows: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+    """The rows whose key is the doc_id of a row of `kept`, without the key. `run` deletes the written rows later."""
+    out = rows.join(kept.select(F.col("doc_id").alias(key)), key, "left_semi").drop(key)
+    out._written_rows = rows
+    return out
 
 
-def _keeping(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows whose key is in `kept`, without the key."""
-    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
+def _judged(spark: SparkSession, docs: DataFrame, sf_dir: str, judge: ModuleType) -> tuple[DataFrame, str, DataFrame]:
+    """The numbered rows, their key's name, and key (as doc_id) and score of each row by a classifier that has learned from the labels."""
+    rows, key = _numbered_rows(docs)
+    return rows, key, judge.score_documents(_by_row(rows, key), judge.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered_rows(docs)
-    scored = toxicity.score_documents(_by_row(rows), toxicity.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return _keeping(rows, scored.where(F.col("score") < toxicity.CUT).withColumnRenamed("doc_id", "_row"))
+    rows, key, scored = _judged(spark, docs, sf_dir, toxicity)
+    return _keeping(rows, key, scored.where(F.col("score") < toxicity.CUT))
 
 
 def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _numbered_rows(docs)
-    scored = quality.score_documents(_by_row(rows), quality.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return _keeping(rows, scored.where(F.col("score") >= quality.CUT).withColumnRenamed("doc_id", "_row"))
+    rows, key, scored = _judged(spark, docs, sf_dir, quality)
+    return _keeping(rows, key, scored.where(F.col("score") >= quality.CUT))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id of each component; one without doc_id only where no row has any."""
-    rows = _numbered_rows(docs)
-    grouped = neardup.near_duplicates(_by_row(rows)).select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    return _keeping(rows, rows.select("_row", "doc_id").join(grouped, "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row")))
+    rows, key = _numbered_rows(docs)
+    grouped = neardup.near_duplicates(_by_row(rows, key)).select(F.col("doc_id").alias(key), F.col("component_id").alias(f"{key}_of"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", key)
+    first = rows.select(key, "doc_id").join(grouped, key).groupBy(f"{key}_of").agg(F.min_by(key, order).alias("doc_id"))
+    return _keeping(rows, key, first)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,6 +77,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, kept = docs, stage(spark, docs, sf_dir)
+        docs = staged(kept)
+        dropped(kept._written_rows, *([before] if k else []))
     return STAGES[-1][1](spark, docs, sf_dir)
