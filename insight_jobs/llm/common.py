@@ -72,6 +72,12 @@ def in_batches(rows: DataFrame, schema: pa.Schema, begin: Callable[[], Callable[
     return rows.mapInArrow(run, from_arrow_schema(schema))
 
 
+def keyed_texts(docs: DataFrame) -> tuple[DataFrame, pa.DataType]:
+    """doc_id and text alone, and the Arrow type of doc_id: text stays text, anything else becomes a long."""
+    textual = dict(docs.dtypes)["doc_id"] == "string"
+    return docs.select(F.col("doc_id").cast("string" if textual else "long"), F.col("text").cast("string")), pa.string() if textual else pa.int64()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Maximal runs of anything but space and the characters 9 to 13, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, labelled_sample
+from .common import in_batches, keyed_texts, labelled_sample
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 PIECE = 20_000
@@ -164,8 +164,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
         return work
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return in_batches(slim, pa.schema([("doc_id", pa.int64()), ("score", pa.float64())]), begin)
+    slim, kind = keyed_texts(docs)
+    return in_batches(slim, pa.schema([("doc_id", kind), ("score", pa.float64())]), begin)
 
 
 def learned(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> Model:

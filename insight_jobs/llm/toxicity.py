@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, labelled_sample
+from .common import in_batches, keyed_texts, labelled_sample
 from .crf import Chain, blocks, padded
 
 SEGMENT = 256
@@ -173,7 +173,8 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> Da
     """doc_id, score, spans (struct start, end in characters) and their number, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("spans", pa.list_(span)), ("n_spans", pa.int32())])
+    slim, kind = keyed_texts(docs)
+    schema = pa.schema([("doc_id", kind), ("score", pa.float64()), ("spans", pa.list_(span)), ("n_spans", pa.int32())])
 
     def begin():
         m = shared.value
@@ -191,7 +192,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> Da
 
         return work
 
-    return in_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), schema, begin)
+    return in_batches(slim, schema, begin)
 
 
 def learned(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> Model:

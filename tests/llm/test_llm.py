@@ -588,6 +588,16 @@ def test_pipeline_judges_rows_not_ids(spark, monkeypatch):
     assert sorted((r["doc_id"], r["text"]) for r in pipeline.one_of_each(spark, clean, SF).collect()) == [(1, other), (2, base)]
 
 
+def test_pipeline_passes_any_columns_through(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["_row", "_file", "_AT", "_number", "_metadata", "__row_of", "score"]
+    docs = spark.createDataFrame([(k, " ".join(words(80, k)), "s", *[f"{n}{k}" for n in names]) for k in (1, 2, 2, 3)], f"doc_id long, text string, source string, {', '.join(f'{n} string' for n in names)}")
+    kept = docs
+    for _, stage in pipeline.STAGES[:-1]:
+        kept = common.staged(stage(spark, kept, SF))
+        assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
+
+
 BIG = 2**60
 
 
