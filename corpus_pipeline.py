@@ -10,8 +10,7 @@ Columns beside doc_id, text and source pass through all stages but the last, wha
 
 from __future__ import annotations
 
-from types import ModuleType
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +18,30 @@ from insight_jobs.llm import neardup, packing, quality, toxicity
 from insight_jobs.llm.common import dropped, staged
 
 
+def _free_name(docs: DataFrame) -> str:
+    """A column's name that the documents don't have, nor with an ending."""
+    name = "_row"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = f"_{name}"
+    return name
+
+
+def _placed_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a key of each row's own, and its name: the file's digest and the place in the file.
+
+    Documents that aren't read straight from files are written first.
+    """
+    key = _free_name(docs)
+    try:
+        at = docs.metadataColumn("_metadata")
+        return docs.select("*", F.concat_ws("#", F.md5(at["file_path"]), at["row_index"]).alias(key)), key
+    except AnalysisException:
+        return _placed_rows(staged(docs))
+
+
 def _numbered_rows(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The documents, written once with a key of each row's own, and that key's name, which no column has."""
-    key = "_row"
-    taken = {c.lower() for c in docs.columns}
-    while key in taken or f"{key}_of" in taken:
-        key = f"_{key}"
+    """The documents, written once with a number of each row's own, and its name. `run` deletes them later."""
+    key = _free_name(docs)
     return staged(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
@@ -34,25 +51,19 @@ def _by_row(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _keeping(rows: DataFrame, key: str, kept: DataFrame) -> DataFrame:
-    """The rows whose key is the doc_id of a row of `kept`, without the key. `run` deletes the written rows later."""
-    out = rows.join(kept.select(F.col("doc_id").alias(key)), key, "left_semi").drop(key)
-    out._written_rows = rows
-    return out
-
-
-def _judged(spark: SparkSession, docs: DataFrame, sf_dir: str, judge: ModuleType) -> tuple[DataFrame, str, DataFrame]:
-    """The numbered rows, their key's name, and key (as doc_id) and score of each row by a classifier that has learned from the labels."""
-    rows, key = _numbered_rows(docs)
-    return rows, key, judge.score_documents(_by_row(rows, key), judge.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """The rows whose key is the doc_id of a row of `kept`, without the key."""
+    return rows.join(kept.select(F.col("doc_id").alias(key)), key, "left_semi").drop(key)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, key, scored = _judged(spark, docs, sf_dir, toxicity)
+    rows, key = _placed_rows(docs)
+    scored = toxicity.score_documents(_by_row(rows, key), toxicity.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return _keeping(rows, key, scored.where(F.col("score") < toxicity.CUT))
 
 
 def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, key, scored = _judged(spark, docs, sf_dir, quality)
+    rows, key = _placed_rows(docs)
+    scored = quality.score_documents(_by_row(rows, key), quality.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return _keeping(rows, key, scored.where(F.col("score") >= quality.CUT))
 
 
@@ -62,7 +73,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     grouped = neardup.near_duplicates(_by_row(rows, key)).select(F.col("doc_id").alias(key), F.col("component_id").alias(f"{key}_of"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", key)
     first = rows.select(key, "doc_id").join(grouped, key).groupBy(f"{key}_of").agg(F.min_by(key, order).alias("doc_id"))
-    return _keeping(rows, key, first)
+    out = _keeping(rows, key, first)
+    out._written_rows = rows
+    return out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,5 +93,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         before, kept = docs, stage(spark, docs, sf_dir)
         docs = staged(kept)
-        dropped(kept._written_rows, *([before] if k else []))
+        dropped(*[t for t in (getattr(kept, "_written_rows", None), before if k else None) if t is not None])
     return STAGES[-1][1](spark, docs, sf_dir)
