@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import shared
 from .chunks import cosine
+from .dense import dense_topk
 
 # Fixed values of the ranking formulas.
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
@@ -79,36 +79,6 @@ def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int, lower: bool = Tru
     return top(scored if keep_zero else scored.where("score > 0"), k, [F.desc(F.round("score", 9)), "chunk_id"])
 
 
-def dense_topk(questions: DataFrame, vectors: DataFrame, k: int, block_rows: int = 20_000, group_rows: int = 2_000) -> DataFrame:
-    """question_id, chunk_id, score, rank: cosine similarity of every question with every vector.
-
-    Vectors are dealt into blocks and questions into groups, both of bounded size; a task multiplies one block with one
-    group and keeps each question's best k of the block.
-    """
-    blocks, groups = (max(1, -(-df.count() // most)) for df, most in ((vectors, block_rows), (questions, group_rows)))
-    dealt = lambda df, key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    kinds = dict(questions.dtypes)["question_id"], dict(vectors.dtypes)["chunk_id"]
-    # Neither id is ever null, as pandas would make doubles of longs beside nulls.
-    left = vectors.select(F.lit("0").cast(kinds[0]).alias("question_id"), "chunk_id", F.lit(False).alias("asks"), "embedding", dealt(vectors, "chunk_id", blocks).alias("b"), every(groups).alias("g"))
-    right = questions.select("question_id", F.lit("0").cast(kinds[1]).alias("chunk_id"), F.lit(True).alias("asks"), "embedding", every(blocks).alias("b"), dealt(questions, "question_id", groups).alias("g"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        block, asked = rows[~rows["asks"]].sort_values("chunk_id"), rows[rows["asks"]]
-        if not len(block) or not len(asked):
-            return pd.DataFrame({"question_id": [], "chunk_id": [], "score": []})
-        s = unit(np.array(asked["embedding"].tolist(), np.float64)) @ unit(np.array(block["embedding"].tolist(), np.float64)).T
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"question_id": np.repeat(asked["question_id"].to_numpy(), best.shape[1]), "chunk_id": block["chunk_id"].to_numpy()[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
-
-    found = left.unionByName(right).groupBy("b", "g").applyInPandas(lambda rows: run(rows), f"question_id {kinds[0]}, chunk_id {kinds[1]}, score double")
-    return top(found, k, [F.desc("score"), "chunk_id"])
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-
 def dense_topk_lsh(questions: DataFrame, vectors: DataFrame, k: int, bucket: float = 0.5, tables: int = 8, reach: float = 1.2) -> DataFrame:
     """An approximate form for large corpora: random projections of unit vectors, exact distances in shared buckets.
 
@@ -122,7 +92,7 @@ def dense_topk_lsh(questions: DataFrame, vectors: DataFrame, k: int, bucket: flo
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=1).fit(base)
     near = model.approxSimilarityJoin(asked, base, reach, "distance")
     scored = near.select("datasetA.question_id", "datasetB.chunk_id", (1 - F.col("distance") ** 2 / 2).alias("score"))
-    found = top(scored, k, [F.desc("score"), "chunk_id"]).persist()
+    found = shared.written(top(scored, k, [F.desc("score"), "chunk_id"]), shared.fresh_dir(questions.sparkSession, "near"))  # k rows a question
     full = found.where(F.col("rank") == k).select("question_id")
     exact = dense_topk(questions.join(full, "question_id", "left_anti"), vectors, k)
     # The key goes through an expression for the reason that lane_rows gives.

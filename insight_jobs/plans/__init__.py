@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import docs, ledgers, models, tables, texts
+from . import docs, ledgers, models, stored, tables, texts
 from .registry import ORACLES, QUERIES
 
-AREAS = (tables, texts, docs, ledgers, models)
+AREAS = (tables, texts, docs, ledgers, models, stored)
 
 
 def queries() -> dict:

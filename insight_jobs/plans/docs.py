@@ -15,13 +15,17 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
-def marked(spark, d):
-    """documents, every fifth with page marks in place of line ends."""
-    return docs(spark, d).withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.replace("text", F.lit("\n"), F.lit(" <!-- page 2 --> "))).otherwise(F.col("text")))
+def marked_text(documents):
+    """Every fifth document with page marks in place of line ends."""
+    return documents.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.replace("text", F.lit("\n"), F.lit(" <!-- page 2 --> "))).otherwise(F.col("text")))
+
+
+def marked_pages(documents):
+    return chunks.split_markdown_pages(marked_text(documents))
 
 
 def pages(spark, d):
-    return chunks.split_markdown_pages(marked(spark, d))
+    return marked_pages(docs(spark, d))
 
 
 BLANK = "trim(regexp_replace(p, '\\s+', ' ', 'g')) <> ''"

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import charts, correlate, filters, profile
-from ..sources import io
 from .registry import query, table
 
 LINE_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -333,11 +330,3 @@ def model_comparison_long(spark, d):
     model = F.when(F.col("p_partkey") % 50 == 0, "model_a").otherwise(F.col("p_type"))
     results = part.select(F.col("p_brand").alias("result_set"), model.alias("model"), (F.col("p_size") / 50.0).alias("accuracy"), (F.col("p_retailprice") / 2000).alias("cv"))
     return charts.model_comparison_long(results, ["accuracy", "cv"])
-
-
-@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
-def table_read_back(spark, d):
-    """A table written as CSV into the warehouse folder and read again."""
-    folder = spark.conf.get("spark.sql.warehouse.dir")
-    path = io.write_table(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), folder, "nation", "all", uuid.uuid4().hex)
-    return io.read_table(spark, path)

@@ -215,25 +215,6 @@ def test_binary_docs_over_the_limit_are_set_aside(spark, tmp_path):
     assert one(pages)["text"] == "t"
 
 
-def test_streams_equal_batch(spark, tmp_path):
-    from insight_jobs.streaming import streams
-
-    src, sink = str(tmp_path / "in"), str(tmp_path / "out")
-    docs = spark.createDataFrame([("a", "one"), ("b", "two"), ("a", "one")], "doc_id string, text string")
-    prepare = lambda df: df.withColumn("n", F.length("text"))
-    for part in (docs, docs.limit(1), spark.createDataFrame([("c", "three")], "doc_id string, text string")):
-        part.write.mode("append").parquet(src)
-        streams.stream_ingest(spark, src, "doc_id string, text string", sink, str(tmp_path / "ck"), prepare).awaitTermination()
-    assert sorted(r["doc_id"] for r in spark.read.parquet(sink).collect()) == ["a", "b", "c"]
-    turns, counts = str(tmp_path / "turns"), str(tmp_path / "counts")
-    schema = "session_id long, created_at timestamp"
-    for k in range(3):
-        spark.sql(f"SELECT s AS session_id, timestamp_seconds(100 * {k} + s) AS created_at FROM VALUES (1L), (2L), ({k + 1}L) t(s)").write.mode("append").parquet(turns)
-        streams.stream_turns(spark, turns, schema, counts, str(tmp_path / "ck2")).awaitTermination()
-    batch = spark.read.schema(schema).parquet(turns).groupBy("session_id").agg(F.count("*").alias("turns"), F.max("created_at").alias("updated_at"))
-    assert sorted(map(tuple, streams.current_sessions(spark, counts).collect())) == sorted(map(tuple, batch.collect()))
-
-
 def test_models(spark, tmp_path):
     df = spark.range(400).select("id", (F.col("id") % 17).alias("x"), F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 3).cast("double").alias("z"), F.when(F.col("id") % 17 > 8, "yes").otherwise("no").alias("y"))
     results, fitted = modeling.compare_models(df, "y", "classification", folds=1, models={k: v for k, v in modeling.candidates("classification", 5, 3).items() if k != "Gradient Boosting"})
