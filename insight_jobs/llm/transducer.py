@@ -117,41 +117,35 @@ def sufficient_lookahead(rules: list[tuple[str, str]]) -> int:
 
 
 class Transducer:
-    """Encodes one word, run of symbols by run of symbols; tokens come out as soon as they are settled.
-
-    `path` is the encoding of what has been read and isn't emitted; a path that can't go on is taken back token by token,
-    and a place from which nothing goes on is looked at once.
-    """
+    """Encodes one word, run of symbols by run of symbols; tokens come out as soon as they are settled."""
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self._clear()
-
-    def _clear(self) -> None:
         self.text, self.before = "", ""  # what isn't emitted yet, and the token in front of it
-        self.path: list[str] = []
 
     def feed(self, symbols: str) -> list[str]:
         """Read more of the word; returns the tokens that are settled now."""
         merges, out = self.merges, []
         for start in range(0, len(symbols), merges.window):
             self.text += symbols[start : start + merges.window]
-            self._extend()
-            if len(self.text) >= merges.window:
+            if len(self.text) > merges.window:
                 out += self._settled(len(self.text) - merges.lookahead)
         return out
 
     def finish(self) -> list[str]:
         """The word's remaining tokens; the transducer is ready for the next word."""
-        out = self.path
-        self._clear()
+        out = self._path()
+        self.text, self.before = "", ""
         return out
 
-    def _extend(self) -> None:
-        """Make the path the encoding of the whole text: of each place's tokens the longest first that fits behind the last."""
-        text, path, merges = self.text, self.path, self.merges
+    def _path(self) -> list[str]:
+        """The encoding of the text held: of each place's tokens the longest first that fits behind the last.
+
+        A path that can't go on is taken back token by token; a place from which nothing goes on is looked at once.
+        """
+        text, merges, path = self.text, self.merges, []
         ids, lengths, shorter, fits = merges.ids, merges.lengths, merges.shorter, merges.fits
-        at, size = sum(map(len, path)), len(text)
+        at, size = 0, len(text)
         dead: set[int] = set()
         token = None
         while at < size:
@@ -164,7 +158,7 @@ class Transducer:
             left = path[-1] if path else self.before
             while token:
                 if at + len(token) not in dead:
-                    pair = left + "|" + token
+                    pair = left + "\uffff" + token
                     known = fits.get(pair)
                     if known or (known is None and merges.fit(pair, left, token)):
                         break
@@ -178,19 +172,18 @@ class Transducer:
                 last = path.pop()
                 at -= len(last)
                 token = shorter[last]
-                while not token:  # nothing else starts there
-                    dead.add(at)
-                    last = path.pop()
-                    at -= len(last)
-                    token = shorter[last]
+        return path
 
     def _settled(self, until: int) -> list[str]:
         """Drop and return the tokens that end at `until` or before."""
-        ends = np.cumsum(list(map(len, self.path)))
-        count = int(np.searchsorted(ends, until, "right"))
-        out = self.path[:count]
-        if count:
-            self.text, self.path, self.before = self.text[ends[count - 1] :], self.path[count:], out[-1]
+        at, out = 0, []
+        for token in self._path():
+            if at + len(token) > until:
+                break
+            out.append(token)
+            at += len(token)
+        if out:
+            self.text, self.before = self.text[at:], out[-1]
         return out
 
 
