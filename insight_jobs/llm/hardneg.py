@@ -131,12 +131,15 @@ class Walk:
                 self.rescored += len(low)
             else:
                 low, high = bounds[up]
-                edge = float(np.linalg.norm(x[at] - x[up])) * (1 + 1e-12)
-                reach = edge * self.block.size + (1e-9 * (1 + np.abs(low).astype(float)) if edge else 0.0)  # more than rounding can hide
                 children[up] -= 1
                 if not children[up]:
                     del bounds[up]
-                low, high = low - reach, high + reach
+                edge = float(np.linalg.norm(x[at] - x[up])) * (1 + 1e-12)
+                if edge:
+                    reach = edge * self.block.size + 1e-9 * (1 + np.abs(low).astype(float))  # more than rounding can hide
+                    low, high = low - reach, high + reach
+                else:  # known scores stay the whole numbers that they are
+                    low, high = low.copy(), high.copy()
             yield at, low, high
             if children[at]:
                 bounds[at] = low, high

@@ -135,7 +135,8 @@ def inertia(a: np.ndarray) -> int:
             pivot = a[k, k] if abs(a[k, k]) > tiny else tiny
             positive += pivot > 0
             rest = a[k + 1 :, k]
-            a[k + 1 :, k + 1 :] -= np.outer(rest, rest / pivot)
+            if rest.any():
+                a[k + 1 :, k + 1 :] -= np.outer(rest, rest / pivot)
             k += 1
     return int(positive)
 
