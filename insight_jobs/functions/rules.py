@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -223,12 +224,15 @@ def markdown_blocks(answers: DataFrame, key: str, text: str) -> DataFrame:
     return lines.withColumn("kind", kind).select(key, F.col("line_no").alias("position"), "kind", body.alias("text"), num.alias("num"))
 
 
+def _short_number(v: pd.Series) -> pd.Series:
+    """Numbers that aren't whole, by Python's own rounding of a double's exact value, which the JVM's formats don't have."""
+    return v.map(lambda x: f"{x:.2e}" if abs(x) >= 1e6 else f"{x:.1f}" if abs(x) >= 100 else f"{x:.3g}", na_action="ignore")
+
+
 def format_number(v: Column) -> Column:
-    """Text of a number for a table cell: whole numbers plain, large ones with an exponent, others shortened."""
+    """Text of a number for a table cell: whole numbers plain, large ones with an exponent, others with three digits."""
     x = v.cast("double")
-    digits = F.when(x == 0, 0).otherwise(F.greatest(F.lit(0), 2 - F.floor(F.log10(F.abs(x))).cast("int")))
-    short = F.regexp_replace(F.format_string("%.10f", F.bround(x * F.pow(F.lit(10.0), digits), 0) / F.pow(F.lit(10.0), digits)), r"\.?0+$", "")
-    return F.when(v.isNull(), "").when((x == F.floor(x)) & (F.abs(x) < 1e9), x.cast("long").cast("string")).when(F.abs(x) >= 1e6, F.format_string("%.2e", x)).when(F.abs(x) >= 100, F.format_string("%.1f", x)).otherwise(short)
+    return F.when(v.isNull(), "").when((x == F.floor(x)) & (F.abs(x) < 1e9), x.cast("long").cast("string")).otherwise(F.pandas_udf(_short_number, "string")(x))
 
 
 def mentioned_columns(questions: DataFrame, columns: list[str], text: str = "text") -> DataFrame:

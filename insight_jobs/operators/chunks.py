@@ -15,6 +15,8 @@ PARENT, PARENT_OVERLAP, CHILD, CHILD_OVERLAP = 512, 64, 128, 16
 IMAGE_BYTES, RASTER = 4096, ["png", "jpg", "jpeg", "gif", "bmp", "tiff", "webp"]
 BELOW, ABOVE, BESIDE, NEAR = 60, 40, 150, 120
 BREAK_PERCENTILE = 0.85
+HEADINGS = ["author", "reviewer", "about", "editor"]
+# End of the fixed values.
 
 
 def split_markdown_pages(docs: DataFrame) -> DataFrame:
@@ -66,7 +68,7 @@ def table_nodes(cells: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("row_idx", "line", "rule")))
     tables = lines.groupBy("doc_id", "page", "table_idx").agg(ordered.alias("rs"), F.bool_or("some").alias("some")).where("some")
     head = F.array(F.get("rs", F.lit(0))["line"], F.get("rs", F.lit(0))["rule"])
-    body = F.array_join(F.concat(head, F.transform(F.slice("rs", 2, 1_000_000), lambda r: r["line"])), "\n")
+    body = F.array_join(F.concat(head, F.transform(F.slice("rs", F.lit(2), F.size("rs")), lambda r: r["line"])), "\n")
     return tables.select("doc_id", "page", "table_idx", F.concat(F.lit("[TABLE on page "), F.col("page").cast("string"), F.lit("]\n"), body).alias("text"))
 
 
@@ -87,7 +89,9 @@ def clean_caption(text: Column, most: int = 400) -> Column:
 
 
 def attach_captions(image_boxes: DataFrame, text_blocks: DataFrame) -> DataFrame:
-    """doc_id, page, img_id, caption, context: text below, above, beside or nearest, in that order.
+    """doc_id, page, img_id, caption, context, combined: text below, above, beside or nearest, in that order.
+
+    combined: the page's first line where it is a heading about people, the caption and the context, in one line.
 
     Boxes meet texts of their own page only; ties go to the smaller block_id.
     """
@@ -114,7 +118,12 @@ def attach_captions(image_boxes: DataFrame, text_blocks: DataFrame) -> DataFrame
     near = F.when(F.col("near.d") < NEAR, F.col("near.t"))
     context = F.coalesce(F.when(direct.isNotNull() & (F.size("side") > 0), side), near, F.when(caption.isNull(), F.col("whole")))
     out = image_boxes.select("doc_id", "page", "img_id").join(found, ["doc_id", "page", "img_id"], "left")
-    return out.select("doc_id", "page", "img_id", caption.alias("caption"), context.alias("context"))
+    first = F.trim(F.split("whole", "\n")[0])
+    told = out.select("doc_id", "page", "img_id", caption.alias("caption"), context.alias("context"), first.alias("first"))
+    heading = F.when(F.lower("first").rlike("|".join(HEADINGS)), F.concat(F.lit("Page heading: "), F.substring("first", 1, 80)))
+    caption = F.concat(F.lit("Caption/bio: "), F.substring("caption", 1, 300))
+    context = F.when(~F.col("context").eqNullSafe(F.col("caption")), F.concat(F.lit("Nearby text: "), F.substring("context", 1, 200)))
+    return told.select("doc_id", "page", "img_id", "caption", "context", F.nullif(F.concat_ws(" | ", heading, caption, context), F.lit("")).alias("combined"))
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:

@@ -1,4 +1,4 @@
-"""Pearson correlations of numeric columns from moments of one pass."""
+"""Pearson correlations of numeric columns from moments of one scan."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import shared
+from .moments import pearson_pairs
 from .profile import numeric_columns, one_pass, value
 
 MULTICOLLINEAR, LOW_VARIANCE = 0.85, 0.01
@@ -24,25 +26,33 @@ def strength(r: Column) -> Column:
 def pearson(a: Column, b: Column) -> Column:
     """r over the rows that have both; null where either is constant there."""
     x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))  # partial sums of a constant need not cancel
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None, batch: int = 300) -> DataFrame:
     """col1, col2, r (3 digits), each pair once in column order.
 
-    Pairs go through the plan `batch` at a time, so that generated code keeps a size that compiles.
+    One scan gives all pairs. Those whose values nearly cancelled, or that hold infinities, are computed again by Spark's
+    own aggregates, `batch` at a time, so that generated code keeps a size that compiles.
     """
-    pairs = list(combinations(columns or numeric_columns(df), 2))
-    if not pairs:
+    names = columns or numeric_columns(df)
+    if len(names) < 2:
         return df.sparkSession.createDataFrame([], "col1 string, col2 string, r double")
-    out = None
-    for start in range(0, len(pairs), batch):
-        some = pairs[start : start + batch]
-        wide = df.agg(*[pearson(value(a), value(b)).alias(f"r{k}") for k, (a, b) in enumerate(some)])
-        rows = F.array(*[F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.round(f"r{k}", 3).alias("r")) for k, (a, b) in enumerate(some)])
-        part = wide.select(F.explode(rows).alias("p")).select("p.*")
-        out = part if out is None else out.union(part)
-    return out
+    found = shared.written(pearson_pairs(df, names), shared.fresh_dir(df.sparkSession, "pairs"))
+    open_ = [(names[r["at"]], names[r["other"]]) for r in found.where("NOT sure").select("at", "other").collect()]  # pairs of columns
+    known = F.array(*map(F.lit, names))
+    out = found.where("sure").select(F.get(known, F.col("at")).alias("col1"), F.get(known, F.col("other")).alias("col2"), "r")
+    for start in range(0, len(open_), batch):
+        out = out.union(aggregated_pairs(df, open_[start : start + batch]))
+    missing = list(combinations(names, 2)) if found.isEmpty() else []  # an empty table has no rows to send
+    return df.sparkSession.createDataFrame([(a, b, None) for a, b in missing], "col1 string, col2 string, r double") if missing else out
+
+
+def aggregated_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    wide = df.agg(*[pearson(value(a), value(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
+    rows = F.array(*[F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.round(f"r{k}", 3).alias("r")) for k, (a, b) in enumerate(pairs)])
+    return wide.select(F.explode(rows).alias("p")).select("p.*")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

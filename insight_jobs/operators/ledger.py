@@ -54,15 +54,21 @@ def touch_sessions(sessions: DataFrame, turns: DataFrame, key: str = "session_id
     return sessions.join(latest, key, "left").withColumn("updated_at", F.greatest("updated_at", "_latest")).drop("_latest")
 
 
+# The names of counts in a document's metadata, the newer one first.
+COUNTS = (["text_chunks", "text_count"], ["images_found", "image_count"], ["tables_found", "table_count"])
+# End of the fixed values.
+
+
 def from_either(text: Column, names: list[str]) -> Column:
     """The first of several keys that a JSON text has."""
     return F.coalesce(*[F.get_json_object(text, f"$.{n}") for n in names])
 
 
 def list_documents(sessions: DataFrame, user: Column | None = None) -> DataFrame:
-    """A user's documents (or all users'), newest first, with counts from their metadata under either name."""
+    """A user's documents (or all users'), newest first, with the counts of their metadata under either name, 0 without."""
     rows = sessions.where(F.col("user_id") == user) if user is not None else sessions
-    return rows.select("user_id", "doc_id", "created_at", from_either(F.col("metadata"), ["total_nodes", "k"]).try_cast("long").alias("total_nodes")).orderBy("user_id", F.desc("created_at"), "doc_id")
+    counts = [F.coalesce(from_either(F.col("metadata"), names).try_cast("long"), F.lit(0)).alias(names[0]) for names in COUNTS]
+    return rows.select("user_id", "doc_id", "created_at", *counts).orderBy("user_id", F.desc("created_at"), "doc_id")
 
 
 def feedback_valid(feedback: DataFrame) -> DataFrame:

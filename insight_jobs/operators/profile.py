@@ -171,21 +171,29 @@ def column_samples(df: DataFrame, order_by: list[str], n: int = 3, columns: list
 def stat_profile(df: DataFrame, max_numeric: int = 10, max_categorical: int = 6, digits: int = 3, exact: bool = True) -> DataFrame:
     """The whole profile as (section, column, metric, value): shape, numeric, categorical, nulls, duplicates.
 
+    Three scans: one for all plain aggregates, one that counts texts' values, one for repeated rows.
+
     exact: see quantiles, here of the medians.
     """
-    metric = lambda section, column, names: F.explode(F.array(*[F.struct(F.lit(section).alias("section"), column.alias("column"), F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in names]))
-    table = F.lit("").alias("c")
-    shape = df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns))).select(metric("shape", table, ["n_rows", "n_columns"]).alias("m"))
-    numeric = numeric_columns(df)[:max_numeric]
-    text = categorical_columns(df)[:max_categorical]
-    fields = {"mean": lambda c: F.avg(value(c)), "std": lambda c: F.stddev_samp(value(c)), "min": lambda c: F.min(value(c)), "max": lambda c: F.max(value(c)), "median": lambda c: median(c, exact), "nulls": lambda c: F.count_if(is_missing(df, c))}
-    parts = [shape]
-    if numeric:
-        parts.append(one_pass(df, numeric, fields).select(metric("numeric", F.col("column"), list(fields)).alias("m")))
+    numeric, text = numeric_columns(df)[:max_numeric], categorical_columns(df)[:max_categorical]
+    fields = {"mean": lambda c: F.avg(value(c)), "std": lambda c: F.stddev_samp(value(c)), "min": lambda c: F.min(value(c)), "max": lambda c: F.max(value(c)), "median": lambda c: median(c, exact)}
+    nulls = {c: f"z{k}" for k, c in enumerate(df.columns)}
+    wide = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(is_missing(df, c)).alias(z) for c, z in nulls.items()], *[make(c).alias(f"{m}_{k}") for k, c in enumerate(numeric) for m, make in fields.items()])
+    row = lambda section, column, metric, v: F.struct(F.lit(section).alias("section"), F.lit(column).alias("column"), F.lit(metric).alias("metric"), v.cast("double").alias("value"))
+    total = F.lit(0)
+    for z in nulls.values():
+        total = total + F.col(z)
+    rows = [row("shape", "", "n_rows", F.col("n")), row("shape", "", "n_columns", F.lit(len(df.columns))), row("table", "", "null_total", total)]
+    rows += [row("numeric", c, m, F.col(f"{m}_{k}")) for k, c in enumerate(numeric) for m in fields] + [row("numeric", c, "nulls", F.col(nulls[c])) for c in numeric]
+    rows += [row("categorical", c, "n_nulls", F.col(nulls[c])) for c in text]
+    each = lambda metrics: F.explode(F.array(*metrics)).alias("m")
+    parts = [wide.select(each(rows))]
     if text:
-        parts.append(categorical_summary(df, text).select(metric("categorical", F.col("column"), ["n_unique", "mode_count", "n_nulls"]).alias("m")))
-    parts.append(null_counts(df).agg(F.sum("n_nulls").alias("null_total")).select(metric("table", table, ["null_total"]).alias("m")))
-    parts.append(duplicate_rows(df).select(metric("table", table, ["n_duplicates"]).alias("m")))
+        counted = value_counts(df, text).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("mode_count"))
+        known = df.sparkSession.createDataFrame([(c,) for c in text], "column string").join(F.broadcast(counted), "column", "left")  # a row for each column
+        metric = lambda m, v: F.struct(F.lit("categorical").alias("section"), F.col("column"), F.lit(m).alias("metric"), v.cast("double").alias("value"))
+        parts.append(known.select(each([metric("n_unique", F.coalesce("n_unique", F.lit(0))), metric("mode_count", F.col("mode_count"))])))
+    parts.append(duplicate_rows(df).select(each([row("table", "", "n_duplicates", F.col("n_duplicates"))])))
     return reduce(DataFrame.union, parts).select("m.section", "m.column", "m.metric", F.round("m.value", digits).alias("value"))
 
 

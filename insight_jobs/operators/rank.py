@@ -61,6 +61,7 @@ def rank_images(scored: DataFrame, most: int = 3) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "img_id"))).where(F.col("rank") <= most).select("question_id", "img_id", F.round("score", 2).alias("score"), "rank")
 
 
-def retrieval_report(questions: DataFrame, pages: DataFrame, gated: DataFrame) -> DataFrame:
-    """question_id, query_type, query_class, pages, confidence, should_answer, warning."""
-    return questions.select("question_id", "query_type", "query_class").join(pages, "question_id", "left").join(gated.select("question_id", "confidence", "should_answer", "warning"), "question_id", "left")
+def retrieval_report(questions: DataFrame, pages: DataFrame, gated: DataFrame, logs: DataFrame) -> DataFrame:
+    """question_id, query_type, query_class, pages, confidence, should_answer, warning, retrieval_log; logs: question_id, log."""
+    report = questions.select("question_id", "query_type", "query_class").join(pages, "question_id", "left").join(gated.select("question_id", "confidence", "should_answer", "warning"), "question_id", "left")
+    return report.join(logs.select("question_id", F.col("log").alias("retrieval_log")).distinct(), "question_id", "left")

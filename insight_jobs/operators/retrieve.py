@@ -121,7 +121,7 @@ def multi_query(hits: DataFrame) -> DataFrame:
 
 
 def adaptive_retrieve(questions: DataFrame, dense: DataFrame, keyword: DataFrame, texts: DataFrame) -> DataFrame:
-    """question_id, chunk_id, pos, confidence, round of the depth that each question ends at.
+    """question_id, chunk_id, pos, confidence, round, log of the depth that each question ends at.
 
     questions: question_id, text, query_type, initial_k, expand_k, max_k. The lanes are ranked once to the largest
     depth; a smaller depth is a prefix of them, so the three rounds are three conditional fusions, not a loop.
@@ -137,14 +137,19 @@ def adaptive_retrieve(questions: DataFrame, dense: DataFrame, keyword: DataFrame
     place = Window.partitionBy("question_id", "round").orderBy("rank")
     placed = single.withColumn("pos", F.row_number().over(place))
     best = dense.where("rank <= 3").groupBy("question_id").agg(F.avg("score").alias("dense_score"))
-    asked = depths.join(questions.select("question_id", "text"), "question_id").select(F.concat_ws("/", "question_id", "round").alias("question_id"), "text")
-    judged = placed.join(best, "question_id").select(F.concat_ws("/", "question_id", "round").alias("question_id"), F.col("pos").alias("rank"), F.col("dense_score").alias("score"), "text")
-    scores = confidence(asked, judged).select(F.split("question_id", "/")[0].cast(dict(questions.dtypes)["question_id"]).alias("question_id"), F.split("question_id", "/")[1].cast("int").alias("round"), "confidence")
+    both = F.struct("question_id", "round").alias("question_id")  # each round is a question of its own
+    asked = depths.join(questions.select("question_id", "text"), "question_id").select(both, "text")
+    judged = placed.join(best, "question_id").select(both, F.col("pos").alias("rank"), F.col("dense_score").alias("score"), "text")
+    scores = confidence(asked, judged).select("question_id.question_id", "question_id.round", "confidence")
     wide = scores.groupBy("question_id").agg(*[F.max(F.when(F.col("round") == r, F.col("confidence"))).alias(f"c{r}") for r in range(3)])
     deep = F.col("query_type").isin("analytical", "summary")
-    chosen = questions.join(wide, "question_id").select("question_id", F.when(~deep & (F.col("c0") >= ENOUGH), 0).when(deep & (F.col("c1") < ENOUGH), 2).otherwise(1).alias("round"), "c0", "c1", "c2")
+    chosen = questions.join(wide, "question_id").select("question_id", F.when(~deep & (F.col("c0") >= ENOUGH), 0).when(deep & (F.col("c1") < ENOUGH), 2).otherwise(1).alias("round"), "c0", "c1", "c2", "query_type", "initial_k", "expand_k", "max_k")
     score = F.when(F.col("round") == 0, F.col("c0")).when(F.col("round") == 1, F.col("c1")).otherwise(F.col("c2"))
-    return placed.join(chosen.select("question_id", "round", score.alias("confidence")), ["question_id", "round"]).select("question_id", "chunk_id", "pos", "confidence", "round")
+    tried = lambda r, k, c: F.format_string(f"round{r}_k=%d conf=%.3f", k, c)
+    first = F.format_string("type=%s budget=(%d,%d,%d)", "query_type", "initial_k", "expand_k", "max_k")
+    more = F.when(F.col("round") == 0, "no_expansion").otherwise(tried(2, "expand_k", "c1"))
+    log = F.concat_ws(" | ", first, tried(1, "initial_k", "c0"), more, F.when(F.col("round") == 2, tried(3, "max_k", "c2")))
+    return placed.join(chosen.select("question_id", "round", score.alias("confidence"), log.alias("log")), ["question_id", "round"]).select("question_id", "chunk_id", "pos", "confidence", "round", "log")
 
 
 def expand_to_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:

@@ -122,8 +122,9 @@ BOXES_SQL = "(SELECT doc_id, page, block_id, n, x0, y0, x0 + 80 + q AS x1, y0 +
     "least(i.y1, t.y1) - greatest(i.y0, t.y0) AS tall, t.x0 - i.x1 AS r, i.x0 - t.x1 AS l, abs((t.y0 + t.y1) / 2 - (i.y0 + i.y1) / 2) AS far FROM b i JOIN b t ON i.doc_id = t.doc_id AND i.page = t.page AND i.n = 1 AND t.n > 1 WHERE length(t.text) >= 8), "
     "f AS (SELECT doc_id, page, img_id, first(text ORDER BY below, block_id) FILTER (below BETWEEN 0 AND 60 AND w) AS u, first(text ORDER BY above, block_id) FILTER (above BETWEEN 0 AND 40 AND w) AS o, "
     "substr(array_to_string((list(text ORDER BY far, block_id) FILTER (tall > 20 AND (r BETWEEN 0 AND 150 OR l BETWEEN 0 AND 150)))[1:2], ' '), 1, 300) AS side, first(text ORDER BY far, block_id) FILTER (far = far) AS near, min(far) AS nd, substr(string_agg(text, chr(10) ORDER BY block_id), 1, 400) AS whole FROM m GROUP BY 1, 2, 3), "
-    "c AS (SELECT *, coalesce(u, o) AS direct, coalesce(u, o, side) AS caption FROM f) "
-    "SELECT b.doc_id, b.page, b.block_id AS img_id, caption, coalesce(CASE WHEN direct IS NOT NULL THEN side END, CASE WHEN nd < 120 THEN near END, CASE WHEN caption IS NULL THEN whole END) AS context FROM b LEFT JOIN c ON b.doc_id = c.doc_id AND b.page = c.page AND b.block_id = c.img_id WHERE b.n = 1"
+    "c AS (SELECT *, coalesce(u, o) AS direct, coalesce(u, o, side) AS caption FROM f), "
+    "o AS (SELECT b.doc_id, b.page, b.block_id AS img_id, caption, coalesce(CASE WHEN direct IS NOT NULL THEN side END, CASE WHEN nd < 120 THEN near END, CASE WHEN caption IS NULL THEN whole END) AS context, trim(split_part(whole, chr(10), 1)) AS head FROM b LEFT JOIN c ON b.doc_id = c.doc_id AND b.page = c.page AND b.block_id = c.img_id WHERE b.n = 1) "
+    "SELECT doc_id, page, img_id, caption, context, nullif(concat_ws(' | ', CASE WHEN regexp_matches(lower(head), 'author|reviewer|about|editor') THEN 'Page heading: ' || substr(head, 1, 80) END, 'Caption/bio: ' || substr(caption, 1, 300), CASE WHEN context IS DISTINCT FROM caption THEN 'Nearby text: ' || substr(context, 1, 200) END), '') AS combined FROM o"
 )
 def attach_captions(spark, d):
     return chunks.attach_captions(*boxes(spark, d))
@@ -301,13 +302,6 @@ def multi_query(spark, d):
     return retrieve.multi_query(both.join(text, "chunk_id")).select("question_id", "chunk_id", "pos")
 
 
-@query()
-def adaptive_retrieve(spark, d):
-    dense, keyword = lanes(spark, d)
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text", F.get(F.array(*[F.lit(t) for t in ("factoid", "general", "analytical", "summary")]), (F.col("item_id") % 4).cast("int")).alias("query_type"))
-    return retrieve.adaptive_retrieve(rules.retrieval_budget(q), dense, keyword, docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"))
-
-
 def child_hits(spark, d):
     """Children of the hit documents as hits, in the order of the document's rank and of the child."""
     nodes = chunks.hierarchical_chunks(pages(spark, d)).select("doc_id", "page", F.col("chunk_id").alias("node_id"), "parent_id", "text", "parent_idx", "child_idx")
@@ -361,6 +355,39 @@ def split_by_source(spark, d):
 
 
 QWORDS = "list_filter(list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}'))), lambda w: NOT list_contains({stop}, w))"
+KINDS = ("factoid", "general", "analytical", "summary")
+
+
+def adaptive_hits(spark, d):
+    dense, keyword = lanes(spark, d)
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text", F.get(F.array(*[F.lit(t) for t in KINDS]), (F.col("item_id") % 4).cast("int")).alias("query_type"))
+    return retrieve.adaptive_retrieve(rules.retrieval_budget(q), dense, keyword, docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"))
+
+
+def _adaptive_cte() -> str:
+    budgets = "CASE kind " + " ".join(f"WHEN '{k}' THEN {list(rules.BUDGETS[k])}" for k in KINDS) + " END"
+    words = "list_filter(regexp_split_to_array(coalesce(found, ''), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')"
+    tried = lambda r, c: f"'round{r}_k=' || ks[{r}] || ' conf=' || format('{{:.3f}}', {c})"
+    return (
+        f"bk AS (SELECT *, {budgets} AS ks FROM (SELECT item_id AS question_id, text, {list(KINDS)}[(item_id % 4 + 1)::INT] AS kind FROM benchmark)), dp AS (SELECT question_id, text, unnest([0, 1, 2]) AS round, unnest(ks) AS k FROM bk), "
+        "au AS (SELECT question_id, chunk_id, rank, 0 AS lane FROM dn UNION ALL SELECT question_id, chunk_id, rank, 1 FROM kw), fu AS (SELECT au.question_id, round, k, chunk_id, sum(1.0 / (60 + rank)) AS score, min(lane * 1000 + rank) AS f FROM au JOIN dp USING (question_id) WHERE rank <= k GROUP BY ALL), "
+        "rk AS (SELECT *, row_number() OVER (PARTITION BY question_id, round ORDER BY round(score, 12) DESC, f, chunk_id) AS rank FROM fu), tx AS (SELECT rk.*, d.text FROM rk JOIN documents d ON d.doc_id = rk.chunk_id WHERE rank <= k), "
+        "sg AS (SELECT *, row_number() OVER (PARTITION BY question_id, round, lower(trim(substr(text, 1, 80))) ORDER BY rank) AS dup FROM tx), pl AS (SELECT question_id, round, chunk_id, text, row_number() OVER (PARTITION BY question_id, round ORDER BY rank) AS pos FROM sg WHERE dup = 1), "
+        "af AS (SELECT question_id, round, string_agg(lower(text), ' ' ORDER BY pos) AS found FROM pl WHERE pos <= 3 GROUP BY 1, 2), ad AS (SELECT question_id, avg(score) AS s FROM dn WHERE rank <= 3 GROUP BY 1), "
+        f"aw AS (SELECT dp.question_id, dp.round, dp.text, s, found IS NOT NULL AS hit, {QWORDS.format(c='dp.text', stop=listed(ground.QUESTION_STOP))} AS w, {words} AS fd FROM dp LEFT JOIN af ON af.question_id = dp.question_id AND af.round = dp.round LEFT JOIN ad ON ad.question_id = dp.question_id), "
+        f"ac AS (SELECT question_id, round, round(CASE WHEN s IS NULL OR NOT hit THEN 0.0 WHEN regexp_matches(lower(trim(text)), {quoted(rules.any_of(rules.ALWAYS_ANSWER))}) THEN 1.0 ELSE s * 0.65 + CASE WHEN len(w) = 0 THEN 0.5 ELSE len(list_intersect(w, fd)) / len(w) END * 0.35 END, 3) AS c FROM aw), "
+        "wd AS (SELECT question_id, max(c) FILTER (round = 0) AS c0, max(c) FILTER (round = 1) AS c1, max(c) FILTER (round = 2) AS c2 FROM ac GROUP BY 1), "
+        "ae AS (SELECT bk.question_id, kind, ks, c0, c1, c2, CASE WHEN kind IN ('factoid', 'general') AND c0 >= 0.5 THEN 0 WHEN kind IN ('analytical', 'summary') AND c1 < 0.5 THEN 2 ELSE 1 END AS round FROM bk JOIN wd USING (question_id)), "
+        f"al AS (SELECT question_id, round, CASE round WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END AS confidence, 'type=' || kind || ' budget=(' || ks[1] || ',' || ks[2] || ',' || ks[3] || ') | ' || {tried(1, 'c0')} || ' | ' || CASE WHEN round = 0 THEN 'no_expansion' ELSE {tried(2, 'c1')} END || CASE WHEN round = 2 THEN ' | ' || {tried(3, 'c2')} ELSE '' END AS log FROM ae), "
+        "ar AS (SELECT pl.question_id, pl.chunk_id, pl.pos::INT AS pos, al.confidence, al.round::INT AS round, al.log FROM pl JOIN al ON al.question_id = pl.question_id AND al.round = pl.round)"
+    )
+
+
+@query(f"WITH {LANES_CTE}, {_adaptive_cte()} SELECT * FROM ar")
+def adaptive_retrieve(spark, d):
+    return adaptive_hits(spark, d)
+
+
 OVERLAP_CTE = HITS_CTE + f", tt AS (SELECT question_id, string_agg(lower(text), ' ' ORDER BY rank) AS found FROM hi WHERE rank <= 3 GROUP BY 1), ow AS (SELECT item_id AS question_id, text, {QWORDS.format(c='text', stop=listed(ground.QUESTION_STOP))} AS w, list_filter(regexp_split_to_array(coalesce(found, ''), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS f FROM benchmark LEFT JOIN tt ON question_id = item_id), ov AS (SELECT question_id, text, CASE WHEN len(w) = 0 THEN 0.5 ELSE len(list_intersect(w, f)) / len(w) END AS overlap FROM ow)"
 
 
@@ -395,13 +422,13 @@ def gate(spark, d):
 
 @query(
     _gate_sql().replace(" SELECT question_id, confidence", ", ga AS (SELECT question_id, confidence").replace(" AS fallback FROM g", " AS fallback FROM g)")
-    + f", cx AS (SELECT question_id, (chunk_id % 30)::INT AS page FROM hi), sp AS (SELECT question_id, list_sort(list(DISTINCT page)) AS pages FROM cx GROUP BY 1) SELECT item_id AS question_id, {cases('lower(trim(text))', rules.QUERY_TYPES, 'general')} AS query_type, query_class, pages, confidence, should_answer, warning FROM benchmark LEFT JOIN sp ON sp.question_id = item_id LEFT JOIN ga ON ga.question_id = item_id"
+    + f", cx AS (SELECT question_id, (chunk_id % 30)::INT AS page FROM hi), sp AS (SELECT question_id, list_sort(list(DISTINCT page)) AS pages FROM cx GROUP BY 1), {_adaptive_cte()}, lg AS (SELECT DISTINCT question_id, log FROM ar) SELECT item_id AS question_id, {cases('lower(trim(text))', rules.QUERY_TYPES, 'general')} AS query_type, query_class, pages, ga.confidence, should_answer, warning, log AS retrieval_log FROM benchmark LEFT JOIN sp ON sp.question_id = item_id LEFT JOIN ga ON ga.question_id = item_id LEFT JOIN lg ON lg.question_id = item_id"
 )
 def retrieval_report(spark, d):
     q = benchmark_questions(spark, d)
     kinds = q.select("question_id", rules.query_type(F.col("text")).alias("query_type"), rules.classify_query(F.col("text")).alias("query_class"))
     gated = ground.gate(ground.confidence(q, merged_hits(spark, d)).join(kinds.select("question_id", "query_class"), "question_id"))
-    return rank.retrieval_report(kinds, retrieve.source_pages(context_hits(spark, d)), gated)
+    return rank.retrieval_report(kinds, retrieve.source_pages(context_hits(spark, d)), gated, adaptive_hits(spark, d))
 
 
 IMAGE_QUESTIONS = ["who is the author of this", "what is on the chart", "a photo of the reviewer please"]

@@ -73,9 +73,14 @@ def doc_sessions(spark, d):
     return table(spark, d, "events").select("user_id", F.col("event_id").alias("doc_id"), F.col("ts").alias("created_at"), F.col("props").alias("metadata"))
 
 
-@query("SELECT user_id, event_id AS doc_id, ts AS created_at, coalesce(json_extract_string(props, '$.total_nodes'), json_extract_string(props, '$.k'))::BIGINT AS total_nodes FROM events")
+@query("SELECT user_id, event_id AS doc_id, ts AS created_at, json_extract_string(props, '$.k')::BIGINT AS text_chunks, CASE event_id % 3 WHEN 0 THEN 0 ELSE event_id % 7 END AS images_found, CASE event_id % 3 WHEN 2 THEN event_id % 5 ELSE 0 END AS tables_found FROM events")
 def list_documents(spark, d):
-    return ledger.list_documents(doc_sessions(spark, d))
+    """Metadata with the newer names, the older ones, and without some."""
+    e, k = table(spark, d, "events"), F.get_json_object("props", "$.k")
+    number = lambda n: (F.col("event_id") % n).cast("string")
+    told = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"text_chunks": '), k, F.lit("}"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"text_count": '), k, F.lit(', "image_count": '), number(7), F.lit("}")))
+    whole = F.concat(F.lit('{"text_chunks": '), k, F.lit(', "text_count": -1, "images_found": '), number(7), F.lit(', "tables_found": '), number(5), F.lit("}"))
+    return ledger.list_documents(e.select("user_id", F.col("event_id").alias("doc_id"), F.col("ts").alias("created_at"), told.otherwise(whole).alias("metadata")))
 
 
 @query("WITH s AS (SELECT user_id AS doc_id, props AS metadata, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id % 3 <> 0), c AS (SELECT c_custkey AS doc_id, '{\"name\": \"' || c_name || '\"}' AS metadata FROM customer) SELECT coalesce(a.doc_id, c.doc_id) AS doc_id, coalesce(a.metadata, c.metadata) AS metadata, CASE WHEN a.metadata IS NOT NULL THEN 'session' ELSE 'cache' END AS origin FROM (SELECT * FROM s WHERE k = 1) a FULL JOIN c ON a.doc_id = c.doc_id")

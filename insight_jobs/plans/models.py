@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..operators import correlate, modeling, profile
 from .registry import query, table
 from .tables import PAIRS_SQL, lines, pairs
-from .texts import QUESTIONS_SQL, questions
+from .texts import QUESTIONS_SQL, has, questions
 
 
 def predictions(spark, d):
@@ -138,9 +139,11 @@ def feature_importance(spark, d):
 @query(
     f"WITH b AS (SELECT count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag), r AS (SELECT min(n) / (SELECT count(*) FROM lineitem) AS r FROM b), "
     f"t AS (SELECT CASE WHEN col1 = 'l_extendedprice' THEN col2 ELSE col1 END AS c, abs(r) AS a FROM ({PAIRS_SQL}) WHERE (col1 = 'l_extendedprice' OR col2 = 'l_extendedprice') AND r IS NOT NULL ORDER BY a DESC, c LIMIT 4) "
-    f"SELECT question_id, (SELECT count(*) FROM lineitem) AS n_rows, (SELECT count(*) FROM (DESCRIBE SELECT * FROM lineitem)) AS n_columns, (SELECT string_agg(c, ', ' ORDER BY a DESC, c) FROM t) AS predictors, round(r, 3) AS ratio, "
+    f"SELECT question_id, 'l_extendedprice' AS target, CASE WHEN {has('lower(text)', rules.CLUSTERING_WORDS)} THEN 'clustering' WHEN {has('lower(text)', rules.REGRESSION_WORDS)} THEN 'regression' WHEN {has('lower(text)', rules.CLASSIFICATION_WORDS)} THEN 'classification' ELSE 'regression' END AS task, (SELECT count(*) FROM lineitem) AS n_rows, (SELECT count(*) FROM (DESCRIBE SELECT * FROM lineitem)) AS n_columns, (SELECT string_agg(c, ', ' ORDER BY a DESC, c) FROM t) AS predictors, round(r, 3) AS ratio, "
     f"CASE WHEN r < 0.05 THEN 'extreme' WHEN r < 0.2 THEN 'severe' WHEN r < 0.4 THEN 'mild' ELSE 'balanced' END AS severity FROM {QUESTIONS_SQL}, r"
 )
 def recommendation_facts(spark, d):
     shape = profile.table_shape(lines(spark, d))
-    return modeling.recommendation_facts(questions(spark, d).select("question_id"), shape, correlate.target_correlation(pairs(spark, d), "l_extendedprice"), profile.class_balance(lines(spark, d), "l_returnflag"))
+    asked = questions(spark, d).withColumns({"target": F.lit("l_extendedprice"), "kind": F.lit("number"), "values": F.lit(1000)})
+    tasks = rules.detect_task(asked, kind="kind", n_unique="values").select("question_id", "target", "task")
+    return modeling.recommendation_facts(tasks, shape, correlate.target_correlation(pairs(spark, d), "l_extendedprice"), profile.class_balance(lines(spark, d), "l_returnflag"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import charts, correlate, filters, profile
+from ..operators import charts, correlate, filters, profile, quantiles
 from .registry import query, table
 
 LINE_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -314,6 +314,12 @@ def box_stats(spark, d):
     return charts.box_stats(lines(spark, d), "l_extendedprice", "l_returnflag")
 
 
+@query("SELECT 'l_quantity' AS \"column\", l_returnflag, unnest([0.25, 0.5, 0.9])::DOUBLE AS share, unnest(list_transform(quantile_cont(l_quantity, [0.25, 0.5, 0.9]), lambda v: round(v, 6))) AS value FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_extendedprice' AS \"column\", l_returnflag, unnest([0.25, 0.5, 0.9])::DOUBLE AS share, unnest(list_transform(quantile_cont(l_extendedprice, [0.25, 0.5, 0.9]), lambda v: round(v, 6))) AS value FROM lineitem GROUP BY 2")
+def exact_quantiles(spark, d):
+    """Quantiles within groups by selection."""
+    return quantiles.exact_quantiles(lines(spark, d), ["l_quantity", "l_extendedprice"], [0.25, 0.5, 0.9], ["l_returnflag"]).withColumn("value", F.round("value", 6))
+
+
 @query("SELECT o_orderpriority AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM orders), 4) AS share FROM orders GROUP BY 1")
 def pie_shares(spark, d):
     return charts.pie_shares(table(spark, d, "orders"), "o_orderpriority")

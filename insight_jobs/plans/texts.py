@@ -220,9 +220,13 @@ def markdown_blocks(spark, d):
     return rules.markdown_blocks(answers(spark, d), "answer_id", "text")
 
 
-@query()
+NUMBER_SQL = "CASE WHEN {c} IS NULL THEN '' WHEN {c} = floor({c}) AND abs({c}) < 1e9 THEN {c}::BIGINT::VARCHAR WHEN abs({c}) >= 1e6 THEN format('{{:.2e}}', {c}) WHEN abs({c}) >= 100 THEN format('{{:.1f}}', {c}) ELSE format('{{:.3g}}', {c}) END"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {NUMBER_SQL.format(c='l_extendedprice')} AS price, {NUMBER_SQL.format(c='l_discount')} AS discount, {NUMBER_SQL.format(c='(l_tax / 100000)')} AS small FROM lineitem")
 def format_number(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rules.format_number(F.col("l_extendedprice")).alias("price"), rules.format_number(F.col("l_discount")).alias("discount"))
+    small = rules.format_number(F.col("l_tax") / 100_000)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rules.format_number(F.col("l_extendedprice")).alias("price"), rules.format_number(F.col("l_discount")).alias("discount"), small.alias("small"))
 
 
 PAIRS_SQL = "(SELECT conv_id * 1000 + turn AS answer_id, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS context, role FROM conversations)"

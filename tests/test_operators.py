@@ -112,6 +112,9 @@ def test_questions(spark):
 def test_numbers(spark):
     df = spark.createDataFrame([(3.0,), (1234567.5,), (123.456,), (0.12345,), (None,)], "v double")
     assert [r[0] for r in df.select(rules.format_number(F.col("v"))).collect()] == ["3", "1.23e+06", "123.5", "0.123", ""]
+    cases = {1e-12: "1e-12", 0.00001234: "1.23e-05", 0.0001: "0.0001", 0.00012345: "0.000123", 9.9996e-5: "0.0001", 99.96: "100", 100.25: "100.2", 100.35: "100.3", -0.5: "-0.5", 0.0: "0", 1e9: "1.00e+09", -1234567.8: "-1.23e+06", 12.345: "12.3"}
+    rows = spark.createDataFrame([(v,) for v in cases], "v double").select("v", rules.format_number(F.col("v")).alias("t")).collect()
+    assert {r["v"]: r["t"] for r in rows} == cases
 
 
 def test_sentences_and_support(spark):
@@ -176,6 +179,26 @@ def test_adaptive_retrieval_is_the_three_rounds(spark, base):
         assert mine == adaptive_by_rounds(kind, rules.BUDGETS[kind], dense, keyword, texts, score)
 
 
+def test_adaptive_retrieval_of_ids_with_slashes(spark):
+    q = rules.retrieval_budget(spark.createDataFrame([("doc/1", "apples pears", "factoid"), ("doc/2/x", "apples pears", "summary")], "question_id string, text string, query_type string"))
+    lane = spark.createDataFrame([(d, f"c{k}", k, 0.4) for d in ("doc/1", "doc/2/x") for k in range(1, 15)], "question_id string, chunk_id string, rank int, score double")
+    texts = spark.createDataFrame([(f"c{k}", f"{k} plums") for k in range(1, 15)], "chunk_id string, text string")
+    got = retrieve.adaptive_retrieve(q, lane, lane.limit(0), texts).collect()
+    assert {(r["question_id"], r["round"], r["log"]) for r in got} == {
+        ("doc/1", 1, "type=factoid budget=(3,4,4) | round1_k=3 conf=0.260 | round2_k=4 conf=0.260"),
+        ("doc/2/x", 2, "type=summary budget=(6,10,14) | round1_k=6 conf=0.260 | round2_k=10 conf=0.260 | round3_k=14 conf=0.260"),
+    }
+    assert sum(r["question_id"] == "doc/1" for r in got) == 4
+
+
+def test_captions_in_one_line(spark):
+    boxes = spark.createDataFrame([(1, 1, "i", 0.0, 0.0, 100.0, 100.0), (1, 2, "j", 0.0, 0.0, 10.0, 10.0)], "doc_id long, page int, img_id string, x0 double, y0 double, x1 double, y1 double")
+    blocks = spark.createDataFrame([(1, 1, 1, 0.0, 110.0, 100.0, 120.0, "About the author"), (1, 1, 2, 120.0, 0.0, 200.0, 90.0, "beside it stands more")], "doc_id long, page int, block_id int, x0 double, y0 double, x1 double, y1 double, text string")
+    got = {r["img_id"]: r for r in chunks.attach_captions(boxes, blocks).collect()}
+    assert got["i"]["combined"] == "Page heading: About the author | Caption/bio: About the author | Nearby text: beside it stands more"
+    assert got["j"]["combined"] is None
+
+
 def test_precision_cutoff(spark):
     rows = [(1, c, s) for c, s in zip("abcdef", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4), strict=True)] + [(2, "a", 0.1), (2, "b", 0.2), (2, "c", 0.3)]
     got = rank.precision_cutoff(spark.createDataFrame(rows, "question_id long, chunk_id string, score double")).collect()
