@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .profile import categorical_columns, id_like_columns, name, numeric_columns, value
+from ..sources import shared
+from .neighbours import neighbours
+from .profile import categorical_columns, class_balance, id_like_columns, name, numeric_columns, value
 
 SEED = 42
 #: Rows of a partition of prepared rows; small tables are fitted in few tasks.
@@ -244,32 +246,41 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(totals)).select("class", "n", F.round(F.col("all") / (F.col("k") * F.col("n")), 6).alias("weight"))  # one row
 
 
-def smote(train: DataFrame, target: str, features: list[str], minority: object, copies: int, k: int = 5, block_rows: int = 5000) -> DataFrame:
-    """Synthetic minority rows: each lies between a row and one of its k nearest of the same block.
+def smote(train: DataFrame, target: str, features: list[str], minority: object, copies: float, k: int = 5) -> DataFrame:
+    """Synthetic minority rows: each lies between a row and one of its k nearest of the whole minority.
 
-    Blocks come from a hash of the values, so that a task holds a bounded number of rows. With one row in a block its
-    copies are the row itself.
+    copies: how many a row makes; of a broken number the rest is made by so large a share of the rows. Neighbours and places
+    are drawn by a hash of the row's values. Rows with a missing feature make none; a row alone is copied as it is.
     """
-    few = train.where(name(target) == F.lit(minority)).dropna(subset=features)
-    blocks = max(1, -(-few.count() // block_rows))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows[features].to_numpy(np.float64)
-        x = x[np.lexsort(x.T[::-1])]
-        rng = np.random.default_rng(SEED)
-        made = []
-        for start in range(0, len(x), 500):
-            d = ((x[start : start + 500, None, :] - x[None]) ** 2).sum(2)
-            near = np.argsort(d, axis=1, kind="stable")[:, 1 : k + 1]
-            for i, ns in enumerate(near):
-                for _ in range(copies):
-                    other = x[ns[rng.integers(len(ns))]] if len(ns) else x[start + i]
-                    made.append(x[start + i] + rng.random() * (other - x[start + i]))
-        return pd.DataFrame(np.array(made).reshape(-1, len(features)), columns=features)
-
-    schema = ", ".join(f"`{f}` double" for f in features)
-    dealt = few.select(*[name(f).cast("double").alias(f) for f in features]).withColumn("_b", F.pmod(F.xxhash64(*features), F.lit(blocks)))
-    return dealt.groupBy("_b").applyInPandas(lambda rows: run(rows), schema).withColumn(target, F.lit(minority))
+    few = train.where(name(target) == F.lit(minority)).select(F.array(*[value(f) for f in features]).alias("x")).where(~F.exists("x", lambda v: v.isNull()))
+    rows = shared.written(few.withColumn("id", F.monotonically_increasing_id()), shared.fresh_dir(train.sparkSession, "minority"))
+    near = neighbours(rows, k).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "x"))), lambda n: n["x"]).alias("near"))  # k each
+    draw = lambda *salt: F.pmod(F.xxhash64("x", "id", *salt), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    whole = int(copies)
+    number = F.lit(whole) + F.when(draw(F.lit("more")) < copies - whole, 1).otherwise(0)
+    made = rows.join(near, "id", "left").withColumn("n", number).where("n > 0").select("id", "x", "near", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    other = F.coalesce(F.get("near", F.floor(draw("copy", F.lit("other")) * F.size("near")).cast("int")), F.col("x"))
+    placed = made.select(F.zip_with("x", other, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("xs"), draw("copy", F.lit("place")).alias("w"))
+    return placed.select(*[(F.get("xs", F.lit(i))["a"] + F.col("w") * (F.get("xs", F.lit(i))["b"] - F.get("xs", F.lit(i))["a"])).alias(f) for i, f in enumerate(features)], F.lit(minority).alias(target))
+
+
+def balanced_rows(train: DataFrame, target: str, features: list[str], k: int = 5) -> DataFrame:
+    """The features, the target and `weight`: what the target's imbalance calls for.
+
+    Balanced classes weigh 1. Mild imbalance is met by class weights; severe or extreme imbalance by synthetic rows of the
+    smallest class up to the number of the largest, or by class weights where it has too few rows to make them from.
+    """
+    plain = train.where(name(target).isNotNull()).select(*[value(f).alias(f) for f in features], name(target).alias(target))
+    severity = class_balance(train, target).first()["severity"]
+    counts = [(r["class"], r["n"]) for r in class_weights(train, target).orderBy("n", "class").limit(1).collect()]
+    most = class_weights(train, target).agg(F.max("n")).first()[0]
+    if severity == "balanced" or not counts:
+        return plain.withColumn("weight", F.lit(1.0))
+    least, n = counts[0]
+    if severity in ("severe", "extreme") and n > k:
+        return plain.unionByName(smote(train, target, features, least, most / n - 1, k)).withColumn("weight", F.lit(1.0))
+    weights = class_weights(train, target).select(F.col("class").alias("_class"), "weight")
+    return plain.join(weights, F.col(target) == F.col("_class")).drop("_class")
 
 
 def cluster(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (3, 4, 5)) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import correlate, modeling, profile
+from ..operators import correlate, modeling, neighbours, profile
 from .registry import query, table
 from .tables import PAIRS_SQL, lines, pairs
 from .texts import QUESTIONS_SQL, has, questions
@@ -124,6 +124,13 @@ def smote(spark, d):
     return modeling.smote(sample_table(spark, d), "toxic", ["n_chars", "n_symbols"], 1, 2)
 
 
+@query("SELECT id, other, round(away, 6) AS away, rank FROM (SELECT a.vec_id AS id, b.vec_id AS other, sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2))) AS away, row_number() OVER (PARTITION BY a.vec_id ORDER BY away, b.vec_id)::INT AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 5")
+def nearest_rows(spark, d):
+    """Exact neighbours of all vectors by distance."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    return neighbours.neighbours(rows, 5).select("id", "other", F.round("away", 6).alias("away"), "rank")
+
+
 @query()
 def feature_importance(spark, d):
     rows, pipeline = modeling.prepare_features(sample_table(spark, d), "quality", drop=["doc_id"])
