@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources import shared
+
 
 #: Hash parts of a ranking.
 PARTS = 64
@@ -108,19 +110,54 @@ def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None, top: int | None = None) -> DataFrame:
-    """column, value, n: counts of each column's values; with `top` the most frequent ones and their rank, ties by value.
+    """column, value, n: counts of each column's values; with `top` the most frequent ones and their rank, ties by value."""
+    columns = columns or df.columns
+    return all_counts(df, columns) if top is None else frequent_values(df, columns, top)
+
+
+def all_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    return long_values(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def best_counts(counted: DataFrame, top: int) -> DataFrame:
+    """The `top` most frequent values of each column with their rank.
 
     The best of each of PARTS hash parts are found first, so that a rank is taken over PARTS x top rows at most.
     """
-    counted = long_values(df, columns or df.columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    if top is None:
-        return counted
     order = [F.desc("n"), "value"]
     part = F.pmod(F.xxhash64("value"), F.lit(PARTS))
     best = counted.withColumn("_rank", F.row_number().over(Window.partitionBy("column", part).orderBy(*order))).where(F.col("_rank") <= top)
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order))).where(F.col("rank") <= top).drop("_rank")
 
 
+#: A summary that tracks m items misses none that make up more than this over m of all rows.
+SUMMARY_ERROR = 3.5
+
+
+def frequent_values(df: DataFrame, columns: list[str], top: int, tracked: int = 2_000) -> DataFrame:
+    """column, value, n, rank of the most frequent values, exactly, without shuffling every distinct value.
+
+    A first pass keeps a mergeable summary of `tracked` items for each column and so names candidates; a second one counts
+    only these. A value that isn't among them occurs SUMMARY_ERROR / tracked of all rows at most, so that the counts stand
+    where the last of the best is above that, or where the candidates are all there is. Other columns are counted whole.
+    """
+    tracked = max(tracked, top)
+    text = {c: F.when(~is_missing(df, c), name(c).cast("string")) for c in columns}
+    pairs = [F.struct(F.lit(c).alias("column"), F.count(t).alias("rows"), F.call_function("approx_top_k", t, F.lit(tracked), F.lit(tracked)).alias("items")) for c, t in text.items()]
+    summary = df.agg(F.count(F.lit(1)).alias("all"), F.array(*pairs).alias("p")).select("all", F.explode("p").alias("p")).select("all", "p.column", "p.rows", "p.items")
+    summary = shared.written(summary, shared.fresh_dir(df.sparkSession, "summary"))  # `tracked` items a column
+    candidates = summary.select("column", F.explode("items.item").alias("value")).where("value IS NOT NULL").distinct()
+    counted = long_values(df, columns).join(F.broadcast(candidates), ["column", "value"]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = shared.written(counted, shared.fresh_dir(df.sparkSession, "counts"))
+    last = F.get(F.sort_array(F.collect_list("n"), asc=False), F.lit(top - 1))
+    told = counted.groupBy("column").agg(F.sum("n").alias("met"), last.alias("last")).join(summary.select("column", "all", "rows"), "column")
+    known = {r["column"] for r in told.collect() if r["met"] == r["rows"] or (r["last"] or 0) > SUMMARY_ERROR / tracked * r["all"]}  # a row a column
+    known |= {r["column"] for r in summary.where("rows = 0").select("column").collect()}
+    rest = [c for c in columns if c not in known]
+    found = counted.where(F.col("column").isin([*known])) if known else counted.limit(0)
+    return best_counts(found.union(all_counts(df, rest)) if rest else found, top)
+
+
 def discrete_columns(df: DataFrame, max_unique: int = 15) -> DataFrame:
     """Numeric columns with at most `max_unique` distinct values, and these in order.
 

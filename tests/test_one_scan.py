@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from insight_jobs.operators import correlate, moments, quantiles
+from insight_jobs.operators import correlate, moments, profile, quantiles
 
 
 def some_numbers(n=500, seed=3):
@@ -103,3 +103,24 @@ def test_exact_quantiles_of_uneven_groups(spark, picked, grid):
             assert got[g, s] == (pytest.approx(quantiles.plain_quantile([x for h, x in rows if h == g and x is not None], s)) if g != "void" else None)
     assert quantiles.exact_quantiles(spark.createDataFrame([], "g string, x double"), ["x"], [0.5], ["g"]).count() == 0
     assert quantiles.exact_quantiles(spark.createDataFrame([], "g string, x double"), ["x"], [0.5]).first()["value"] is None
+
+
+def test_frequent_values_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 6000
+    t = pd.DataFrame({"zipf": np.minimum(rng.zipf(1.3, n), 10**6), "flat": rng.permutation(n), "few": rng.integers(0, 3, n), "text": [f"w{k}" for k in np.minimum(rng.zipf(1.6, n), 10**6)]})
+    df = spark.createDataFrame(t).withColumn("void", F.lit(None).cast("int")).withColumn("gaps", F.when(F.col("few") > 0, F.col("few")))
+    whole = []
+    right = profile.all_counts
+    monkeypatch.setattr(profile, "all_counts", lambda d, cols: whole.extend(cols) or right(d, cols))
+    got = sorted((r["column"], r["rank"], r["value"], r["n"]) for r in profile.frequent_values(df, df.columns, 5, 64).collect())
+    wanted = []
+    for c in df.columns:
+        counts = {}
+        for r in df.select(c).collect():
+            if r[0] is not None:
+                counts[str(r[0])] = counts.get(str(r[0]), 0) + 1
+        wanted += [(c, k, v, m) for k, (v, m) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:5], 1)]
+    assert got == sorted(wanted)
+    assert "flat" in whole and not {"few", "void", "gaps"} & set(whole)  # only what the summary leaves open is counted whole
+    assert profile.value_counts(df.limit(0), None, 3).count() == 0
