@@ -75,6 +75,9 @@ TARGET_PATTERNS = [
 ]
 KNOWN_TARGETS = {"survived": ["survived", "survival"], "species": ["species", "iris", "flower"], "churn": ["churn", "churned", "attrition"], "diagnosis": ["diagnosis", "diagnose", "disease", "condition"], "default": ["default", "loan default", "credit default"], "fraud": ["fraud", "fraudulent", "is_fraud"], "sentiment": ["sentiment", "opinion", "review"], "income": ["income", ">50k", "salary class"], "target": ["target"], "label": ["label", "class", "category"], "outcome": ["outcome", "result", "output"], "approved": ["approved", "approval", "accepted"], "price": ["price", "cost", "value", "sale price", "house price"], "medv": ["medv", "house value", "median value"], "charges": ["charges", "insurance cost", "medical charges"], "mpg": ["mpg", "fuel efficiency", "miles per gallon"]}
 TARGET_NAMES = ["target", "label", "class", "y", "output", "result", "outcome", "response"]
+#: A citation of a page (its number goes in), and brackets that nothing is left in.
+PAGE_CITATION = r"\(?\s*[Pp]age\s+{page}\s*(?:and\s+)?\.?\s*\)?"
+SPACES, EMPTY_BRACKETS = r"\s{2,}", r"\(\s*\)"
 
 # End of the fixed values.
 
@@ -194,9 +197,9 @@ def strip_toc_citations(answer: Column) -> Column:
     mixed = (F.size(pages) > 1) & F.arrays_overlap(pages, toc) & (F.size(F.array_except(pages, toc)) > 0)
     out = answer
     for page in TOC_PAGES:
-        out = F.trim(F.regexp_replace(out, rf"\(?\s*[Pp]age\s+{page}\s*(?:and\s+)?\.?\s*\)?", ""))
-    out = F.trim(F.regexp_replace(out, r"\s{2,}", " "))
-    return F.when(mixed, F.trim(F.regexp_replace(out, r"\(\s*\)", ""))).otherwise(answer)
+        out = F.trim(F.regexp_replace(out, PAGE_CITATION.format(page=page), ""))
+    out = F.trim(F.regexp_replace(out, SPACES, " "))
+    return F.when(mixed, F.trim(F.regexp_replace(out, EMPTY_BRACKETS, ""))).otherwise(answer)
 
 
 def person_names(text: Column) -> Column:

@@ -94,12 +94,13 @@ def select_columns(df: DataFrame, pattern: str) -> DataFrame:
     return df.select(*[name(c) for c in found])
 
 
-#: Patterns of filter sentences, in the order in which they are tried. Fixed values.
+# Patterns of filter sentences, in the order in which they are tried.
 EQ = r"(?U)where\s+(\w+)\s+(?:is|==|=|equals?)\s+(\S+)"
 GT = r"(?U)(\w+)\s*(?:>|greater than|more than|above|over)\s*(\d+\.?\d*)"
 LT = r"(?U)(\w+)\s*(?:<|less than|below|under)\s*(\d+\.?\d*)"
 TOP = r"(?U)top\s+(\d+)\s+(?:by|based on|sorted by)?\s*(\w+)"
 MISSING = r"missing|null|na values|empty"
+# End of the fixed values.
 
 
 def parse_filter(questions: DataFrame, columns: list[str]) -> DataFrame:

@@ -21,8 +21,6 @@ from .neighbours import neighbours
 from .profile import categorical_columns, class_balance, id_like_columns, name, numeric_columns, value
 
 SEED = 42
-#: Rows of a partition of prepared rows; small tables are fitted in few tasks.
-PART_ROWS = 50_000
 
 
 def split(df: DataFrame, keys: list[str], share: float = 0.2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +82,7 @@ def compare_models(df: DataFrame, target: str | None, task: str, folds: int = 3,
     rows, pipeline = prepare_features(df, target, drop=drop)
     train, test = split(labelled(rows, task), rows.columns) if task != "clustering" else (rows, rows)
     prepared = pipeline.fit(train)
-    parts = max(1, -(-train.count() // PART_ROWS))
+    parts = spark.sparkContext.defaultParallelism  # a task a core
     fit_for = lambda rows: prepared.transform(rows).coalesce(parts).cache()
     train, test = fit_for(train), fit_for(test)
     out, fitted = [], {}

@@ -181,8 +181,8 @@ def cited_pages(spark, d):
 def _strip_sql() -> str:
     out = "text"
     for page in rules.TOC_PAGES:
-        out = f"trim(regexp_replace({out}, '\\(?\\s*[Pp]age\\s+{page}\\s*(?:and\\s+)?\\.?\\s*\\)?', '', 'g'))"
-    out = f"trim(regexp_replace(trim(regexp_replace({out}, '\\s{{2,}}', ' ', 'g')), '\\(\\s*\\)', '', 'g'))"
+        out = f"trim(regexp_replace({out}, {quoted(rules.PAGE_CITATION.format(page=page))}, '', 'g'))"
+    out = f"trim(regexp_replace(trim(regexp_replace({out}, {quoted(rules.SPACES)}, ' ', 'g')), {quoted(rules.EMPTY_BRACKETS)}, '', 'g'))"
     toc = listed(rules.TOC_PAGES)
     return f"SELECT answer_id, CASE WHEN len(p) > 1 AND list_has_any(p, {toc}) AND len(list_filter(p, lambda x: NOT list_contains({toc}, x))) > 0 THEN {out} ELSE text END AS text FROM (SELECT *, regexp_extract_all(text, {quoted(rules.CITED)}, 1) AS p FROM {ANSWERS_SQL})"
 
