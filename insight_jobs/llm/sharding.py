@@ -85,14 +85,14 @@ def propagate(cells: DataFrame, quotas: list[int]) -> DataFrame:
         loads = _loads(cells, shards)
         open_only = turn % 2 == 0
         room = [q - load for q, load in zip(quotas, loads, strict=True)]
-        held = cells.groupBy("grp", "shard").agg(F.sum("n").alias("held"))
+        # A group has a cell for each salt at most, so that windows over groups are of bounded size; one exchange serves both.
+        group = Window.partitionBy("grp")
+        held = cells.withColumn("held", F.sum("n").over(Window.partitionBy("grp", "shard"))).withColumn("total", F.sum("n").over(group))
         target = _by_shard(room) > 0 if open_only else F.col("held") < _by_shard(quotas)
-        ranked = held.withColumn("rank", F.struct(F.col("held"), F.xxhash64("grp", "shard", F.lit(turn)).alias("tie"), F.col("shard"))).withColumn("open", target)
-        best = ranked.groupBy("grp").agg(F.max(F.when(F.col("open"), F.col("rank"))).alias("best"), F.sum("held").alias("total")).where("best IS NOT NULL")
+        ranked = held.withColumn("rank", F.struct(F.col("held"), F.xxhash64("grp", "shard", F.lit(turn)).alias("tie"), F.col("shard")))
+        best = ranked.withColumn("best", F.max(F.when(target, F.col("rank"))).over(group))
         asking = staged(
-            cells.join(ranked.select("grp", "shard", "rank"), ["grp", "shard"])
-            .join(best, "grp")
-            .where("best > rank")
+            best.where("best > rank")
             .select("grp", "salt", "n", "shard", F.col("best.shard").alias("target"), F.floor(F.log2(F.col("total") + 1)).cast("int").alias("size_class"))
             .withColumn("bucket", F.pmod(F.xxhash64("grp", F.lit(turn)), F.lit(BUCKETS)).cast("int"))
         )
