@@ -6,6 +6,8 @@ pages and marks them on each page by Viterbi's algorithm.
 
 The labelled pages are layouts built here by rule, in which each container says whether it is main text: articles in
 varied containers among menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+Names aren't all that counts: features of the layout (text and links of a box beside the others, where the title is, like
+boxes side by side, neighbouring blocks) speak where containers are unnamed or foreign. Text without any tag is no article.
 
 Nulls, empty pages and pages without text give an empty text. Rows that come again, with or without page_id, each have
 their result. Broken markup is read as far as it can be: a mark that can't be read is passed over. The work grows
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Container
+from functools import cache
 from html import unescape
 
 import numpy as np
@@ -33,9 +36,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style noscript template title textarea iframe head".split())
 #: What may stand in a head; anything else ends a head that has no end tag.
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
-BOXES = frozenset("article aside body div footer form header main nav section".split())
+BOXES = frozenset("article aside body div footer form header main nav section td".split())
 ENDS_BEFORE = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-NAMES = re.compile(r"[A-Za-z]+")
+ARTICLE = frozenset(("in:article", "in:main"))
+#: Words of a class, id or role; inner capitals begin a new one.
+NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Letters by which longer names count as well, so that forms of one word are alike.
+STEM = 5
 #: A start or end tag: its sign, its name and the rest, in which quoted values may hold its end.
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
@@ -48,18 +55,23 @@ RAW = {tag: re.compile(rf"(?i)</{tag}(?=[\s/>])") for tag in ("script", "style")
 class Node:
     """An open element: its tag, the names of its class, id and role, and what it and its ancestors add to a block's features.
 
+    home: the innermost box that it is or lies in; outer: the box around that.
+
     `features` is one frozenset for all elements that add nothing new, so that deep nesting shares it.
     """
 
-    __slots__ = ("box", "features", "label", "tag")
+    __slots__ = ("box", "features", "home", "label", "outer", "tag")
 
     def __init__(self, tag: str, names: list[str], label: int, parent: Node | None, known: Container[str] | None):
         self.tag = tag
         self.label = label if label >= 0 or parent is None else parent.label
-        fresh = {n for n in (f"in:{tag}", *[f"name:{n}" for n in names]) if known is None or n in known}
+        stems = [f"stem:{n[:STEM]}" for n in names if len(n) > STEM]
+        fresh = {n for n in (f"in:{tag}", *[f"name:{n}" for n in names], *stems) if known is None or n in known}
         above = parent.features if parent else frozenset()
         self.features = above if fresh <= above else above | fresh
         self.box = tuple(dict.fromkeys((f"box:{tag}", *[f"box:{n}" for n in names]))) if tag in BOXES else parent.box if parent else ("box:",)
+        above = parent.home if parent else None
+        self.home, self.outer = (self, above) if tag in BOXES else (above, parent.outer if parent else None)
 
 
 class Block:
@@ -198,27 +210,87 @@ def leaf_blocks(html: str | None, labels: str | None = None, known: Container[st
 def block_features(blocks: list[Block]) -> list[tuple[frozenset[str], tuple[str, ...]]]:
     """For each block the features of its open elements (shared) and its own, none of which is among the former."""
     out = []
-    for b in blocks:
-        share = b.linked / max(1, len(b.text))
+    layout = layout_features(blocks)
+    for b, around in zip(blocks, layout, strict=True):
         words = b.text.count(" ") + 1
         own = (
-            f"tag:{b.node.tag if b.node else ''}", *(b.node.box if b.node else ("box:",)), f"words:{min(7, words.bit_length())}", f"links:{0 if share == 0 else 1 if share < 0.5 else 2}",
-            f"end:{b.text[-1] if b.text[-1] in '.!?:…' else ''}", f"sign:{int('©' in b.text)}", f"commas:{min(3, b.text.count(','))}",
+            f"tag:{b.node.tag if b.node else ''}", *(b.node.box if b.node else ("box:",)), f"words:{min(7, words.bit_length())}", f"links:{link_class(b)}",
+            f"end:{b.text[-1] if b.text[-1] in '.!?:…' else ''}", f"sign:{int('©' in b.text)}", f"commas:{min(3, b.text.count(','))}", *around,
         )
         out.append((b.node.features if b.node else frozenset(), own))
     return out
 
 
+def link_class(b: Block) -> int:
+    """0 where a block has no link text, 1 where that is less than half of it, else 2."""
+    share = b.linked / max(1, len(b.text))
+    return 0 if share == 0 else 1 if share < 0.5 else 2
+
+
+def layout_features(blocks: list[Block]) -> list[list[str]]:
+    """What says something about a block whatever its containers are called: how much text and how many links its box holds
+    beside the others, whether the page's first title is in it, like boxes beside it, the blocks before and behind, and
+    whether other blocks of the page alone, or its title, are in an article.
+
+    A box is counted by the blocks that lie in it directly. What a page doesn't have adds no feature.
+    """
+    homes = [b.node.home if b.node else None for b in blocks]
+    letters: Counter[int] = Counter()
+    linked: Counter[int] = Counter()
+    seen: dict[int, Node | None] = {}
+    titled = None
+    for b, home in zip(blocks, homes, strict=True):
+        letters[id(home)] += len(b.text)
+        linked[id(home)] += b.linked
+        seen[id(home)] = home
+        if titled is None and b.node and b.node.tag == "h1":
+            titled = id(home)
+    most = max(letters.values(), default=0)
+    inside = [bool(b.node) and not b.node.features.isdisjoint(ARTICLE) for b in blocks]
+    beyond = ["beyond"] * any(inside) + ["beyond title"] * any(i and b.node.tag == "h1" for i, b in zip(inside, blocks, strict=True))
+    in_body = " in body" if titled is not None and (not seen[titled] or seen[titled].tag == "body") else ""
+    kinds = {k: (id(h.outer), h.box) for k, h in seen.items() if h}
+    alike = Counter(kinds.values())
+    of_box: dict[int, list[str]] = {}
+    for k, n in letters.items():
+        features = of_box[k] = []
+        if n < most:
+            features.append(f"mass:{min(4, (most // n).bit_length())}")
+        if linked[k]:
+            features.append(f"linked:{1 if 3 * linked[k] < n else 2}")
+        if titled is not None:
+            features.append(f"titled{in_body}" if titled == k else f"untitled{in_body}")
+        if k in kinds and alike[kinds[k]] > 1:
+            features += (f"alike:{min(3, alike[kinds[k]].bit_length())}", f"alike {seen[k].tag}")
+    shape = [f"{min(4, (b.text.count(' ') + 1).bit_length() // 2)}{link_class(b)}" for b in blocks]
+    out = []
+    for k, home in enumerate(homes):
+        features = list(of_box[id(home)])
+        if not inside[k]:
+            features += beyond
+        if k:
+            features.append(f"before:{shape[k - 1]}{'' if homes[k - 1] is home else ' other'}")
+        if k + 1 < len(blocks):
+            features.append(f"behind:{shape[k + 1]}{'' if homes[k + 1] is home else ' other'}")
+        out.append(features)
+    return out
+
+
 #: Containers of labelled layouts, (tag, attribute).
 MAIN = (("article", ""), ("main", ""), ("div", 'class="content"'), ("div", 'id="post-body"'), ("div", 'class="entry-content"'), ("section", 'class="article-body"'), ("div", 'class="story-text"'), ("article", 'class="post"'), ("div", 'role="main"'))
-LINKS = (("nav", ""), ("ul", 'class="menu"'), ("div", 'class="breadcrumb"'), ("div", 'class="share"'), ("div", 'class="related"'), ("aside", 'class="sidebar"'), ("div", 'id="sidebar"'), ("div", 'class="tags"'))
-PROSE = (("aside", ""), ("aside", 'class="note"'), ("aside", ""), ("header", ""), ("footer", ""), ("div", 'class="ad"'), ("div", 'class="advert banner"'), ("div", 'class="cookie-notice"'), ("div", 'class="notice"'), ("aside", ""), ("div", 'class="newsletter"'), ("div", 'class="promo"'), ("div", 'class="footer"'), ("div", 'class="header"'), ("div", 'role="banner"'), ("div", 'class="sponsored"'), ("div", 'class="popup"'))
-REMARKS = (("section", 'class="comments"'), ("div", 'id="comments"'), ("div", 'class="comment-list"'), ("ul", 'class="comments"'))
+LINKS = (("nav", ""), ("ul", 'class="menu"'), ("div", 'class="breadcrumb"'), ("div", 'class="share"'), ("div", 'class="related"'), ("aside", 'class="sidebar"'), ("div", 'id="sidebar"'), ("div", 'class="tags"'), ("div", 'id="nav"'), ("div", 'class="pagination"'), ("div", 'class="social links"'), ("div", 'class="widget"'))
+PROSE = (("aside", ""), ("aside", 'class="note"'), ("aside", ""), ("header", ""), ("footer", ""), ("div", 'class="ad"'), ("div", 'class="advert banner"'), ("div", 'class="cookie-notice"'), ("div", 'class="notice"'), ("aside", ""), ("div", 'class="newsletter"'), ("div", 'class="promo"'), ("div", 'class="footer"'), ("div", 'class="header"'), ("div", 'role="banner"'), ("div", 'class="sponsored"'), ("div", 'class="popup"'), ("div", 'id="footer"'), ("div", 'id="header"'), ("div", 'class="subscribe"'), ("div", 'class="sidebar widget"'), ("div", 'role="contentinfo"'), ("div", 'class="paywall"'), ("div", 'class="modal"'))
+REMARKS = (("section", 'class="comments"'), ("div", 'id="comments"'), ("div", 'class="comment-list"'), ("ul", 'class="comments"'), ("div", 'id="disqus_thread"'), ("div", 'class="responses"'), ("div", 'id="respond"'), ("div", 'class="replies"'), ("section", 'class="discussion"'))
+#: Names that containers of any kind may have.
+NEUTRAL = ("wrap", "inner", "container", "row", "col", "box", "block", "section", "page", "group", "left", "module")
 SYLLABLES = "an be co da en fi go ha in ja ke lo mi no or pe qu ra st tu un ve wi".split()
 
 
-def labelled_layouts(pages: int = 300, seed: int = 9) -> list[str]:
-    """Pages of varied layout; data-main says which containers are main text."""
+def labelled_layouts(pages: int = 1200, seed: int = 9) -> list[str]:
+    """Pages of varied layout; data-main says which containers are main text.
+
+    Some containers of each kind have no name, or one that tells nothing, so that the chain also learns from the layout.
+    """
     rng = np.random.default_rng(seed)
     pick = lambda options: options[int(rng.integers(len(options)))]
     word = lambda: "".join(pick(SYLLABLES) for _ in range(int(rng.integers(1, 4))))
@@ -227,29 +299,75 @@ def labelled_layouts(pages: int = 300, seed: int = 9) -> list[str]:
     box = lambda kind, inside, main: f'<{kind[0]} {kind[1]} data-main="{main}">{inside}</{kind[0]}>'
     links = lambda: "<ul>" + "".join(f'<li><a href="#">{word()}</a></li>' for _ in range(int(rng.integers(3, 9)))) + "</ul>"
 
+    def nameless() -> tuple[str, str]:
+        kind = rng.random()
+        return pick(("div", "div", "div", "section")), "" if kind < 0.5 else f'class="{pick(NEUTRAL)}"' if kind < 0.8 else f'id="{pick(NEUTRAL)}-{int(rng.integers(99))}"'
+
     def aside() -> str:
         kind = rng.random()
         if kind < 0.4:
-            return box(pick(LINKS), links(), 0)
-        if kind < 0.85:
+            return box(pick(LINKS) if rng.random() < 0.7 else nameless(), links(), 0)
+        if kind < 0.8:
             text = prose(1, 4)
             return box(pick(PROSE), pick((text, f"<p>{text}</p>", f"&copy; {text}", f"<h3>{word()}</h3><p>{text}</p>")), 0)
+        if kind < 0.88:
+            return box(nameless(), pick((f"&copy; {sentence(2, 9)}", f"<p>&copy; {sentence(2, 9)}</p>", f'<a href="#">{word()}</a> | <a href="#">{word()} {word()}</a>')), 0)
         return box(("form", ""), f"<p>{sentence(3, 9)}</p><label>{word()}</label><input><button>{word()}</button>", 0)
 
-    def body() -> str:
-        out = [f"<h1>{sentence(2, 9)}</h1>"] if rng.random() < 0.7 else []
+    def remarks() -> str:
+        """Reader comments: like boxes, each with who wrote it. Without a name they are two at least."""
+        named = rng.random() < 0.7
+        by = pick(("<b>{}</b>", '<span class="author">{}</span>', "<h4>{}</h4>", '<cite><a href="#">{}</a></cite>', "<p><b>{}</b></p>", "<b>{}</b> <i>3 h</i>"))
+        each = pick(("<div>{}<p>{}</p></div>", '<div class="item">{}<p>{}</p></div>', "<article>{}<p>{}</p></article>", "<div>{}<div>{}</div></div>"))
+        several = "".join(each.format(by.format(word()), "</p><p>".join(prose(1, 5) for _ in range(pick((1, 1, 1, 2, 3))))) for _ in range(int(rng.integers(1 if named else 2, 6))))
+        ask = f"<h3>{word()} {word()}</h3>" if rng.random() < 0.4 else ""
+        return box(pick(REMARKS) if named else nameless(), ask + several, 0)
+
+    def body(titled: bool) -> str:
+        title = f"<h1>{sentence(2, 9)}</h1>" if titled else ""
+        out = [f"<header>{title}</header>" if rng.random() < 0.1 else f"<div>{title}</div>" if rng.random() < 0.1 else title] if titled else []
+        style = rng.random()
+        if style < 0.1:
+            return "".join([*out, *(f"<div>{prose(1, 7)}</div>" for _ in range(int(rng.integers(1, 7))))])
+        if style < 0.2:
+            part = pick(("<section>{}</section>", "<div>{}</div>"))
+            return "".join([*out, *(part.format(f"<h2>{sentence(1, 5)}</h2>" + "".join(f"<p>{prose(1, 7)}</p>" for _ in range(int(rng.integers(1, 4))))) for _ in range(int(rng.integers(1, 4))))])
+        if style < 0.3:
+            return "".join([*out, pick(("<div>{}</div>", '<div class="inner">{}</div>')).format("".join(f"<p>{prose(1, 7)}</p>" for _ in range(int(rng.integers(1, 7)))))])
+        if style < 0.35:
+            return "".join([*out, "<br><br>".join(prose(1, 7) for _ in range(int(rng.integers(1, 5))))])
         for _ in range(int(rng.integers(1, 7))):
             kind = rng.random()
             text = prose(1, 7)
-            out.append(f"<p>{text}</p>" if kind < 0.6 else f"<h2>{sentence(1, 5)}</h2><p>{text}" if kind < 0.7 else f"<ul><li>{sentence(2, 9)}</li><li>{sentence(2, 9)}</li></ul>" if kind < 0.78 else f"<blockquote>{text}</blockquote>" if kind < 0.84 else f"<p><b>{text}<br><p>{prose(1, 4)}</p>" if kind < 0.9 else aside())
+            out.append(f"<p>{text}</p>" if kind < 0.6 else f"<h2>{sentence(1, 5)}</h2><p>{text}" if kind < 0.7 else f"<ul><li>{sentence(2, 9)}</li><li>{sentence(2, 9)}</li></ul>" if kind < 0.78 else f"<blockquote>{text}</blockquote>" if kind < 0.82 else f"<table>{''.join(f'<tr><td>{word()}</td><td>{word()}</td></tr>' for _ in range(int(rng.integers(1, 4))))}</table>" if kind < 0.84 else f"<p><b>{text}<br><p>{prose(1, 4)}</p>" if kind < 0.9 else aside())
         return "".join(out)
 
     made = []
     for _ in range(pages):
-        before = "".join(aside() for _ in range(int(rng.integers(1, 4))))
-        after = "".join(aside() for _ in range(int(rng.integers(1, 4))))
-        remarks = box(pick(REMARKS), "".join(f"<div><b>{word()}</b><p>{prose(1, 5)}</p></div>" for _ in range(int(rng.integers(1, 5)))), 0) if rng.random() < 0.4 else ""
-        made.append(f"<html><head><title>{word()}</title></head><body>{before}{box(pick(MAIN), body() + (remarks if rng.random() < 0.3 else ''), 1)}{remarks}{after}</body></html>")
+        named, titled = rng.random() < 0.6, rng.random() < 0.8
+        more = lambda: box(nameless(), f"<p>{prose(1, 3)}</p>" if rng.random() < 0.5 else prose(1, 3), 0) if titled and rng.random() < 0.15 else aside()  # noqa: B023, E731
+        before = "".join(more() for _ in range(int(rng.integers(1, 4))))
+        after = "".join(more() for _ in range(int(rng.integers(1, 4))))
+        said = remarks() if rng.random() < 0.5 else ""
+        text = body(titled) + (said if rng.random() < 0.4 else "")
+        around = nameless() if rng.random() < 0.2 else None
+        said = "" if said in text else said
+        if rng.random() < 0.1:
+            before = after = ""
+        kind = rng.random()
+        if kind < 0.04:
+            made.append(pick(('<span data-main="1">{}</span>', '<p data-main="1">{}</p>')).format(prose(1, 5)) + (f'<p data-main="1">{prose(1, 5)}</p>' if rng.random() < 0.6 else ""))
+            continue
+        if kind < 0.12:
+            whole = f'{before}<h1 data-main="1">{sentence(2, 9)}</h1>{pick(("", after))}{box(pick(MAIN) if named else nameless(), body(False), 1)}{said}{after}'
+        elif kind < 0.9:
+            whole = f"{before}{box(pick(MAIN) if named else nameless(), text, 1)}{said}{after}"
+        elif kind < 0.95:
+            whole = f'{before}<table><tr><td data-main="0">{links()}</td><td data-main="1">{text}</td></tr></table>{said}{after}'
+        else:
+            made.append(f'<body data-main="1">{pick(("", before))}{text if rng.random() < 0.7 else prose(1, 5)}{pick(("", after))}')
+            continue
+        made.append(f"<html><head><title>{word()}</title></head><body>{f'<{around[0]} {around[1]}>{whole}</{around[0]}>' if around else whole}</body></html>")
     return made
 
 
@@ -273,6 +391,7 @@ class Extractor:
         return " ".join(b.text for b, main in zip(blocks, self.chain.viterbi(self.scores(blocks)), strict=True) if main) if blocks else ""
 
 
+@cache
 def fit() -> Extractor:
     """An extractor learned from the labelled layouts."""
     number: dict[str, int] = {"": 0}

@@ -556,6 +556,45 @@ def test_pages_of_unseen_layouts():
     assert right / total > 0.8
 
 
+PARAGRAPH = "<p>Some words of the story, which go on for long enough to be read here. They say more, and then more again.</p>"
+SAID = "<div><b>ann</b><p>I liked this, thanks for it.</p></div><div><b>bob</b><p>Not me, it was dull. Really so.</p></div>"
+MENU = '<ul><li><a href="/a">one</a></li><li><a href="/b">two</a></li><li><a href="/c">three</a></li></ul>'
+STORY = "<h1>A title of it</h1>" + PARAGRAPH * 3
+STORY_TEXT = "A title of it " + " ".join([PARAGRAPH[3:-4]] * 3)
+
+
+@pytest.mark.parametrize("main", ["<div>", '<div id="x12">', '<div class="css-1k2j3">', "<section>", '<div class="hentry single">', '<div id="story">', "<table><tr><td>"])
+@pytest.mark.parametrize("names", ['id="{}"', ""])
+def test_pages_lose_no_article_in_an_unnamed_container(main, names):
+    end = "</td></tr></table>" if "td" in main else f"</{main[1:].split()[0].strip('>')}>"
+    html = f"<html><body><div {names.format('nav')}>{MENU}</div>{main}{STORY}{end}<div {names.format('footer')}>&copy; 2020 All of it reserved.</div></body></html>"
+    assert pages.fit().main_text(html) == STORY_TEXT
+
+
+@pytest.mark.parametrize("names", ['id="disqus_thread"', 'class="responses"', 'class="reader-comments"', 'class="userComments"', 'id="reactions"', 'class="feedback"', 'id="kommentare"', 'class="x9"', ""])
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("within", [True, False])
+def test_pages_keep_no_reader_comments(names, tag, within):
+    """The last five names aren't in the layouts that the chain learns from."""
+    said = f"<div {names}>{SAID}</div>"
+    html = f"<body><nav>{MENU}</nav><{tag}>{STORY}{said if within else ''}</{tag}>{'' if within else said}<footer>Made here.</footer></body>"
+    assert pages.fit().main_text(html) == STORY_TEXT
+
+
+@pytest.mark.parametrize("names", ['id="right-col"', 'class="gdpr"', 'class="ads-box"', 'class="signup"', 'id="masthead"', 'class="related-posts"'])
+def test_pages_keep_no_notices_of_foreign_names(names):
+    html = f"<body><nav>{MENU}</nav><div {names}><p>Take this now, it is good for you.</p></div><article>{STORY}</article><div {names}>Take this too, please. Yes, do.</div></body>"
+    assert pages.fit().main_text(html) == STORY_TEXT
+
+
+def test_page_layout_features_by_hand():
+    title, text, link = pages.leaf_blocks("<article><h1>Five</h1><p>ten words!</p></article><div><a>all linked</a></div>")
+    assert pages.layout_features([title, text, link]) == [["titled", "behind:10"], ["titled", "before:00", "behind:12 other"], ["mass:1", "linked:2", "untitled", "beyond", "beyond title", "before:10 other"]]
+    assert pages.layout_features([]) == []
+    alike = pages.layout_features(pages.leaf_blocks("<main><div>one</div><div>two</div><div class='a'>six</div></main>"))
+    assert [[f for f in fs if f.startswith("alike")] for fs in alike] == [["alike:2", "alike div"], ["alike:2", "alike div"], []]
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
