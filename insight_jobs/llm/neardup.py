@@ -9,9 +9,11 @@
 4. The full shingle sets of the texts that share a bucket are written once, and every edge is confirmed on them.
    Members of a bucket that ended in more than one component meet again around other centres.
 5. What then still spans components is searched whole: the members of such a bucket outside its largest component meet all
-   members of other components, in blocks of bounded size. Pairs whose sizes and minima can belong to a link are
-   confirmed in place, and only links that join components leave a block. So every pair that shares a bucket is in one
-   component in the end, or found not to be a link.
+   members of other components, in blocks of bounded size. Shingles that no other component has bound what a text can
+   share: texts that nothing in their bucket can be linked with are left out before they are dealt, and pairs by the same
+   bound, by sizes and by the bins in which they differ, all of which are exact. The rest are confirmed in place, and only
+   links that join components leave a block. So every pair that shares a bucket is in one component in the end, or found
+   not to be a link.
 6. Components come from alternating neighbour and pointer steps on the confirmed edges.
 
 Null texts and texts without words have no shingles and are linked with nothing. Rows without doc_id come back with a
@@ -120,8 +122,20 @@ def all_levels(shared: DataFrame, members: DataFrame) -> DataFrame:
     return shared.join(keyed, "id").select("id", "central", levels.alias("x")).select("x.level", "x.key", "id", "central")
 
 
+def own_minima(sets: list[np.ndarray]) -> np.ndarray:
+    """A row for each sorted set: a byte of the minimum of each bin, never 0; 0 where the bin is empty.
+
+    Where two sets have different bytes, a shingle of that bin is in one of them alone.
+    """
+    out = np.zeros((len(sets), BINS), np.uint8)
+    for k, s in enumerate(sets):
+        bins, first = np.unique((s >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32), return_index=True)
+        out[k, bins.astype(np.int64)] = (s[first] % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    return out
+
+
 def full_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(id, n, shingles, minima) of the members (id, set_key): sorted 64-bit hashes, and one byte of each bin's minimum."""
+    """(id, n, shingles, minima, keys) of the members (id, set_key, keys): sorted 64-bit hashes, own_minima, bucket keys."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("shingles", pa.binary()), ("minima", pa.binary())])
 
     def begin():
@@ -129,14 +143,14 @@ def full_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> dict:
             sets = [shingles_of(t, width, hashes) for t in batch.column("text").to_pylist()]
-            minima = (signatures(sets) & np.uint64(255)).astype(np.uint8)
+            minima = own_minima(sets)
             return {"id": batch.column("id"), "n": list(map(len, sets)), "set_key": list(map(set_key, sets)), "shingles": [s.tobytes() for s in sets], "minima": [m.tobytes() for m in minima]}
 
         return work
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(members.select("id").distinct(), "id", "left_semi")
-    got = in_batches(texts, schema, begin, 500).join(members.select("id", "set_key"), ["id", "set_key"], "left_semi")
-    return got.groupBy("id", "set_key").agg(*[F.first(c).alias(c) for c in ("n", "shingles", "minima")]).drop("set_key")
+    got = in_batches(texts, schema, begin, 500).join(members.select("id", "set_key", "keys"), ["id", "set_key"])
+    return got.groupBy("id", "set_key").agg(*[F.first(c).alias(c) for c in ("n", "shingles", "minima", "keys")]).drop("set_key")
 
 
 def stars(rows: DataFrame, centrality: str) -> DataFrame:
@@ -196,19 +210,47 @@ def more_stars(rows: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
 
 
+def exclusive(sets: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of each id no other component has; ids without any are left out. labelled: id, component."""
+
+    def begin():
+        def work(batch: pa.RecordBatch) -> dict:
+            flat = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64)
+            of = pa.array(np.repeat(np.arange(batch.num_rows), batch.column("n").to_numpy()))
+            return {"id": batch.column("id").take(of), "component": batch.column("component").take(of), "h": pa.array(flat)}
+
+        return work
+
+    schema = pa.schema([("id", pa.int64()), ("component", pa.int64()), ("h", pa.int64())])
+    every = in_batches(sets.join(labelled, "id").select("id", "component", "n", "shingles"), schema, begin, 500)
+    alone = every.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low = high").select("h")
+    return every.join(alone, "h").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
 def joining_links(shared: DataFrame, labels: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """(a, b): links that join all components of which two members share a bucket and are a link.
-
-    In each bucket that spans components, members outside the largest one are dealt into blocks of about BLOCK rows, and
-    so are its members. Every block of the former meets every block, two blocks at a time, so that memory is bounded; of a
-    bucket that one component fills but for k members, each row comes k / BLOCK + 1 times. A pair is looked at in the
-    first bucket that it shares, and confirmed on full sets if its sizes and minima allow a link and no link found there
-    has joined its components yet: so the links of a run are fewer than its rows. A link's share of equal
-    minima falls below the threshold by five standard deviations at most.
+    """(a, b), written: links that join all components of which two members share a bucket and are a link.
+
+    Two sets are a link only if (100 + share) * |difference| <= (100 - share) * (n_a + n_b), the difference being
+    symmetric; the shingles that each has for its component alone are a part of it. So `slack`, what these use up beyond
+    a set's own share, must not be above 0 for both together, and a row whose slack is too large for the least of its
+    bucket has no link there. In each bucket that still spans components, members outside the largest one are dealt into
+    blocks of about BLOCK rows, and so are its members. Every block of the former meets every block, two blocks at a
+    time, so that memory is bounded; of a bucket that one component fills but for k members, each row comes k / BLOCK + 1
+    times. A pair is looked at in the first bucket that it shares, and confirmed on full sets unless its sizes, slacks or
+    minima exclude a link, or a link found there has joined its components already: so the links of a run are fewer than
+    its rows.
     """
-    t = share / 100
-    least = int(np.floor(BINS * (t - 5 * np.sqrt(t * (1 - t) / BINS))))
     labelled = shared.join(labels, "id", "left").select("key", "j", "id", F.coalesce("component", "id").alias("component"))
+    span = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    spanning = staged(labelled.join(span, "key"))
+    ids = spanning.select("id", "component").distinct()
+    # Where an id stands for several texts, nothing is its own, and the longest counts.
+    slack = (100 + share) * F.when(F.col("texts") == 1, F.coalesce("own", F.lit(0))).otherwise(0) - (100 - share) * F.col("n")
+    lengths = sets.join(ids.select("id"), "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    slacks = staged(lengths.join(exclusive(sets, ids), "id", "left").select("id", slack.alias("slack")))
+    least = spanning.join(slacks, "id")
+    least = least.join(least.groupBy("key").agg(F.min("slack").alias("least")), "key")
+    labelled = staged(least.where("slack + least <= 0").drop("least"))
     sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     blocks = lambda n: F.ceil(n / BLOCK)
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all")).where("all > main.n")
@@ -221,13 +263,14 @@ def joining_links(shared: DataFrame, labels: DataFrame, sets: DataFrame, share:
     before = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("block")), lambda x: x < F.col("block")), lambda x: place(x, F.col("block")))
     inner = F.transform(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1), lambda x: place(x, F.col("outer") + F.col("block")))
     places = F.explode(F.when(F.col("outside"), F.concat(own, before)).otherwise(inner))
-    dealt = met.withColumn("block", block).select("key", "j", "id", "component", F.col("outside").alias("first"), "block", places.alias("p"))
-    dealt = dealt.select("key", "p.x", "p.y", "j", (F.col("first") & (F.col("block") == F.col("p.x"))).alias("first"), "id", "component")
+    dealt = met.withColumn("block", block).select("key", "j", "id", "component", "slack", F.col("outside").alias("first"), "block", places.alias("p"))
+    dealt = dealt.select("key", "p.x", "p.y", "j", (F.col("first") & (F.col("block") == F.col("p.x"))).alias("first"), "id", "component", "slack")
     order = ["key", "x", "y"]
-    runs = dealt.join(sets, "id").repartition(*order).sortWithinPartitions(*order).select(*order, "j", "first", "id", "component", "n", "minima", "shingles")
+    runs = dealt.join(sets, "id").repartition(*order).sortWithinPartitions(*order).select(*order, "j", "first", "id", "component", "slack", "n", "keys", "minima", "shingles")
 
     def links_of(run: pa.Table) -> dict[str, list[int]]:
-        ids, component, n, first = (run.column(c).to_numpy() for c in ("id", "component", "n", "first"))
+        ids, component, n, slack, first = (run.column(c).to_numpy() for c in ("id", "component", "n", "slack", "first"))
+        keys = run.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
         minima = np.frombuffer(b"".join(run.column("minima").to_pylist()), np.uint8).reshape(len(ids), BINS)
         full, band = run.column("shingles"), run.column("j")[0].as_py()
         alone = run.column("x")[0].as_py() == run.column("y")[0].as_py()
@@ -243,10 +286,10 @@ def joining_links(shared: DataFrame, labels: DataFrame, sets: DataFrame, share:
         for k in np.flatnonzero(first):
             other = right[(component[right] != component[k]) & (100 * np.minimum(n[right], n[k]) >= share * np.maximum(n[right], n[k]))]
             other = other[other > k] if alone else other
-            equal = minima[other] == minima[k]
-            likely = np.count_nonzero(equal, axis=1) >= least
-            other, equal = other[likely], equal[likely]
-            other = other[equal.reshape(len(other), BANDS, ROWS).all(2).argmax(1) == band]
+            other = other[slack[other] + slack[k] <= 0]
+            other = other[(keys[other] == keys[k]).argmax(1) == band]
+            differ = np.count_nonzero(minima[other] != minima[k], axis=1)
+            other = other[(100 + share) * differ <= (100 - share) * (n[other] + n[k])]
             mine = np.frombuffer(full[k].as_buffer(), np.uint64) if len(other) else None
             for o in other.tolist():
                 c, d = root(int(component[k])), root(int(component[o]))
@@ -271,7 +314,9 @@ def joining_links(shared: DataFrame, labels: DataFrame, sets: DataFrame, share:
         for rest in held:
             yield pa.RecordBatch.from_pydict(links_of(rest), PAIR)
 
-    return runs.mapInArrow(search, "a long, b long").distinct()
+    out = staged(runs.mapInArrow(search, "a long, b long").distinct())
+    dropped(spanning, slacks, labelled, met)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, turns: int = 2) -> DataFrame:
@@ -296,8 +341,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, turns: int
         tested, links = staged(tested.union(fresh)), staged(links.union(found))
         labels = components(links)
         dropped(*before)
-    before = tested, links, labels
-    links = staged(links.union(joining_links(shared, labels, sets, share)))
+    found = joining_links(shared, labels, sets, share)
+    before = tested, links, found, labels
+    links = staged(links.union(found))
     labels = components(links)
     named = classes.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     alone = F.encode(F.concat(F.lit("alone "), F.monotonically_increasing_id().cast("string")), "utf-8")

@@ -137,6 +137,36 @@ def test_near_duplicates_by_brute_force(spark, width, share):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_among_look_alikes(spark):
+    """Texts of one template share most buckets; few of them are links, and of these some only by way of others."""
+    rng = np.random.default_rng(8)
+    template = words(160, 50)
+    rows = []
+    for k in range(70):
+        at = int(rng.integers(0, 120))
+        w = [*template[:at], *[f"own{k}x{i}" for i in range(22)], *template[at + 22 :]]
+        rows.append((10 * k + 9, " ".join(w)))
+        for c in range(int(rng.integers(0, 3))):
+            v = list(w)
+            v[int(rng.integers(len(v)))] = f"changed{c}"
+            rows.append((10 * k + 3 + c, " ".join(v)))
+    wanted, _ = brute_components(rows, 3, 85)
+    assert 1 < len(set(wanted.values())) < len(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, turns=0).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == wanted
+
+
+def test_differing_minima_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for n, common in ((5, 3), (80, 60), (400, 10), (400, 400), (3000, 2800)):
+        h = rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
+        x, y = np.sort(h[:n]), np.sort(h[n - common : 2 * n - common])
+        a, b = neardup.own_minima([x, y])
+        assert np.count_nonzero(a != b) <= 2 * (n - common)
+        assert np.count_nonzero(a) == len(np.unique((x >> np.uint64(32)) * np.uint64(neardup.BINS) >> np.uint64(32)))
+    assert not neardup.own_minima([h[:0]]).any()
+
+
 def test_near_duplicates_edges(edges, nothing):
     got = neardup.near_duplicates(edges, 3, 85).collect()
     assert len(got) == len(edge_rows())
