@@ -78,6 +78,17 @@ def keyed_texts(docs: DataFrame) -> tuple[DataFrame, pa.DataType]:
     return docs.select(F.col("doc_id").cast("string" if textual else "long"), F.col("text").cast("string")), pa.string() if textual else pa.int64()
 
 
+def told_apart(rows: DataFrame, name: str, run: int = 65_536) -> DataFrame:
+    """The rows with `name`: a number from 0 among equal rows, whatever the partitioning.
+
+    Equal rows meet as counts alone, and come back in runs of bounded length, so that any number of them may be equal.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / run))))
+    last = F.least(F.col("_copies"), (F.col("_run") + 1) * run) - 1
+    return runs.select(*rows.columns, F.explode(F.sequence(F.col("_run") * run, last)).alias(name))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Maximal runs of anything but space and the characters 9 to 13, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

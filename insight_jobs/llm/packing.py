@@ -1,7 +1,8 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed number of words.
 
-Documents are dealt by a hash of their place in the table into blocks of bounded size, so that each task packs some
-thousand pieces, and copies of one text or of one row are spread over all blocks. Within a block pieces go in, largest first, into the tightest bin
+Documents are dealt by a hash of doc_id, source, length, cluster and a number among equal rows into blocks of bounded size,
+so that each task packs some thousand pieces, copies of one text or of one row are spread over all blocks, and the bins
+don't hang on how the table is partitioned. Within a block pieces go in, largest first, into the tightest bin
 that has room and no conflict: bins are kept in the order of their room, and the search walks from the first with
 room to the next larger until a compatible one is found; a new bin is opened only where there is none. A bin carries
 a bitmap of its sources (each source has `per_source` bits, one for each piece it may put there) and one of its
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import told_apart
+
 SCHEMA = "doc_id long, piece int, start long, size int, bin_id long, bin_offset int, source string"
 
 
@@ -71,8 +74,8 @@ def best_fit(docs: DataFrame, capacity: int = 2048, per_source: int = 4, block_r
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         (word_count(text) + 1).cast("long").alias("words"),
         (F.when(F.length(text) > 0, F.xxhash64(text)) if cluster is None else F.when(cluster.isNotNull(), F.xxhash64(cluster))).alias("cluster"),
-        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"),
     )
+    dealt = told_apart(slim, "copy").withColumn("block", F.pmod(F.xxhash64(*slim.columns, "copy"), F.lit(blocks)).cast("int")).drop("copy")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("words", "descending"), *((c, "ascending") for c in ("doc_id", "cluster", "source"))])
@@ -96,4 +99,4 @@ def best_fit(docs: DataFrame, capacity: int = 2048, per_source: int = 4, block_r
             "bin_id": (key[0].as_py() << 32) + bins, "bin_offset": pa.array(offsets, pa.int32()), "source": rows.column("source").take(of),
         })
 
-    return slim.groupBy("block").applyInArrow(run, SCHEMA)
+    return dealt.groupBy("block").applyInArrow(run, SCHEMA)

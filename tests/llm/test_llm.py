@@ -137,6 +137,19 @@ def test_near_duplicates_by_brute_force(spark, width, share):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_bins_are_the_same_however_rows_lie(spark):
+    rows = [*edge_rows(), *edge_rows(), *[(k % 7, " ".join(words(30 + k % 3, k % 5)), None, "s", "c", k) for k in range(90)]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = [sorted(map(str, packing.best_fit(t).collect())) for t in (docs.coalesce(1), docs.repartition(5), docs.orderBy(F.desc("keys")).repartition(3, "text"))]
+    assert found[0] == found[1] == found[2] and len(found[0]) >= len(rows)
+
+
+def test_equal_rows_are_told_apart(spark):
+    docs = spark.createDataFrame([(1, "a")] * 23 + [(None, None)] * 2 + [(2, "a")], "x long, y string").repartition(4)
+    got = common.told_apart(docs, "n", run=5).collect()
+    assert sorted((r["x"] or 0, r["n"]) for r in got) == [(0, 0), (0, 1), *[(1, k) for k in range(23)], (2, 0)]
+
+
 def test_near_duplicates_among_look_alikes(spark):
     """Texts of one template share most buckets; few of them are links, and of these some only by way of others."""
     rng = np.random.default_rng(8)
