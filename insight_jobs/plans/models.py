@@ -128,7 +128,7 @@ def smote(spark, d):
 def nearest_rows(spark, d):
     """Exact neighbours of all vectors by distance."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    return neighbours.neighbours(rows, 5).select("id", "other", F.round("away", 6).alias("away"), "rank")
+    return neighbours.neighbours(rows, 5, vectors=False).select("id", "other", F.round("away", 6).alias("away"), "rank")
 
 
 @query()

@@ -69,3 +69,18 @@ def test_balance_makes_rows_or_weights(spark):
     assert {round(r["weight"], 3) for r in modeling.balanced_rows(mild, "y", ["a", "b"]).collect()} == {2.0, 0.667}
     even = mild.withColumn("y", F.when(F.col("a") < 20, "x").otherwise("y"))
     assert {r["weight"] for r in modeling.balanced_rows(even, "y", ["a", "b"]).collect()} == {1.0}
+
+
+def test_a_row_is_sent_once_to_a_part(spark, monkeypatch):
+    """Where no cell can be ruled out, what is sent grows with the parts, not with the cells."""
+    x = np.random.default_rng(5).normal(size=(600, 48))
+    sent = []
+    plain = neighbours.asked_of
+    monkeypatch.setattr(neighbours, "asked_of", lambda members, asking, *more: sent.append(asking.count()) or plain(members, asking, *more))
+    assert found(spark, x, 5, pivots=64, part_rows=300) == brute(x, 5)
+    assert sent[-1] <= 4 * len(x)
+
+
+def test_rows_far_from_the_origin_keep_their_order(spark):
+    x = 1e8 + np.random.default_rng(6).normal(size=(300, 4))
+    assert found(spark, x, 4, pivots=8, part_rows=100) == brute(x, 4)
