@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..sources import shared
 from .chunks import cosine
-from .dense import dense_topk
+from .dense import best_in_units, dense_topk, of_one_length
 
 # Fixed values of the ranking formulas.
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
@@ -82,16 +82,20 @@ def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int, lower: bool = Tru
 def dense_topk_lsh(questions: DataFrame, vectors: DataFrame, k: int, bucket: float = 0.5, tables: int = 8, reach: float = 1.2) -> DataFrame:
     """An approximate form for large corpora: random projections of unit vectors, exact distances in shared buckets.
 
+    A bucket is a unit of dense search, which large ones are dealt from into parts; k rows a question leave each, and no pairs.
     A question with k hits within `reach` has its neighbours there; one with fewer is answered by `dense_topk`.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    some, plain = of_one_length(vectors, questions)
     prepare = lambda df: Normalizer(inputCol="v", outputCol="features").transform(df.withColumn("v", array_to_vector("embedding")))
-    base, asked = prepare(vectors.select("chunk_id", "embedding")), prepare(questions.select("question_id", "embedding"))
+    base, asked = prepare(some.select("chunk_id", "embedding")), prepare(plain.select("question_id", "embedding"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=1).fit(base)
-    near = model.approxSimilarityJoin(asked, base, reach, "distance")
-    scored = near.select("datasetA.question_id", "datasetB.chunk_id", (1 - F.col("distance") ** 2 / 2).alias("score"))
+    buckets = F.posexplode(F.transform("hashes", lambda h: F.get(vector_to_array(h), F.lit(0)))).alias("table", "bucket")
+    dealt = lambda df, key: model.transform(df).select(key, "embedding", buckets).select(F.concat_ws("#", "table", "bucket").alias("scope"), key, "embedding")
+    near = best_in_units(dealt(base, "chunk_id"), dealt(asked, "question_id"), k).where(F.col("score") > 1 - reach**2 / 2)
+    scored = near.groupBy("question_id", "chunk_id").agg(F.max("score").alias("score"))  # a pair may share several buckets
     found = shared.written(top(scored, k, [F.desc("score"), "chunk_id"]), shared.fresh_dir(questions.sparkSession, "near"))  # k rows a question
     full = found.where(F.col("rank") == k).select("question_id")
     exact = dense_topk(questions.join(full, "question_id", "left_anti"), vectors, k)

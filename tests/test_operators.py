@@ -327,3 +327,18 @@ def test_approximate_quantiles_lie_at_their_ranks(spark):
         boxes = charts.box_stats(df, "x", "g", exact=exact).collect()
         assert len(boxes) == 2 and all(round(b["median"], -1) == 10_000 and b["n_outliers"] == 0 for b in boxes)
     assert profile.numeric_summary(df.where("false"), exact=False).first()["q50"] is None
+
+
+def test_lsh_makes_no_rows_of_pairs(spark):
+    """What leaves a bucket is k rows a question, however many vectors share it."""
+    vectors = spark.createDataFrame([(i, [1.0, 0.001 * (i % 7), 0.0]) for i in range(400)], "chunk_id long, embedding array<float>")
+    questions = vectors.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "question_id")
+    got = retrieve.dense_topk_lsh(questions, vectors, 3)
+    assert by(got.where("question_id = 20").select("rank", "chunk_id"), "rank", "chunk_id") == {1: 6, 2: 13, 3: 20}
+    seen = []
+    whole, retrieve.top = retrieve.top, lambda df, *a: seen.append(df.count()) or whole(df, *a)
+    try:
+        retrieve.dense_topk_lsh(questions, vectors, 3)
+    finally:
+        retrieve.top = whole
+    assert seen and max(seen) <= 2 * 3 * questions.count()
