@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources import shared
-from .moments import pearson_pairs
+from .moments import pearson_pairs, rounded
 from .profile import numeric_columns, one_pass, value
 
 MULTICOLLINEAR, LOW_VARIANCE = 0.85, 0.01
@@ -51,7 +51,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, batch: in
 
 def aggregated_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     wide = df.agg(*[pearson(value(a), value(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.round(f"r{k}", 3).alias("r")) for k, (a, b) in enumerate(pairs)])
+    rows = F.array(*[F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), rounded(F.col(f"r{k}")).alias("r")) for k, (a, b) in enumerate(pairs)])
     return wide.select(F.explode(rows).alias("p")).select("p.*")
 
 

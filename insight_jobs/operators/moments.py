@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .profile import value
@@ -94,6 +94,12 @@ def finished(at: int, m: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), at, np.int32)), pa.array(np.arange(at + 1, at + 1 + len(n), dtype=np.int32)), pa.array(np.where(none, 0.0, np.clip(r, -1, 1)), mask=none), pa.array(sure)], names=["at", "other", "r", "sure"])
 
 
+def rounded(r: Column, digits: int = 3) -> Column:
+    """r to some digits; a negative one that rounds to zero keeps its sign, as in SQL."""
+    short = F.round(r, digits)
+    return F.when((r < 0) & (short == 0), F.lit(-0.0)).otherwise(short)
+
+
 def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """at, other, r, sure of all pairs of the columns' places."""
-    return correlations(pair_moments(df, columns)).select("at", "other", F.round("r", 3).alias("r"), "sure")
+    return correlations(pair_moments(df, columns)).select("at", "other", rounded(F.col("r")).alias("r"), "sure")

@@ -342,3 +342,12 @@ def test_lsh_makes_no_rows_of_pairs(spark):
     finally:
         retrieve.top = whole
     assert seen and max(seen) <= 2 * 3 * questions.count()
+
+
+def test_a_negative_correlation_that_rounds_to_zero_keeps_its_sign(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=5000), rng.normal(size=5000)
+    y -= x * (x @ y) / (x @ x) + 0.0003 * x
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
+    pairs = correlate.correlation_pairs(df)
+    assert "y (r=-0.000)" in correlate.correlation_digest(pairs, correlate.low_variance_columns(df), "x").first()[0]
