@@ -9,11 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import shared
+from .boxes import blocks_near
+
 # Fixed values of the page, image and chunk rules.
 SECTION, OCR_SHARE, HEADING = 3000, 0.40, 80
 PARENT, PARENT_OVERLAP, CHILD, CHILD_OVERLAP = 512, 64, 128, 16
 IMAGE_BYTES, RASTER = 4096, ["png", "jpg", "jpeg", "gif", "bmp", "tiff", "webp"]
 BELOW, ABOVE, BESIDE, NEAR = 60, 40, 150, 120
+LEAST_TEXT = 8
 BREAK_PERCENTILE = 0.85
 HEADINGS = ["author", "reviewer", "about", "editor"]
 # End of the fixed values.
@@ -88,36 +92,30 @@ def clean_caption(text: Column, most: int = 400) -> Column:
     return F.substring(F.regexp_replace(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), "[^\\x20-\\x7EÀ-ɏ]", ""), 1, most)
 
 
-def attach_captions(image_boxes: DataFrame, text_blocks: DataFrame) -> DataFrame:
+def first_lines(texts: DataFrame, most: int = 400) -> DataFrame:
+    """doc_id, page, whole: the first characters of a page's texts; of each page only as many texts are taken as these can hold."""
+    order = Window.partitionBy("doc_id", "page").orderBy("block_id", "text")
+    few = texts.select("doc_id", "page", "block_id", F.substring("text", 1, most).alias("text")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most // (LEAST_TEXT + 1) + 1)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"])
+    return few.groupBy("doc_id", "page").agg(F.substring(F.array_join(lines, "\n"), 1, most).alias("whole"))
+
+
+def attach_captions(image_boxes: DataFrame, text_blocks: DataFrame, part_rows: int = 50_000) -> DataFrame:
     """doc_id, page, img_id, caption, context, combined: text below, above, beside or nearest, in that order.
 
     combined: the page's first line where it is a heading about people, the caption and the context, in one line.
 
     Boxes meet texts of their own page only; ties go to the smaller block_id.
     """
-    i, t = image_boxes.alias("i"), text_blocks.alias("t")
-    met = i.join(t, ["doc_id", "page"]).where(F.length("t.text") >= 8)
-    wide = F.least("i.x1", "t.x1") - F.greatest("i.x0", "t.x0")
-    over = F.when(wide <= 0, 0.0).otherwise(wide / F.greatest(F.col("t.x1") - F.col("t.x0"), F.lit(1.0))) > 0.2
-    below, above = F.col("t.y0") - F.col("i.y1"), F.col("i.y0") - F.col("t.y1")
-    tall = F.least("i.y1", "t.y1") - F.greatest("i.y0", "t.y0")
-    right, left = F.col("t.x0") - F.col("i.x1"), F.col("i.x0") - F.col("t.x1")
-    far = F.abs((F.col("t.y0") + F.col("t.y1")) / 2 - (F.col("i.y0") + F.col("i.y1")) / 2)
-    ranked = lambda cond, by: F.when(cond, F.struct(by.alias("d"), F.col("t.block_id").alias("b"), F.col("t.text").alias("t")))
-    beside = (tall > 20) & (right.between(0, BESIDE) | left.between(0, BESIDE))
-    found = met.groupBy("doc_id", "page", "i.img_id").agg(
-        F.min(ranked(below.between(0, BELOW) & over, below)).alias("under"),
-        F.min(ranked(above.between(0, ABOVE) & over, above)).alias("over"),
-        F.slice(F.array_sort(F.collect_list(ranked(beside, far))), 1, 2).alias("side"),
-        F.min(ranked(F.lit(True), far)).alias("near"),
-        F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t.block_id", "t.text"))), lambda x: x["text"]), "\n"), 1, 400).alias("whole"),
-    )
-    side = F.substring(F.array_join(F.transform("side", lambda x: x["t"]), " "), 1, 300)
+    texts = text_blocks.where(F.length("text") >= LEAST_TEXT)
+    found = blocks_near(image_boxes, texts, BELOW, ABOVE, BESIDE, part_rows)
+    side = F.substring(F.concat_ws(" ", "side1.t", "side2.t"), 1, 300)
     direct = F.coalesce("under.t", "over.t")
-    caption = F.coalesce(direct, F.when(F.size("side") > 0, side))
+    caption = F.coalesce(direct, F.when(F.col("side1").isNotNull(), side))
     near = F.when(F.col("near.d") < NEAR, F.col("near.t"))
-    context = F.coalesce(F.when(direct.isNotNull() & (F.size("side") > 0), side), near, F.when(caption.isNull(), F.col("whole")))
-    out = image_boxes.select("doc_id", "page", "img_id").join(found, ["doc_id", "page", "img_id"], "left")
+    whole = shared.written(first_lines(texts), shared.fresh_dir(image_boxes.sparkSession, "lines"))  # a row a page
+    context = F.coalesce(F.when(direct.isNotNull() & F.col("side1").isNotNull(), side), near, F.when(caption.isNull(), F.col("whole")))
+    out = found.join(whole, ["doc_id", "page"], "left")
     first = F.trim(F.split("whole", "\n")[0])
     told = out.select("doc_id", "page", "img_id", caption.alias("caption"), context.alias("context"), first.alias("first"))
     heading = F.when(F.lower("first").rlike("|".join(HEADINGS)), F.concat(F.lit("Page heading: "), F.substring("first", 1, 80)))

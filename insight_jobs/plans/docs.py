@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import chunks, ground, rank, retrieve
 from ..functions import rules
+from ..sources import shared
 from .registry import query, table
 from .texts import PAIRS_SQL, answer_pairs, cases, has, listed, quoted  # noqa: F401
 
@@ -108,9 +109,13 @@ def clean_caption(spark, d):
 
 def boxes(spark, d):
     """Line items as boxes on pages: (images, texts)."""
+    first = F.min(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")).alias("b")
+    block = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    kept = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 997).alias("doc_id"), (F.col("l_suppkey") % 5).cast("int").alias("page"), block.alias("block_id")).agg(first).select("doc_id", "page", "block_id", "b.*")
     x0, y0 = (F.col("l_partkey") % 400).cast("double"), (F.col("l_extendedprice") % 700).cast("int").cast("double")
-    box = table(spark, d, "lineitem").select((F.col("l_orderkey") % 997).alias("doc_id"), (F.col("l_suppkey") % 5).cast("int").alias("page"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("block_id"), "l_linenumber", x0.alias("x0"), y0.alias("y0"), (x0 + 80 + F.col("l_quantity")).alias("x1"), (y0 + 15 + F.col("l_quantity")).alias("y1"), F.concat(F.lit("block "), F.col("l_orderkey").cast("string"), F.lit(" "), F.col("l_partkey").cast("string")).alias("text"))
-    one = box.groupBy("doc_id", "page", "block_id").agg(F.min_by(F.struct("l_linenumber", "x0", "y0", "x1", "y1", "text"), "k").alias("b")).select("doc_id", "page", "block_id", "b.*")
+    text = F.concat(F.lit("block "), F.col("l_orderkey").cast("string"), F.lit(" "), F.col("l_partkey").cast("string"))
+    made = kept.select("doc_id", "page", "block_id", "l_linenumber", x0.alias("x0"), y0.alias("y0"), (x0 + 80 + F.col("l_quantity")).alias("x1"), (y0 + 15 + F.col("l_quantity")).alias("y1"), text.alias("text"))
+    one = shared.written(made, shared.fresh_dir(spark, "boxes"))  # read several times
     return one.where("l_linenumber = 1").select("doc_id", "page", F.col("block_id").alias("img_id"), "x0", "y0", "x1", "y1"), one.where("l_linenumber > 1").select("doc_id", "page", "block_id", "x0", "y0", "x1", "y1", "text")
 
 
