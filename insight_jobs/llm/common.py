@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -155,13 +156,13 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str, buckets:
     return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("b._offset") + F.col("a._rank")).cast("long").alias(name))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, left_out: int, bound: int) -> list[tuple[str, int]]:
-    """(text, label) of at most `bound` labelled rows outside the held-out fold, chosen by a hash of doc_id.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, fold: int, left_out: int, bound: int) -> DataFrame:
+    """text and y (the label) of at most `bound` labelled rows outside the held-out fold, chosen by a hash of doc_id.
 
     Only labels that have a document here are chosen from, so that a part of the corpus still gives a whole sample.
     The chosen ids are a table of at most `bound` rows, so that broadcasting them is safe; texts come whole. An id that
     has several labels has the smallest of them; of an id with several texts all count, in the order of their hashes.
-    A text that comes again, exactly or nearly, is left out, so that large groups of copies don't outvote the rest.
+    The rows are one partition, in that order.
     """
     remainder = F.crc32(F.col("doc_id").cast("string")) % fold
     chosen = (
@@ -173,8 +174,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, l
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(bound).collect()
-    return without_copies([(r["text"] or "", int(r["y"] > 0)) for r in rows])
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(bound).select("text", "y")
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], object]) -> object:
+    """What `fit` makes of the (text, label) rows of a bounded sample, in a task: texts and working memory stay off the driver.
+
+    A text that comes again, exactly or nearly, is left out, so that large groups of copies don't outvote the rest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(t or "", int(y > 0)) for b in batches for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(without_copies(rows)))], pa.binary())], names=["model"])
+
+    made = sample.mapInArrow(run, "model binary").collect()  # a model of a bounded sample
+    return pickle.loads(made[0]["model"]) if made else fit([])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, left_out: int, bound: int) -> list[tuple[str, int]]:
+    """The (text, label) rows that a fit is given."""
+    return fitted(labelled_rows(docs, labels, label, fold, left_out, bound), lambda rows: rows)
 
 
 def without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, keyed_texts, labelled_sample
+from .common import fitted, in_batches, keyed_texts, labelled_rows
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 PIECE = 20_000
@@ -170,7 +170,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def learned(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> Model:
     """The model fitted on at most `bound` labelled rows outside the held-out fold."""
-    return fit(labelled_sample(docs, labels, "quality", 5, 0, bound))
+    return fitted(labelled_rows(docs, labels, "quality", 5, 0, bound), fit)
 
 
 def quality(docs: DataFrame, labels: DataFrame, bound: int = 3000, cut: float = CUT) -> DataFrame:

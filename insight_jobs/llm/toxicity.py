@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, keyed_texts, labelled_sample
+from .common import fitted, in_batches, keyed_texts, labelled_rows
 from .crf import Chain, blocks, padded
 
 SEGMENT = 256
@@ -197,7 +197,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> Da
 
 def learned(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> Model:
     """The model fitted on at most `bound` labelled rows outside the held-out fold."""
-    return fit(labelled_sample(docs, labels, "toxic", 4, 2, bound))
+    return fitted(labelled_rows(docs, labels, "toxic", 4, 2, bound), fit)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, bound: int = 3000, cut: float = CUT) -> DataFrame:

@@ -797,3 +797,18 @@ def test_queries_run(spark):
 
     for name, run in queries.queries().items():
         assert run(spark, SF).count() > 0, name
+
+
+def test_classifiers_are_fitted_in_a_task(spark):
+    """The driver gets the model alone: neither texts nor the fit's working memory."""
+    import os
+
+    from insight_jobs.llm import common
+
+    docs = spark.createDataFrame([(i, f"word{i} more{i} text{i} here{i} and{i}") for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS toxic")
+    rows = common.labelled_rows(docs, labels, "toxic", 4, 2, 30)
+    assert rows.rdd.getNumPartitions() == 1
+    where, n = common.fitted(rows, lambda sample: (os.getpid(), len(sample)))
+    assert where != os.getpid() and 0 < n <= 30
+    assert common.fitted(rows.where("false"), len) == 0
