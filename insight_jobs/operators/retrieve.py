@@ -17,6 +17,9 @@ K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
 ENOUGH = 0.50
 # End of the fixed values.
 
+#: Words of questions that are sent to every task; beyond, they are joined. Parts that chunks are dealt into.
+SENT_WORDS, CHUNK_PARTS = 500_000, 256
+
 
 def lane_rows(hits: DataFrame, lane: int) -> DataFrame:
     """A lane's rows for a union of lanes.
@@ -53,9 +56,9 @@ def bm25_statistics(chunks: DataFrame, lower: bool = True) -> tuple[DataFrame, D
 
 
 def bm25_postings(chunks: DataFrame, lower: bool = True, asked: DataFrame | None = None) -> DataFrame:
-    """scope, chunk_id, term, tf, dl; asked (scope, term): words that are looked for, others go before they are counted."""
+    """scope, chunk_id, term, tf, dl; asked (scope, term): words that are looked for, once each; others go before they are counted."""
     words = chunks.select("scope", "chunk_id", tokens(F.col("text"), lower).alias("ws")).select("scope", "chunk_id", F.size("ws").alias("dl"), F.explode("ws").alias("term"))
-    found = words if asked is None else words.join(asked.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
+    found = words if asked is None else words.join(asked, ["scope", "term"], "left_semi")
     return found.groupBy("scope", "chunk_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -67,12 +70,16 @@ def bm25_index(chunks: DataFrame, lower: bool = True) -> tuple[DataFrame, DataFr
 def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int, lower: bool = True, keep_zero: bool = False) -> DataFrame:
     """question_id, scope, chunk_id, score, rank; questions: question_id, scope, text. Repeated query words count again.
 
-    Words that no question has are dropped before the postings are counted, so that only the others are shuffled.
+    Chunks are dealt by their key before their words are taken apart; counting, weighing and adding up then stay where a chunk
+    is, so that no word's postings meet in one task. Words that no question has are dropped first.
     """
     asked = questions.select("question_id", "scope", F.explode(tokens(F.col("text"), lower)).alias("term")).groupBy("question_id", "scope", "term").agg(F.count(F.lit(1)).alias("times"))
     terms, scopes = bm25_statistics(chunks, lower)
     weighted = asked.join(terms.select("scope", "term", "idf"), ["scope", "term"]).join(scopes, "scope")
-    hit = bm25_postings(chunks, lower, asked).join(weighted, ["scope", "term"])
+    weighted = shared.written(weighted, shared.fresh_dir(questions.sparkSession, "weighted"))  # the words of the questions
+    sent = F.broadcast if weighted.count() <= SENT_WORDS else lambda df: df  # SENT_WORDS rows at most; beyond, they are joined
+    dealt = chunks.select("scope", "chunk_id", "text").repartition(CHUNK_PARTS, "chunk_id")
+    hit = bm25_postings(dealt, lower, sent(weighted.select("scope", "term").distinct())).join(sent(weighted), ["scope", "term"])
     tf = F.col("tf")
     score = F.sum(F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
     scored = hit.groupBy("question_id", "scope", "chunk_id").agg(score.alias("score"))

@@ -373,3 +373,13 @@ def test_captions_of_one_page_need_no_pairs(spark, sf_dir, part_rows):
     wanted = con.execute(plans.oracle_sql()["attach_captions"]).fetchall()
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, wanted)) and len(wanted) > 300
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1 or part_rows < 1000  # with the lines of pages alone
+
+
+def test_keyword_scores_are_added_where_a_chunk_is(spark):
+    """A word of every chunk and question doesn't gather its postings: after the chunks are dealt only the best are shuffled."""
+    chunk_rows = spark.createDataFrame([(i, f"common w{i % 7} w{i % 5}") for i in range(300)], "chunk_id long, text string").select(F.lit("all").alias("scope"), "chunk_id", "text")
+    asked = spark.createDataFrame([(q, f"common w{q}") for q in range(6)], "question_id long, text string").select("question_id", F.lit("all").alias("scope"), "text")
+    got = retrieve.bm25_topk(asked, chunk_rows, 4, keep_zero=True)
+    assert got.count() == 24
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk_id" in plan and "SortMergeJoin" not in plan
