@@ -2,13 +2,14 @@
 
 Tables under <path>, each kept by key (sources.keyed):
 
-    chunks   scope, chunk_id, dl, terms      each chunk's words and their counts
+    chunks   block, scope, chunk_id, dl, terms   each chunk's words and their counts
     blocks   block, scope, term, docs, ...   the postings of a block of chunks, with the largest count and the least length
     terms    scope, term, df                 in how many chunks of its scope a word is
     scopes   scope, n, words                 chunks and words of a scope
 
-A chunk's block is a hash of its key, finer than its bucket, so that a changed chunk rewrites the postings of its own
-block alone; counts of words and scopes change by the difference between its old and new words.
+A chunk's block is a hash of its key. Chunks and blocks are kept by block in like buckets, so that texts are shuffled once:
+a changed chunk rewrites its own bucket, and postings are made where the bucket's chunks lie. Counts of words and scopes
+change by the difference between its old and new words.
 
 A search bounds what any chunk of a block can score by the block's largest count and least length for each word. The
 blocks of the highest bounds are scored first; the k-th best score found there rules out all blocks whose bound is lower,
@@ -30,17 +31,23 @@ POSTING = "struct<chunk_id:{kind},tf:bigint,dl:int>"
 
 
 def counted_words(chunks: DataFrame, lower: bool) -> DataFrame:
-    """scope, chunk_id, dl, terms (term, tf) of chunks (scope, chunk_id, text)."""
-    ws = chunks.where("scope IS NOT NULL AND chunk_id IS NOT NULL").select("scope", "chunk_id", F.coalesce(tokens(F.col("text"), lower), F.array().cast("array<string>")).alias("ws"))
-    words = ws.select("scope", "chunk_id", F.size("ws").alias("dl"), F.explode_outer("ws").alias("term"))
-    counts = words.groupBy("scope", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    pair = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
-    return counts.groupBy("scope", "chunk_id").agg(F.first("dl").alias("dl"), F.array_sort(F.collect_list(pair)).alias("terms"))  # a chunk's own words
+    """Put dl, terms (term, tf; in order) in place of the text. A row's words are sorted and their runs measured, so that no rows of words are made."""
+    ws = F.sort_array(F.coalesce(tokens(F.col("text"), lower), F.array().cast("array<string>")))
+    counted = F.transform(F.array(ws), lambda w: F.struct(F.size(w).alias("dl"), runs(w).alias("terms")))[0]
+    return chunks.withColumn("_c", counted).select(*[c for c in chunks.columns if c != "text"], "_c.dl", "_c.terms")
+
+
+def runs(w: Column) -> Column:
+    """Each word of a sorted array and how often it comes."""
+    last = F.size(w) - 1
+    ends = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: (last >= 0) & ((i == last) | (F.get(w, i) != F.get(w, i + 1))))
+    count = lambda e: lambda end, i: F.struct(F.get(w, end).alias("term"), (end - F.coalesce(F.get(e, i - 1), F.lit(-1))).cast("long").alias("tf"))
+    return F.transform(F.array(ends), lambda e: F.transform(e, count(e)))[0]
 
 
 class KeywordIndex:
     def __init__(self, spark: SparkSession, path: str, blocks: int, lower: bool):
-        self.spark, self.path, self.n_blocks, self.lower = spark, path, blocks, lower
+        self.spark, self.path, self.n_blocks, self.lower, self.labels = spark, path, blocks, lower, None
         self.tables = {t: KeyedTable.open(spark, f"{path}/{t}") for t in TABLES}
 
     @classmethod
@@ -51,7 +58,7 @@ class KeywordIndex:
         spark, kinds = chunks.sparkSession, dict(chunks.dtypes)
         scope, kind = kinds["scope"], kinds["chunk_id"]
         make = lambda name, ddl, keys, by=None, n=buckets: KeyedTable.create(spark, f"{path}/{name}", ddl, keys, by, n)
-        make("chunks", f"scope {scope}, chunk_id {kind}, dl int, terms array<struct<term:string,tf:bigint>>", ["scope", "chunk_id"])
+        make("chunks", f"block int, scope {scope}, chunk_id {kind}, dl int, terms array<struct<term:string,tf:bigint>>", ["block", "scope", "chunk_id"], ["block"])
         make("blocks", f"block int, scope {scope}, term string, n bigint, most_tf bigint, least_dl int, docs array<{POSTING.format(kind=kind)}>", ["block", "scope", "term"], ["block"])
         make("terms", f"scope {scope}, term string, df bigint", ["scope", "term"])
         make("scopes", f"scope {scope}, n bigint, words bigint", ["scope"], n=1)
@@ -60,39 +67,49 @@ class KeywordIndex:
         return out
 
     def block(self) -> Column:
-        return F.pmod(F.hash("scope", "chunk_id"), F.lit(self.n_blocks))
+        """A chunk's block. Blocks are numbered so that each bucket of a table kept by block has as many."""
+        if self.labels is None:
+            buckets = self.tables["chunks"].buckets
+            ids = self.spark.range(100 * self.n_blocks).select(F.col("id").cast("int").alias("block")).withColumn("bucket", F.pmod(F.hash("block"), F.lit(buckets)))
+            dealt = top(ids, self.n_blocks // buckets, ["block"], ["bucket"])
+            self.labels = sorted(r["block"] for r in dealt.select("block").collect())  # n_blocks numbers
+        return F.get(F.lit(self.labels), F.pmod(F.hash("scope", "chunk_id"), F.lit(len(self.labels))))
 
     def change(self, chunks: DataFrame | None = None, gone: DataFrame | None = None) -> None:
         """Insert or replace chunks (scope, chunk_id, text) and remove those of `gone` (scope, chunk_id).
 
-        Of repeated rows of one key the first by words counts. A chunk that is both changed and gone is gone.
+        Of repeated rows of one key the first by text counts. A chunk that is both changed and gone is gone.
         """
-        spark, held = self.spark, self.tables["chunks"]
+        spark, held, keys = self.spark, self.tables["chunks"], ["block", "scope", "chunk_id"]
         stage = shared.fresh_dir(spark, "change")
-        none = spark.createDataFrame([], held.schema)
-        new = counted_words(chunks.dropDuplicates(["scope", "chunk_id"]), self.lower) if chunks is not None else none
-        if gone is not None:
-            new = new.join(gone.select("scope", "chunk_id").distinct(), ["scope", "chunk_id"], "left_anti")
-        new = shared.written(new, f"{stage}/new")
-        keys = new.select("scope", "chunk_id")
+        empty = not held.manifest()["current"]
+        present = "scope IS NOT NULL AND chunk_id IS NOT NULL"
+        if chunks is None:
+            staged = held.stage(spark.createDataFrame([], held.schema), single=True)
+        else:
+            texts = chunks.where(present).select(self.block().alias("block"), "scope", "chunk_id", "text").repartition(held.buckets, "block")
+            first = top(texts, 1, ["text"], keys).drop("rank")
+            staged = held.stage(counted_words(first, self.lower), single=True)
+        new = held.staged(staged)
         if gone is not None:
-            keys = keys.union(gone.select("scope", "chunk_id")).distinct()
-        keys = shared.written(keys.withColumn("block", self.block()), f"{stage}/keys")
-        old = shared.written(held.read().join(keys, ["scope", "chunk_id"], "left_semi"), f"{stage}/old")
-
-        signed = old.withColumn("sign", F.lit(-1)).unionByName(new.withColumn("sign", F.lit(1)))
+            gone = shared.written(gone.where(present).select(self.block().alias("block"), "scope", "chunk_id").distinct(), f"{stage}/gone")
+            dealt = held.session.read.schema(gone.schema).parquet(f"{stage}/gone").repartition(held.buckets, "block")
+            new = new.join(dealt, keys, "left_anti")
+        signed = new.withColumn("sign", F.lit(1))
+        if not empty:
+            was = held.where_it_lies()
+            old = was.join(held.staged(staged).select(*keys), keys, "left_semi")
+            if gone is not None:
+                old = was.join(held.staged(staged).select(*keys).union(dealt).distinct().repartition(held.buckets, "block"), keys, "left_semi")
+            signed = signed.unionByName(old.withColumn("sign", F.lit(-1)))
         words = signed.select("scope", "sign", F.explode("terms.term").alias("term")).groupBy("scope", "term").agg(F.sum("sign").alias("df")).where("df <> 0")
         sizes = signed.groupBy("scope").agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("dl")).alias("words"))
         words, sizes = shared.written(words, f"{stage}/words"), shared.written(sizes, f"{stage}/sizes")
 
-        if gone is not None:
-            held.delete(gone.select("scope", "chunk_id"))
-        held.upsert(new)
-        blocks = keys.select("block").distinct()
-        mine = held.read().withColumn("block", self.block()).join(blocks, "block", "left_semi")
-        each = mine.select("block", "scope", "chunk_id", "dl", F.explode("terms").alias("t")).select("block", "scope", F.col("t.term").alias("term"), F.struct("chunk_id", F.col("t.tf").alias("tf"), "dl").alias("doc"))
-        docs = each.groupBy("block", "scope", "term").agg(F.count(F.lit(1)).alias("n"), F.max("doc.tf").alias("most_tf"), F.min("doc.dl").alias("least_dl"), F.array_sort(F.collect_list("doc")).alias("docs"))  # a block's chunks
-        self.tables["blocks"].replace(blocks, docs)
+        touched = held.put(staged, gone if gone is None else dealt)
+        each = held.where_it_lies(touched).select("block", "scope", "chunk_id", "dl", F.explode("terms").alias("t")).select("block", "scope", F.col("t.term").alias("term"), F.struct("chunk_id", F.col("t.tf").alias("tf"), "dl").alias("doc"))
+        docs = each.groupBy("block", "scope", "term").agg(F.count(F.lit(1)).alias("n"), F.max("doc.tf").alias("most_tf"), F.min("doc.dl").alias("least_dl"), F.sort_array(F.collect_list("doc")).alias("docs"))  # a block's chunks
+        self.tables["blocks"].refill(touched, docs)
         self.tables["terms"].add(words, ["df"])
         self.tables["scopes"].add(sizes, ["n", "words"])
         shared.delete(spark, stage)
@@ -139,18 +156,25 @@ class KeywordIndex:
         bounds = shared.written(met.withColumn("place", F.row_number().over(order)), f"{stage}/bounds")
 
         def scored(pairs: DataFrame) -> DataFrame:
+            """Each question's k best of every block, found where the block lies."""
             wanted = pairs.select("question_id", "scope", "block").join(weighted, ["question_id", "scope"])
-            hits = blocks.select("block", "scope", "term", "docs").join(wanted, ["block", "scope", "term"]).select("question_id", "scope", "w", "avgdl", F.explode("docs").alias("d"))
-            sums = hits.groupBy("question_id", "scope", F.col("d.chunk_id").alias("chunk_id")).agg(F.sum(F.col("w") * part(F.col("d.tf"), F.col("d.dl"))).alias("score"))
-            return sums if keep_zero else sums.where("score > 0")
+            lying = self.tables["blocks"].where_it_lies().select("block", "scope", "term", "docs")
+            hits = lying.join(wanted, ["block", "scope", "term"]).select("question_id", "scope", "block", "w", "avgdl", F.explode("docs").alias("d"))
+            sums = hits.groupBy("question_id", "scope", "block", F.col("d.chunk_id").alias("chunk_id")).agg(F.sum(F.col("w") * part(F.col("d.tf"), F.col("d.dl"))).alias("score"))
+            kept = sums if keep_zero else sums.where("score > 0")
+            return top(kept, k, [F.desc(F.round("score", 9)), "chunk_id"], ["question_id", "scope", "block"]).select("question_id", "scope", "chunk_id", "score")
+
+        def held(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{stage}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{stage}/{name}")
 
-        early = shared.written(scored(bounds.where(F.col("place") <= first_blocks)), f"{stage}/early")
+        early = held(scored(bounds.where(F.col("place") <= first_blocks)), "early")
         kth = top(early, k, [F.desc("score"), "chunk_id"]).where(F.col("rank") == k).select("question_id", F.col("score").alias("least"))
         late = bounds.where(F.col("place") > first_blocks).join(kth, "question_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-6))
         late = shared.written(late.select("question_id", "scope", "block"), f"{stage}/late")
         used = bounds.where(F.col("place") <= first_blocks).select("question_id", "scope", "block").union(late).withColumn("used", F.lit(True))
         read = bounds.join(used, ["question_id", "scope", "block"], "left").groupBy("question_id").agg(F.sum("postings").alias("postings"), F.sum(F.when(F.col("used"), F.col("postings")).otherwise(0)).alias("postings_read"))
-        return shared.written(early.unionByName(scored(late)), f"{stage}/found"), read
+        return early.unionByName(held(scored(late), "rest")), read
 
 
 def part(tf: Column, dl: Column) -> Column:

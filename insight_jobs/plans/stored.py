@@ -106,7 +106,7 @@ def updated_index(spark, d) -> keyword_index.KeywordIndex:
     base = scoped(spark, d)
     stale = base.withColumn("text", F.when(F.col("chunk_id") % 10 == 0, F.concat(F.lit("stale words "), F.reverse("text"))).otherwise(F.col("text")))
     extra = base.where("chunk_id % 9 = 0").withColumn("chunk_id", -1 - F.col("chunk_id"))
-    index = keyword_index.KeywordIndex.build(stale.union(extra), shared.fresh_dir(spark, "index"), blocks=256, buckets=16)
+    index = keyword_index.KeywordIndex.build(stale.union(extra), shared.fresh_dir(spark, "index"), blocks=256, buckets=64)
     index.change(base.where("chunk_id % 10 = 0"), extra.select("scope", "chunk_id"))
     return index
 

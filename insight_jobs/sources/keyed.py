@@ -5,8 +5,9 @@
 
 A change writes new generations of the buckets that its keys fall into, then the next manifest, in one rename. Whatever
 stops it before that leaves the table as it was. The files are a bucketed table to Spark, so that what is stored is
-joined by key where it lies: only the change is shuffled. `append` adds rows of new keys without reading what is
-stored; a bucket of many generations is rewritten as one on the way.
+joined by key where it lies: only the change is shuffled, once. Whole rows are written as a generation right away, which
+counts as it is in buckets that hold nothing yet. `append` adds rows of new keys without reading what is stored; a bucket
+of many generations is rewritten as one on the way.
 
 Keys aren't null: rows with a null key are left out of a change. Of several rows of a change with one key the first in
 `order` counts. There may be one writer at a time; a second one fails at its manifest and has changed nothing. Columns may not
@@ -19,6 +20,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,10 +45,11 @@ class KeyedTable:
         self.session.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         self.session.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
         self.session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        self.session.conf.set("spark.sql.maxConcurrentOutputFileWriters", "16")  # a task's rows are of one bucket: no sort before they are written
         if not spark.catalog.tableExists(self.name):
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema)
             by = ", ".join(f"`{c}`" for c in self.by)
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}, {GEN} STRING, {BUCKET} INT) USING parquet OPTIONS (path '{path}/data') PARTITIONED BY ({GEN}, {BUCKET}) CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS")
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}, {GEN} STRING, {BUCKET} INT) USING parquet OPTIONS (path '{path}/data', compression 'zstd') PARTITIONED BY ({GEN}, {BUCKET}) CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS")
             if shared.exists(spark, f"{path}/data"):
                 spark.catalog.recoverPartitions(self.name)
 
@@ -92,6 +95,10 @@ class KeyedTable:
         """The rows that count now (or by a manifest taken earlier)."""
         return self._rows(self.spark, version or self.manifest(), None)
 
+    def where_it_lies(self, buckets: list[int] | None = None) -> DataFrame:
+        """The rows that count now (of some buckets), dealt by `by` as they are stored, in the table's own session."""
+        return self._rows(self.session, self.manifest(), buckets)
+
     def _rows(self, session: SparkSession, told: dict, buckets: list[int] | None) -> DataFrame:
         wanted: dict[str, list[int]] = {}
         for b, gens in told["current"].items():
@@ -102,8 +109,41 @@ class KeyedTable:
             chosen = chosen | ((F.col(GEN) == gen) & F.col(BUCKET).isin(bs))
         return session.table(self.name).where(chosen).drop(GEN, BUCKET)
 
+    def stage(self, incoming: DataFrame, order: list[str] | None = None, single: bool = False, rule: Callable[[DataFrame], DataFrame] = lambda df: df) -> str:
+        """Write rows as a generation that doesn't count yet; returns its name. single: the rows are one a key already."""
+        gen = uuid.uuid4().hex
+        self._write(rule(self._dealt(incoming, self.keys, order, single)), gen)
+        return gen
+
+    def staged(self, gen: str, buckets: list[int] | None = None) -> DataFrame:
+        """The rows of a generation (in some buckets), dealt by `by`, in the table's own session."""
+        rows = self.session.table(self.name).where(F.col(GEN) == gen)
+        return (rows if buckets is None else rows.where(F.col(BUCKET).isin(buckets))).drop(GEN, BUCKET)
+
+    def buckets_of(self, gen: str) -> list[int]:
+        return sorted(int(n.removeprefix(f"{BUCKET}=")) for n in shared.names_in(self.spark, f"{self.path}/data/{GEN}={gen}") if n.startswith(BUCKET))
+
+    def put(self, gen: str, gone: DataFrame | None = None) -> list[int]:
+        """Insert or replace the rows of a staged generation and remove those of the keys of `gone`, in one rewriting of their buckets."""
+        if gone is None:
+            return self._put(self.manifest(), gen, None, self._replaced)
+        keys = gone.select(*self.keys).distinct().withColumn(BUCKET, self.bucket())
+        more = [r[0] for r in keys.select(BUCKET).distinct().collect()]  # a row a bucket at most
+        dealt = keys.drop(BUCKET).repartition(self.buckets, *self.by)
+        return self._put(self.manifest(), gen, None, lambda old, new: self._replaced(old, new).join(dealt, self.keys, "left_anti"), more=more)
+
+    def refill(self, buckets: list[int], rows: DataFrame) -> None:
+        """Put `rows`, which come dealt by bucket, in place of all that the given buckets hold."""
+        told, gen = self.manifest(), uuid.uuid4().hex
+        self._write(rows, gen)
+        there = set(self.buckets_of(gen))
+        if not there <= set(buckets):
+            raise ValueError("rows of other buckets")
+        current = {int(b): gens for b, gens in told["current"].items()}
+        self._commit(told, current | {b: [gen] if b in there else [] for b in buckets}, None)
+
     def upsert(self, incoming: DataFrame, order: list[str] | None = None, mark: tuple[str, int] | None = None) -> list[int]:
-        """Insert or replace by key; returns the buckets that were rewritten. order: see the module; by default all other columns.
+        """Insert or replace by key; returns the buckets that were changed. order: see the module; by default all other columns.
 
         mark: a stream's name and its batch; a batch that the table has already is passed over.
         """
@@ -140,7 +180,13 @@ class KeyedTable:
                 kept = kept | (F.col(c) != 0)
             return both.select(*self.keys, *values).where(kept)
 
-        return self._change(differences.select(*self.keys, *columns), None, None, summed)
+        if set(self.keys) | set(columns) != set(self.schema.names):
+            return self._change(differences.select(*self.keys, *columns), None, None, summed)
+        given = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in columns]
+        changes = reduce(lambda a, b: a | b, [F.col(c) != 0 for c in columns])
+        told = self.manifest()
+        gen = self.stage(differences.select(*self.keys, *columns), rule=lambda df: df.select(*self.keys, *given).where(changes))
+        return self._put(told, gen, None, summed)
 
     def replace(self, groups: DataFrame, rows: DataFrame) -> list[int]:
         """Put `rows` in place of all rows of the given groups, which are values of `by`."""
@@ -158,42 +204,59 @@ class KeyedTable:
         both = old.select(*self.keys, F.struct(*self.schema.names).alias("_old")).join(new.select(*self.keys, F.struct(*self.schema.names).alias("_new")), self.keys, "full_outer")
         return both.select(F.coalesce("_new", "_old").alias("r")).select("r.*")
 
-    def _change(self, incoming: DataFrame, order: list[str] | None, mark: tuple[str, int] | None, rule: Callable[[DataFrame, DataFrame], DataFrame], most_generations: int | None = None, keys: list[str] | None = None, whole_rows: bool = False) -> list[int]:
-        told = self.manifest()
-        if mark and told["marks"].get(mark[0], -1) >= mark[1]:
-            return []
-        keys = keys or self.keys
-        stage = f"{self.path}/incoming/{uuid.uuid4().hex}"
+    def _dealt(self, incoming: DataFrame, keys: list[str], order: list[str] | None, single: bool = False) -> DataFrame:
+        """Rows of keys that aren't null, dealt to buckets, the first of each key (all, if they are single)."""
         present = F.lit(True)
         for k in keys:
             present = present & F.col(k).isNotNull()
+        placed = incoming.where(present).repartition(self.buckets, *self.by)
+        if single:
+            return placed
         others = [c for c in incoming.columns if c not in keys]
         first = Window.partitionBy(*keys).orderBy(*(order or others or keys))
-        placed = incoming.where(present).repartition(self.buckets, *self.by)
-        if not whole_rows:
-            placed = placed.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+        return placed.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+
+    def _change(self, incoming: DataFrame, order: list[str] | None, mark: tuple[str, int] | None, rule: Callable[[DataFrame, DataFrame], DataFrame], most_generations: int | None = None, keys: list[str] | None = None, whole_rows: bool = False) -> list[int]:
+        told = self.manifest()
+        if mark and told["marks"].get(mark[0], -1) >= mark[1]:
+            return []
+        if keys is None and set(incoming.columns) == set(self.schema.names):
+            return self._put(told, self.stage(incoming, order), mark, rule, most_generations)
+        stage = f"{self.path}/incoming/{uuid.uuid4().hex}"
+        placed = self._dealt(incoming, keys or self.keys, order, whole_rows)
         placed.withColumn(BUCKET, self.bucket()).write.parquet(stage)
         try:
             new = self.session.read.schema(T.StructType([*placed.schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(stage)
             touched = sorted(r[0] for r in new.select(BUCKET).distinct().collect())  # a row a bucket at most
             current = {int(b): gens for b, gens in told["current"].items()}
-            whole = touched if most_generations is None else [b for b in touched if len(current.get(b, [])) >= most_generations]
-            added = [b for b in touched if b not in whole]
             gen = uuid.uuid4().hex
-            if whole:
-                mine = new.where(F.col(BUCKET).isin(whole)).drop(BUCKET).repartition(self.buckets, *self.by)
-                self._write(rule(self._rows(self.session, told, whole), mine), gen)
-            if added:
-                self._write(new.where(F.col(BUCKET).isin(added)).drop(BUCKET).repartition(self.buckets, *self.by), gen)
-            there = {int(n.removeprefix(f"{BUCKET}=")) for n in shared.names_in(self.spark, f"{self.path}/data/{GEN}={gen}") if n.startswith(BUCKET)}
-            for b in whole:
-                current[b] = [gen] if b in there else []
-            for b in added:
-                current[b] = [*current.get(b, []), gen]
-            self._commit(told, current, mark)
+            if touched:
+                mine = new.drop(BUCKET).repartition(self.buckets, *self.by)
+                self._write(rule(self._rows(self.session, told, touched), mine), gen)
+            there = set(self.buckets_of(gen))
+            self._commit(told, current | {b: [gen] if b in there else [] for b in touched}, mark)
         finally:
             shared.delete(self.spark, stage)
-        return whole
+        return touched
+
+    def _put(self, told: dict, staged: str, mark: tuple[str, int] | None, rule: Callable[[DataFrame, DataFrame], DataFrame], most_generations: int | None = None, more: list[int] = ()) -> list[int]:
+        """Let a staged generation count; in buckets that hold rows (append: many generations) or are in `more` by the rule."""
+        touched = self.buckets_of(staged)
+        current = {int(b): gens for b, gens in told["current"].items()}
+        many = 1 if most_generations is None else most_generations
+        whole = sorted({b for b in touched if len(current.get(b, [])) >= many} | set(more))
+        gen = uuid.uuid4().hex
+        if whole:
+            self._write(rule(self._rows(self.session, told, whole), self.staged(staged, whole)), gen)
+        there = set(self.buckets_of(gen))
+        for b in touched:
+            current[b] = [*current.get(b, []), staged]
+        for b in whole:
+            current[b] = [gen] if b in there else []
+        self._commit(told, current, mark)
+        for b in set(whole) & set(touched):
+            shared.delete(self.spark, f"{self.path}/data/{GEN}={staged}/{BUCKET}={b}")
+        return whole if most_generations is not None else sorted({*touched, *whole})
 
     def _write(self, rows: DataFrame, gen: str) -> None:
         """Files of one generation; rows come dealt by bucket, so that each bucket is one task's file."""

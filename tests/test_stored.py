@@ -170,6 +170,31 @@ def test_session_stream_keeps_one_row_a_session(spark, tmp_path):
     assert sorted(map(tuple, streams.current_sessions(spark, f"{base}/out").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_whole_rows_are_shuffled_and_written_once(spark, tmp_path):
+    table = KeyedTable.create(spark, str(tmp_path / "once"), "k long, v long", ["k"], buckets=4)
+    table.upsert(spark.range(100).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("v")))
+    first = files(table)
+    assert set(first) == current_files(table) and not shared.names_in(spark, f"{table.path}/incoming")
+    rows = spark.range(90, 110).select(F.col("id").alias("k"), F.lit(2).cast("long").alias("v"))
+    assert table.put(table.stage(rows), spark.createDataFrame([(95,), (1,), (7777,), (None,)], "k long")) == [0, 1, 2, 3]
+    got = {r["k"]: r["v"] for r in table.read().collect()}
+    assert set(got) == set(range(110)) - {95, 1} and got[94] == 2 and got[108] == 2 and got[5] == 1
+    staged = table.staged(table.stage(rows)).join(table.where_it_lies(), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in staged
+
+
+def test_postings_are_made_where_chunks_lie(spark, tmp_path):
+    rows = some_chunks(200, 3)
+    index = keyword_index.KeywordIndex.build(spark.createDataFrame(rows, CHUNKS), str(tmp_path / "i"), blocks=32, buckets=4)
+    chunks, blocks = index.tables["chunks"], index.tables["blocks"]
+    per_bucket = {r["b"]: r["n"] for r in spark.createDataFrame([(b,) for b in index.labels], "block int").groupBy(chunks.bucket().alias("b")).agg(F.count("*").alias("n")).collect()}
+    assert per_bucket == {b: 8 for b in range(4)}
+    plan = chunks.where_it_lies().groupBy("block", "scope").agg(F.sum("dl"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and blocks.by == chunks.by == ["block"]
+    got = {r["chunk_id"]: (r["dl"], {t["term"]: t["tf"] for t in r["terms"]}) for r in chunks.read().collect()}
+    assert got == {c: (len(t.split()), dict(Counter(t.lower().split()))) for _, c, t in rows}
+
+
 WORDS = ["the", "of", *[f"w{k}" for k in range(60)]]
 
 
