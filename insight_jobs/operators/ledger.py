@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import shared
+
 
 def last_turns(turns: DataFrame, keys: list[str], n: int, order: str = "id") -> DataFrame:
     """The last 2n messages of each key."""
@@ -98,13 +102,29 @@ def run_table_checks(answers: DataFrame, expected: DataFrame) -> DataFrame:
     return answers.join(expected, "check_id").select("check_id", "expected", contains_number(F.col("text"), F.col("expected"), F.col("tolerance")).alias("passed"))
 
 
-def sample_eval_chunks(chunks: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """Of each document's chunks over 100 characters every so many, n at most, cut at 800 characters."""
-    rows = chunks.where(F.length("text") > 100)
-    w = Window.partitionBy("doc_id")
-    placed = rows.withColumn("_k", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+def sample_eval_chunks(chunks: DataFrame, n: int, order: list[str], parts: int = 64) -> DataFrame:
+    """Of each document's chunks over 100 characters every so many, n at most, cut at 800 characters.
+
+    Places are found among the keys alone, which are dealt into ranges of their order; only texts that are taken meet them.
+    """
+    spark, keys = chunks.sparkSession, ["doc_id", *order]
+    rows = chunks.where(F.length("text") > 100).withColumn("text", F.substring("text", 1, 800))
+    dealt = rows.select(*keys).repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id())
+    dealt = shared.written(dealt, shared.fresh_dir(spark, "places"))  # keys alone; rows of one key are in one part
+    sizes = dealt.groupBy("doc_id", "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    of_doc = Window.partitionBy("doc_id")
+    before = F.sum("_rows").over(of_doc.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("doc_id", "_part", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_rows").over(of_doc).alias("_n"))  # `parts` rows a document
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / n))
-    return placed.where((F.col("_k") % step == 0) & (F.floor(F.col("_k") / step) < n)).withColumn("text", F.substring("text", 1, 800)).drop("_k", "_n")
+    met = dealt.join(sizes.withColumnRenamed("doc_id", "_doc").withColumnRenamed("_part", "_p"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_part") == F.col("_p")))
+    placed = met.withColumn("_k", F.col("_before") + F.row_number().over(Window.partitionBy("doc_id", "_part").orderBy(*order)) - 1)
+    taken = (F.col("_k") % step == 0) & (F.floor(F.col("_k") / step) < n)
+    like = Window.partitionBy(*keys).orderBy("_k")  # rows that are equal in the order are told apart by number
+    wanted = placed.withColumn("_like", F.row_number().over(like)).where(taken).select(*[F.col(k).alias(f"_w{i}") for i, k in enumerate(keys)], "_like")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_w{i}")) for i, k in enumerate(keys)])
+    some = wanted.drop("_like").distinct()
+    near = rows.join(some, same, "left_semi").withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("text")))
+    return near.join(wanted, same & (F.col("_i") == F.col("_like"))).select(*chunks.columns)
 
 
 def context_precision(verdicts: DataFrame) -> DataFrame:
