@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .profile import categorical_columns, discrete_columns, name, numeric_columns, quantiles, value, value_counts
+from .quantiles import exact_quantiles
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -50,8 +51,12 @@ def pair_points(df: DataFrame, k: int = 6, one_in: int = 1) -> DataFrame:
 def box_stats(df: DataFrame, column: str, group: str | None = None, exact: bool = True) -> DataFrame:
     """Quartiles (exact: see quantiles), whiskers within 1.5 box lengths, and the count of values beyond them, by group."""
     rows = df.select((name(group).cast("string") if group else F.lit("all")).alias("group"), value(column).alias("x")).where("x IS NOT NULL")
-    boxes = rows.groupBy("group").agg(quantiles(F.col("x"), [0.25, 0.5, 0.75], exact).alias("q"))
-    boxes = boxes.select(F.col("group").alias("g"), *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("q1", "median", "q3"))])
+    if exact:
+        at = exact_quantiles(rows, ["x"], [0.25, 0.5, 0.75], ["group"])
+        boxes = at.groupBy(F.col("group").alias("g")).agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for s, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    else:
+        boxes = rows.groupBy("group").agg(quantiles(F.col("x"), [0.25, 0.5, 0.75], exact).alias("q"))
+        boxes = boxes.select(F.col("group").alias("g"), *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("q1", "median", "q3"))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("x").between(F.col("q1") - reach, F.col("q3") + reach)
     out = rows.join(boxes, F.col("group").eqNullSafe(F.col("g"))).drop("g").groupBy("group", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"), F.count_if(~inside).alias("n_outliers"))
