@@ -79,16 +79,28 @@ def median(c: str, exact: bool) -> Column:
     return F.get(quantiles(c, [0.5], exact), F.lit(0))
 
 
+def with_quantiles(out: DataFrame, df: DataFrame, columns: list[str], names: dict[str, float]) -> DataFrame:
+    """Add exact quantiles (name to share) to rows of columns, counted and ranked in parts: no task holds a column's distinct values."""
+    from .quantiles import counted_quantiles
+
+    found = counted_quantiles(df.select(*[name(c) for c in columns]), columns, sorted(set(names.values()))) if columns else out.select("column", F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("value"))
+    wide = found.groupBy("column").agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for n, s in names.items()])
+    return out.join(wide, "column", "left")  # a row for each column
+
+
 def numeric_summary(df: DataFrame, digits: int = 3, exact: bool = True) -> DataFrame:
     """count, mean, std, min, quartiles and max of each numeric column.
 
-    exact: see quantiles.
+    exact: interpolated (operators.quantiles); else approximate, in the one pass.
     """
-    quartile = lambda c: quantiles(c, [0.25, 0.5, 0.75], exact)
-    fields = {"count": lambda c: F.count(value(c)), "mean": lambda c: F.avg(value(c)), "std": lambda c: F.stddev_samp(value(c)), "min": lambda c: F.min(value(c)), "q": quartile, "max": lambda c: F.max(value(c))}
-    out = one_pass(df, numeric_columns(df), fields)
-    q = [F.round(F.get("q", F.lit(k)), digits).alias(n) for k, n in enumerate(("q25", "q50", "q75"))]
-    return out.select("column", "count", *[F.round(c, digits).alias(c) for c in ("mean", "std", "min")], *q, F.round("max", digits).alias("max"))
+    names = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    fields = {"count": lambda c: F.count(value(c)), "mean": lambda c: F.avg(value(c)), "std": lambda c: F.stddev_samp(value(c)), "min": lambda c: F.min(value(c)), "max": lambda c: F.max(value(c))}
+    if exact:
+        out = with_quantiles(one_pass(df, numeric_columns(df), fields), df, numeric_columns(df), names)
+    else:
+        out = one_pass(df, numeric_columns(df), fields | {"q": lambda c: quantiles(c, list(names.values()), exact)})
+        out = out.select("*", *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(names)])
+    return out.select("column", "count", *[F.round(c, digits).alias(c) for c in ("mean", "std", "min", *names, "max")])
 
 
 def corrected_skew(c: str) -> Column:
@@ -98,9 +110,13 @@ def corrected_skew(c: str) -> Column:
 
 
 def column_stats(df: DataFrame, digits: int = 2, exact: bool = True) -> DataFrame:
-    """mean, median (exact: see quantiles), std and skew of each numeric column."""
-    fields = {"mean": lambda c: F.avg(value(c)), "median": lambda c: median(c, exact), "std": lambda c: F.stddev_samp(value(c)), "skew": corrected_skew}
-    return one_pass(df, numeric_columns(df), fields).select("column", *[F.round(k, digits).alias(k) for k in fields])
+    """mean, median (exact: see numeric_summary), std and skew of each numeric column."""
+    fields = {"mean": lambda c: F.avg(value(c)), "std": lambda c: F.stddev_samp(value(c)), "skew": corrected_skew}
+    if exact:
+        out = with_quantiles(one_pass(df, numeric_columns(df), fields), df, numeric_columns(df), {"median": 0.5})
+    else:
+        out = one_pass(df, numeric_columns(df), fields | {"median": lambda c: median(c, exact)})
+    return out.select("column", *[F.round(k, digits).alias(k) for k in ("mean", "median", "std", "skew")])
 
 
 def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -210,10 +226,10 @@ def stat_profile(df: DataFrame, max_numeric: int = 10, max_categorical: int = 6,
 
     Three scans: one for all plain aggregates, one that counts texts' values, one for repeated rows.
 
-    exact: see quantiles, here of the medians.
+    exact: see numeric_summary, here of the medians, which take some scans more.
     """
     numeric, text = numeric_columns(df)[:max_numeric], categorical_columns(df)[:max_categorical]
-    fields = {"mean": lambda c: F.avg(value(c)), "std": lambda c: F.stddev_samp(value(c)), "min": lambda c: F.min(value(c)), "max": lambda c: F.max(value(c)), "median": lambda c: median(c, exact)}
+    fields = {"mean": lambda c: F.avg(value(c)), "std": lambda c: F.stddev_samp(value(c)), "min": lambda c: F.min(value(c)), "max": lambda c: F.max(value(c))} | ({} if exact else {"median": lambda c: median(c, exact)})
     nulls = {c: f"z{k}" for k, c in enumerate(df.columns)}
     wide = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(is_missing(df, c)).alias(z) for c, z in nulls.items()], *[make(c).alias(f"{m}_{k}") for k, c in enumerate(numeric) for m, make in fields.items()])
     row = lambda section, column, metric, v: F.struct(F.lit(section).alias("section"), F.lit(column).alias("column"), F.lit(metric).alias("metric"), v.cast("double").alias("value"))
@@ -225,6 +241,9 @@ def stat_profile(df: DataFrame, max_numeric: int = 10, max_categorical: int = 6,
     rows += [row("categorical", c, "n_nulls", F.col(nulls[c])) for c in text]
     each = lambda metrics: F.explode(F.array(*metrics)).alias("m")
     parts = [wide.select(each(rows))]
+    if exact and numeric:
+        medians = with_quantiles(df.sparkSession.createDataFrame([(c,) for c in numeric], "column string"), df, numeric, {"median": 0.5})
+        parts.append(medians.select(F.struct(F.lit("numeric").alias("section"), F.col("column"), F.lit("median").alias("metric"), F.col("median").alias("value")).alias("m")))
     if text:
         counted = value_counts(df, text).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("mode_count"))
         known = df.sparkSession.createDataFrame([(c,) for c in text], "column string").join(F.broadcast(counted), "column", "left")  # a row for each column

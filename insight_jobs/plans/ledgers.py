@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import ledger
+from ..operators.quantiles import exact_quantiles
 from ..sources import io
 from .registry import query, table
 
@@ -120,7 +121,8 @@ def eval_rollup(spark, d):
 @query("WITH x AS (SELECT 0 AS check_id, avg(l_quantity) AS expected FROM lineitem UNION ALL SELECT 1, count(*) FILTER (l_quantity > 25)::DOUBLE FROM lineitem UNION ALL SELECT 2, median(l_extendedprice) FROM lineitem) SELECT check_id, round(expected, 4) AS expected, check_id <> 2 AS passed FROM x")
 def run_table_checks(spark, d):
     line = table(spark, d, "lineitem")
-    expected = line.agg(F.avg("l_quantity").alias("a"), F.count_if(F.col("l_quantity") > 25).cast("double").alias("b"), F.percentile("l_extendedprice", F.lit(0.5)).alias("c"))
+    expected = line.agg(F.avg("l_quantity").alias("a"), F.count_if(F.col("l_quantity") > 25).cast("double").alias("b"))
+    expected = expected.crossJoin(exact_quantiles(line, ["l_extendedprice"], [0.5]).select(F.col("value").alias("c")))  # one row each
     rows = expected.select(F.posexplode(F.array("a", "b", "c")).alias("check_id", "expected")).withColumn("tolerance", F.lit(0.1))
     said = rows.select("check_id", F.when(F.col("check_id") < 2, F.concat(F.lit("It is "), F.format_string("%.3f", "expected"), F.lit(" in all."))).otherwise("I do not know.").alias("text"))
     return ledger.run_table_checks(said, rows).select("check_id", F.round("expected", 4).alias("expected"), "passed")

@@ -329,6 +329,33 @@ def test_approximate_quantiles_lie_at_their_ranks(spark):
     assert profile.numeric_summary(df.where("false"), exact=False).first()["q50"] is None
 
 
+@pytest.mark.parametrize("make", [lambda df: profile.numeric_summary(df), lambda df: profile.column_stats(df), lambda df: profile.stat_profile(df), lambda df: charts.box_stats(df, "x", "g")])
+def test_exact_quartiles_hold_no_distinct_values(spark, make):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("string").alias("g"))
+    assert "percentile(" not in make(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_exact_quartiles_of_odd_columns(spark):
+    df = spark.createDataFrame([(None, float("nan"), 7.0), (None, 1.0, 7.0), (None, 4.0, 7.0)], "`a.b` double, x double, c double")
+    got = {r["column"]: (r["count"], r["q25"], r["q50"], r["q75"]) for r in profile.numeric_summary(df).collect()}
+    assert got == {"a.b": (0, None, None, None), "x": (2, 1.75, 2.5, 3.25), "c": (3, 7.0, 7.0, 7.0)}
+    assert profile.numeric_summary(df.where("false")).count() == 3 and profile.numeric_summary(df.select(F.lit("t").alias("t"))).count() == 0
+
+
+def test_sampled_chunks_are_placed_by_keys(spark):
+    rows = [("a", k // 2, f"{k:04d}" + "x" * (900 if k % 3 else 50)) for k in range(400)] + [(None, k, f"{k:04d}" + "y" * 200) for k in range(25)]
+    df = spark.createDataFrame(rows, "doc_id string, chunk_id long, text string")
+    got = ledger.sample_eval_chunks(df, 10, ["chunk_id"], parts=5).collect()
+    for doc in ("a", None):
+        keys = sorted(c for d, c, t in rows if d == doc and len(t) > 100)
+        step = max(1, len(keys) // 10)
+        mine = [r for r in got if r["doc_id"] == doc]
+        assert sorted(r["chunk_id"] for r in mine) == keys[::step][:10] and len({r["text"][:4] for r in mine}) == 10
+        assert {(r["chunk_id"], r["text"]) for r in mine} <= {(c, t[:800]) for d, c, t in rows if d == doc}
+    plan = ledger.sample_eval_chunks(df, 10, ["chunk_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert not [w for w in plan.splitlines() if "Window" in w and "windowspecdefinition(doc_id#" in w and "text#" in w and "chunk_id" not in w.split("windowspecdefinition(")[1].split("ASC")[0]]
+
+
 def test_lsh_makes_no_rows_of_pairs(spark):
     """What leaves a bucket is k rows a question, however many vectors share it."""
     vectors = spark.createDataFrame([(i, [1.0, 0.001 * (i % 7), 0.0]) for i in range(400)], "chunk_id long, embedding array<float>")
