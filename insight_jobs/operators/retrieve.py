@@ -17,8 +17,8 @@ K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
 ENOUGH = 0.50
 # End of the fixed values.
 
-#: Words of questions that are sent to every task; beyond, they are joined. Parts that chunks are dealt into.
-SENT_WORDS, CHUNK_PARTS = 500_000, 256
+#: Words of questions that are sent to every task; beyond, they are joined. Parts that chunks are dealt into, at least, and chunks of a part.
+SENT_WORDS, CHUNK_PARTS, PART_CHUNKS = 500_000, 256, 2000
 
 
 def lane_rows(hits: DataFrame, lane: int) -> DataFrame:
@@ -39,20 +39,46 @@ def tokens(text: Column, lower: bool = True) -> Column:
     return F.filter(F.split(F.lower(text) if lower else text, r"\s+"), lambda w: w != "")
 
 
-def bm25_statistics(chunks: DataFrame, lower: bool = True) -> tuple[DataFrame, DataFrame]:
-    """terms (scope, term, df, idf), scopes (scope, n, avgdl). A negative idf becomes epsilon times the scope's mean idf.
+def word_counts(chunks: DataFrame, lower: bool = True) -> DataFrame:
+    """scope, term, df, words.
 
     One pass: each chunk gives its distinct words and one null term that carries its length, and both are counted
     before they are shuffled.
     """
     ws = tokens(F.col("text"), lower)
     every = chunks.select("scope", ws.alias("ws")).select("scope", F.size("ws").alias("dl"), F.explode(F.concat(F.array_distinct("ws"), F.array(F.lit(None).cast("string")))).alias("term"))
-    counted = every.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words"))
-    scopes = counted.where("term IS NULL").select("scope", F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
-    df = counted.where("term IS NOT NULL").select("scope", "term", "df")
-    raw = df.join(scopes.select("scope", "n"), "scope").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    return every.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words"))
+
+
+def parted(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Word counts as words (scope, term, df) and scopes (scope, n, avgdl)."""
+    return counted.where("term IS NOT NULL").select("scope", "term", "df"), counted.where("term IS NULL").select("scope", F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
+
+
+def raw_idf() -> Column:
+    return F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def floored(raw: Column) -> Column:
+    return F.when(raw < 0, EPSILON * F.col("mean")).otherwise(raw).alias("idf")
+
+
+def bm25_statistics(chunks: DataFrame, lower: bool = True) -> tuple[DataFrame, DataFrame]:
+    """terms (scope, term, df, idf), scopes (scope, n, avgdl). A negative idf becomes epsilon times the scope's mean idf."""
+    df, scopes = parted(word_counts(chunks, lower))
+    raw = df.join(scopes.select("scope", "n"), "scope").withColumn("raw", raw_idf())
     mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean"))
-    return raw.join(mean, "scope").select("scope", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")), scopes
+    return raw.join(mean, "scope").select("scope", "term", "df", floored(F.col("raw"))), scopes
+
+
+def weighted_words(asked: DataFrame, counted: DataFrame) -> DataFrame:
+    """asked (scope, term, ...) with idf, n and avgdl, of written word counts; words that no chunk has are dropped.
+
+    A scope's mean is taken over the counts that occur, each with the number of its words, so that the words of a scope don't meet.
+    """
+    df, scopes = parted(counted)
+    mean = df.groupBy("scope", "df").agg(F.count(F.lit(1)).alias("like")).join(scopes, "scope").groupBy("scope").agg((F.sum(F.col("like") * raw_idf()) / F.sum("like")).alias("mean"))
+    return asked.join(df, ["scope", "term"]).join(scopes.join(mean, "scope"), "scope").select(*asked.columns, floored(raw_idf()), "n", "avgdl")
 
 
 def bm25_postings(chunks: DataFrame, lower: bool = True, asked: DataFrame | None = None) -> DataFrame:
@@ -74,11 +100,15 @@ def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int, lower: bool = Tru
     is, so that no word's postings meet in one task. Words that no question has are dropped first.
     """
     asked = questions.select("question_id", "scope", F.explode(tokens(F.col("text"), lower)).alias("term")).groupBy("question_id", "scope", "term").agg(F.count(F.lit(1)).alias("times"))
-    terms, scopes = bm25_statistics(chunks, lower)
-    weighted = asked.join(terms.select("scope", "term", "idf"), ["scope", "term"]).join(scopes, "scope")
-    weighted = shared.written(weighted, shared.fresh_dir(questions.sparkSession, "weighted"))  # the words of the questions
+    spark = questions.sparkSession
+    place = shared.fresh_dir(spark, "counted")
+    counted = shared.written(word_counts(chunks, lower), place)  # a row a word: texts are read for it once
+    weighted = shared.written(weighted_words(asked, counted), shared.fresh_dir(spark, "weighted"))  # the words of the questions
     sent = F.broadcast if weighted.count() <= SENT_WORDS else lambda df: df  # SENT_WORDS rows at most; beyond, they are joined
-    dealt = chunks.select("scope", "chunk_id", "text").repartition(CHUNK_PARTS, "chunk_id")
+    n = parted(counted)[1].agg(F.sum("n")).first()[0] or 0
+    shared.delete(spark, place)
+    parts = max(CHUNK_PARTS, -(-n // PART_CHUNKS))  # so that a task's chunks don't grow in number with the table
+    dealt = chunks.select("scope", "chunk_id", "text").repartition(parts, "chunk_id")
     hit = bm25_postings(dealt, lower, sent(weighted.select("scope", "term").distinct())).join(sent(weighted), ["scope", "term"])
     tf = F.col("tf")
     score = F.sum(F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))

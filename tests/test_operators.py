@@ -410,3 +410,35 @@ def test_keyword_scores_are_added_where_a_chunk_is(spark):
     assert got.count() == 24
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(chunk_id" in plan and "SortMergeJoin" not in plan
+
+
+def keyword_table(spark, n):
+    """Chunks whose reading an accumulator counts, and questions."""
+    read = spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b.assign(scope="all", chunk_id=b["id"], text=[f"apples w{i} w{i % 7} pears" for i in b["id"]])[["scope", "chunk_id", "text"]]
+
+    asked = spark.createDataFrame([(1, "all", "apples w3"), (2, "all", "w5 w11 w11")], "question_id long, scope string, text string")
+    return asked, spark.range(n).mapInPandas(made, "scope string, chunk_id long, text string"), read
+
+
+def test_keyword_lane_reads_texts_once_for_counts(spark):
+    asked, chunk_rows, read = keyword_table(spark, 40)
+    got = retrieve.bm25_topk(asked, chunk_rows, 3)
+    assert read.value == 40  # the words are counted, and nothing else yet
+    assert [r["chunk_id"] for r in got.where("question_id = 2").orderBy("rank").collect()] == [11, 5, 12]
+    assert read.value == 80
+
+
+def test_keyword_lane_has_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "CHUNK_PARTS", 2)
+    monkeypatch.setattr(retrieve, "PART_CHUNKS", 8, raising=False)
+    asked, chunk_rows, _ = keyword_table(spark, 40)
+    wanted = [(r["question_id"], r["chunk_id"], r["rank"]) for r in retrieve.bm25_topk(asked, chunk_rows, 3).orderBy("question_id", "rank").collect()]
+    found = retrieve.bm25_topk(asked, chunk_rows, 3)
+    assert "hashpartitioning(chunk_id#" in (plan := found._jdf.queryExecution().toString()) and ", 5), REPARTITION_BY_NUM" in plan
+    monkeypatch.setattr(retrieve, "PART_CHUNKS", 1000, raising=False)
+    assert [(r["question_id"], r["chunk_id"], r["rank"]) for r in retrieve.bm25_topk(asked, chunk_rows, 3).orderBy("question_id", "rank").collect()] == wanted
