@@ -19,6 +19,8 @@ ENOUGH = 0.50
 
 #: Words of questions that are sent to every task; beyond, they are joined. Parts that chunks are dealt into, at least, and chunks of a part.
 SENT_WORDS, CHUNK_PARTS, PART_CHUNKS = 500_000, 256, 2000
+#: Hits that are sent to the texts; beyond, they are joined.
+SENT_HITS = 100_000
 
 
 def lane_rows(hits: DataFrame, lane: int) -> DataFrame:
@@ -148,6 +150,13 @@ def rrf_merge(lanes: list[DataFrame], top_n: int, k: int = RRF) -> DataFrame:
     return top(merged, top_n, [F.desc(F.round("score", 12)), "first", "chunk_id"]).select("question_id", "chunk_id", "score", "rank")
 
 
+def with_texts(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """hits with the columns of their chunks in texts (chunk_id, text, ...); texts that no hit has aren't shuffled."""
+    found = shared.written(hits, shared.fresh_dir(hits.sparkSession, "hits"))  # some rows a question
+    sent = F.broadcast if found.count() <= SENT_HITS else lambda df: df  # SENT_HITS rows at most; beyond, they are joined
+    return sent(found).join(texts, "chunk_id")
+
+
 def dedup_prefix(hits: DataFrame, n: int = 80, by: str = "question_id", order: str = "rank") -> DataFrame:
     """The first hit of each text prefix, within a question."""
     key = F.lower(F.trim(F.substring("text", 1, n)))

@@ -288,7 +288,7 @@ def rrf_merge(spark, d):
 def merged_hits(spark, d):
     hits = retrieve.rrf_merge(list(lanes(spark, d)), 14)
     text = docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text", "source")
-    return hits.join(text, "chunk_id")
+    return retrieve.with_texts(hits, text)
 
 
 HITS_CTE = MERGED_CTE + ", hi AS (SELECT rr.*, d.text, d.source FROM rr JOIN documents d ON d.doc_id = rr.chunk_id)"
@@ -304,7 +304,7 @@ def multi_query(spark, d):
     dense, keyword = lanes(spark, d)
     both = retrieve.lane_rows(dense, 0).unionByName(retrieve.lane_rows(keyword, 1)).withColumnRenamed("lane", "sub_idx")
     text = docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieve.multi_query(both.join(text, "chunk_id")).select("question_id", "chunk_id", "pos")
+    return retrieve.multi_query(retrieve.with_texts(both, text)).select("question_id", "chunk_id", "pos")
 
 
 def child_hits(spark, d):

@@ -442,3 +442,33 @@ def test_keyword_lane_has_parts_of_bounded_size(spark, monkeypatch):
     assert "hashpartitioning(chunk_id#" in (plan := found._jdf.queryExecution().toString()) and ", 5), REPARTITION_BY_NUM" in plan
     monkeypatch.setattr(retrieve, "PART_CHUNKS", 1000, raising=False)
     assert [(r["question_id"], r["chunk_id"], r["rank"]) for r in retrieve.bm25_topk(asked, chunk_rows, 3).orderBy("question_id", "rank").collect()] == wanted
+
+
+def test_texts_are_looked_up_by_few_hits(spark, monkeypatch):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "a", 1), (2, "gone", 2)], "question_id long, chunk_id string, rank int")
+        texts = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "chunk_id string, text string")
+        joins = {}
+        for most in (10, 2):
+            monkeypatch.setattr(retrieve, "SENT_HITS", most)
+            df = retrieve.with_texts(hits, texts)
+            joins[most] = "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+            assert sorted((r["question_id"], r["chunk_id"], r["rank"], r["text"]) for r in df.collect()) == [(1, "a", 1, "A"), (1, "b", 2, "B"), (2, "a", 1, "A")]
+        assert joins == {10: True, 2: False}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_queries_do_not_shuffle_texts(spark, sf_dir):
+    """With joins by size alone out of the way, as where texts are large."""
+    from insight_jobs.plans import docs
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = docs.merged_hits(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
