@@ -182,10 +182,11 @@ def adaptive_retrieve(questions: DataFrame, dense: DataFrame, keyword: DataFrame
     depths = questions.select("question_id", F.posexplode(F.array("initial_k", "expand_k", "max_k")).alias("round", "k"))
     fused = lanes.join(depths, "question_id").where(F.col("rank") <= F.col("k")).groupBy("question_id", "round", "k", "chunk_id").agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("score"), F.min(F.struct("lane", "rank")).alias("first"))
     order = Window.partitionBy("question_id", "round").orderBy(F.desc(F.round("score", 12)), "first", "chunk_id")
-    merged = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")).join(texts, "chunk_id")
+    merged = with_texts(fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")), texts)
     single = dedup_prefix(merged.withColumn("qr", F.struct("question_id", "round")), by="qr").drop("qr")
     place = Window.partitionBy("question_id", "round").orderBy("rank")
-    placed = single.withColumn("pos", F.row_number().over(place))
+    placed = single.withColumn("pos", F.row_number().over(place)).select("question_id", "round", "chunk_id", "pos", "text")
+    placed = shared.written(placed, shared.fresh_dir(questions.sparkSession, "placed"))  # the hits of three rounds
     best = dense.where("rank <= 3").groupBy("question_id").agg(F.avg("score").alias("dense_score"))
     both = F.struct("question_id", "round").alias("question_id")  # each round is a question of its own
     asked = depths.join(questions.select("question_id", "text"), "question_id").select(both, "text")
